@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app_name: str = "factloom", **conf: str) -> SparkSession:
@@ -46,3 +46,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder = os.path.join(tempfile.gettempdir(), "factloom-checkpoints")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """A small result cut from its lineage by a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df.checkpoint()
