@@ -153,7 +153,7 @@ def _total_story(cube: DataFrame, s: Setting) -> DataFrame:
 
 def _change_story(change: DataFrame, drivers: DataFrame, s: Setting) -> DataFrame:
     """The best period change with its driver."""
-    told = change.join(drivers.filter("story = 0").drop("story").withColumnRenamed("change", "moved"), F.lit(True), "left")
+    told = change.withColumn("story", F.lit(0)).join(drivers.withColumnRenamed("change", "moved"), "story", "left")
     label, lower = F.lit(s.label), uncapitalised(F.lit(s.label))
     key = bucket_text(F.col("bucket"), s.grain)
     when = in_period(key, s.grain)
@@ -362,12 +362,10 @@ def build_facts(
     """
     s = _setting(df, profiles, widgets)
     fine = s.fine if s.date else "month"
-    date = s.date or df.columns[0]
-    subject = Subject(date, s.measure, s.aggregation, s.flag)
-    source = df if s.date else df.withColumn(date, F.lit(None).cast("date")).select(*df.columns)
+    subject = Subject(s.date, s.measure, s.aggregation, s.flag)
     measurable = not s.measure or is_number(df.schema[s.measure].dataType)
-    subject = subject if measurable else Subject(date, None, "count", s.flag)
-    cube = analysis_cube(source, subject, fine, list(s.categories), order_by).persist()
+    subject = subject if measurable else Subject(s.date, None, "count", s.flag)
+    cube = analysis_cube(df, subject, fine, list(s.categories), order_by).persist()
     try:
         return FactSet(materialised(_stories(cube, s)))
     finally:

@@ -19,7 +19,7 @@ ALL = "*"  # the pseudo-category that keeps rows without a category
 class Subject:
     """What the facts talk about: a measure and its aggregation, and a flag."""
 
-    date: str
+    date: str | None
     measure: str | None
     aggregation: str
     flag: str | None = None
@@ -36,10 +36,11 @@ def analysis_cube(
     """
     zero = F.lit(None).cast("double")
     first = F.col(order_by) if order_by else F.lit(None).cast("int")
+    bucket = bucket_start(F.col(f"`{subject.date}`"), grain) if subject.date else F.lit(None).cast("timestamp")
     # The category columns get positional names, as a category may be called anything.
     shown = {f"_c{i}": display_string(F.col(f"`{c}`"), df.schema[c].dataType) for i, c in enumerate(categories)}
     rows = df.select(
-        bucket_start(F.col(f"`{subject.date}`"), grain).alias("bucket"),
+        bucket.alias("bucket"),
         (number_column(df, subject.measure) if subject.measure else zero).alias("_m"),
         (number_column(df, subject.flag) if subject.flag else zero).alias("_f"),
         first.alias("_o"),
