@@ -15,8 +15,7 @@ ISO_TIMESTAMP = (
     r"(Z|[+-][0-9]{2}:?[0-9]{2})?$"
 )
 US_DATE = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
-TRUE_WORDS = ("true", "yes")
-FALSE_WORDS = ("false", "no")
+BOOLEANS = {"true": True, "false": False, "yes": True, "no": False}
 
 
 def is_temporal(dtype: T.DataType) -> bool:
@@ -50,8 +49,7 @@ def to_number(c: Column) -> Column:
 
 def to_boolean(c: Column) -> Column:
     """V3: true/false/yes/no in any case, else null."""
-    word = F.lower(trimmed(c))
-    return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
+    return F.create_map(*(F.lit(x) for word, value in BOOLEANS.items() for x in (word, value)))[F.lower(trimmed(c))]
 
 
 def is_day_only(c: Column) -> Column:

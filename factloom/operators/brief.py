@@ -374,8 +374,9 @@ def build_facts(
 
 def render_brief(sentences: DataFrame, facts: DataFrame) -> DataFrame:
     """``summary``, ``findings`` and ``questions`` of the grounded sentences."""
-    known = facts.agg(F.collect_set("id")).scalar()
-    grounded = sentences.filter(F.size(offenders(F.col("text"), known)) == 0)
+    # Schema-sized on both sides: a handful of sentences and the ids they may cite.
+    known = sentences.withColumn("known", facts.agg(F.collect_set("id")).scalar())
+    grounded = known.filter(F.size(offenders(F.col("text"), F.col("known"))) == 0)
     lead = F.when(F.col("slot") == "lead", 0).otherwise(1)
 
     def ordered(slots: list[str]) -> Column:

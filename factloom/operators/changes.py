@@ -57,6 +57,9 @@ def rank_drivers(cells: DataFrame, aggregation: Column) -> DataFrame:
     comparison's own total comes from the pseudo-category of all rows.
     """
 
+    tagged = cells.withColumn("_aggregation", aggregation)
+    aggregation = F.col("_aggregation")
+
     def published(side: str) -> tuple[Column, Column]:
         rows, total = F.coalesce(_side(side, "rows"), F.lit(0)).cast("double"), _side(side, "total")
         mean = F.try_divide(total, _side(side, "filled"))
@@ -66,7 +69,7 @@ def rank_drivers(cells: DataFrame, aggregation: Column) -> DataFrame:
 
     (now_total, now_value), (before_total, before_value) = published("now"), published("before")
     keys = ["story", "category", "category_rank", "key"]
-    sides = cells.withColumn("_aggregation", aggregation).groupBy(*keys, "sign", "_aggregation").agg(
+    sides = tagged.groupBy(*keys, "sign", "_aggregation").agg(
         now_total.alias("now_total"),
         now_value.alias("now_value"),
         before_total.alias("before_total"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from factloom.functions.naming import (
@@ -17,8 +17,11 @@ from factloom.functions.naming import (
     value_format,
 )
 
+
 # A dataset's columns are its schema: bounded, so ranking them per dataset is safe.
-PER_DATASET = Window.partitionBy("dataset_id")
+def per_dataset(*order: Column | str) -> WindowSpec:
+    window = Window.partitionBy("dataset_id")
+    return window.orderBy(*order) if order else window
 
 
 def rank_measures(profiles: DataFrame) -> DataFrame:
@@ -27,14 +30,14 @@ def rank_measures(profiles: DataFrame) -> DataFrame:
     return (
         profiles.filter((F.col("type") == "numeric") & (F.col("distinct_count") > 1))
         .withColumn("tier", tier)
-        .withColumn("rank", F.row_number().over(PER_DATASET.orderBy("tier", "position")))
+        .withColumn("rank", F.row_number().over(per_dataset("tier", "position")))
     )
 
 
 def flag_columns(profiles: DataFrame) -> DataFrame:
     """H2: booleans worth tracking, by position, with ``rank``."""
     return profiles.filter((F.col("type") == "boolean") & is_flag(F.col("name"))).withColumn(
-        "rank", F.row_number().over(PER_DATASET.orderBy("position"))
+        "rank", F.row_number().over(per_dataset("position"))
     )
 
 
