@@ -28,3 +28,12 @@ def finish(c: Column, aggregation: str) -> Column:
     if aggregation == "avg":
         return js_round(filled, 4)
     return filled
+
+
+def mean(total: Column, count: Column) -> Column:
+    """A mean from a floating-point total.
+
+    The total is snapped to six places first, so that the order in which tasks were
+    added up cannot decide a rounding tie.
+    """
+    return F.try_divide(js_round(total, 6), count)

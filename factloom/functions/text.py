@@ -14,10 +14,15 @@ ISO_TIMESTAMP = (
     r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}:[0-9]{2})(:[0-9]{2})?(\.[0-9]+)?"
     r"(Z|[+-][0-9]{2}:?[0-9]{2})?$"
 )
+DATE_START = r"^[0-9]{1,4}[-/]"
 US_DATE = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
 BOOLEANS = {"true": True, "false": False, "yes": True, "no": False}
 
 
+# The characters Unicode calls white space; ``trim`` alone only knows the plain one.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def is_temporal(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
@@ -32,8 +37,8 @@ def is_measurable(dtype: T.DataType) -> bool:
 
 
 def trimmed(c: Column) -> Column:
-    """Without leading and trailing Unicode white space (``trim`` only knows spaces)."""
-    return F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
+    """Without leading and trailing Unicode white space."""
+    return F.btrim(c.cast("string"), F.lit(WHITE_SPACE))
 
 
 def stripped(c: Column) -> Column:
@@ -41,53 +46,57 @@ def stripped(c: Column) -> Column:
     return F.nullif(trimmed(c), F.lit(""))
 
 
+# The recognisers below read trimmed text; their public forms trim first. Jobs that ask
+# several questions about a cell trim it once.
+
+
+def number_of(text: Column) -> Column:
+    return F.when(text.rlike(NUMBER), F.regexp_replace(text, NUMBER_NOISE, "").try_cast("double"))
+
+
+def boolean_of(text: Column) -> Column:
+    pairs = (F.lit(x) for word, value in BOOLEANS.items() for x in (word, value))
+    return F.create_map(*pairs)[F.lower(text)]
+
+
+def day_only_of(text: Column) -> Column:
+    return text.rlike(ISO_DAY) | text.rlike(US_DATE)
+
+
+def datetime_of(text: Column) -> Column:
+    # The cast reads every accepted form but a fraction or an offset right after the minutes.
+    full = F.when(F.substring(text, 17, 1) == ":", text).otherwise(
+        F.concat(F.substring(text, 1, 16), F.lit(":00"), F.substring(text, 17, 64))
+    )
+    us = F.split(text, "/")
+    us_day = F.concat_ws("-", F.get(us, F.lit(2)), F.lpad(F.get(us, F.lit(0)), 2, "0"), F.lpad(F.get(us, F.lit(1)), 2, "0"))
+    # Most cells are no dates: one short look at the start spares them the three patterns.
+    return F.when(
+        text.rlike(DATE_START),
+        F.when(text.rlike(ISO_DAY), text.try_cast("date").cast("timestamp"))
+        .when(text.rlike(ISO_TIMESTAMP), F.date_trunc("MILLISECOND", full.try_cast("timestamp")))
+        .when(text.rlike(US_DATE), us_day.try_cast("date").cast("timestamp")),
+    )
+
+
 def to_number(c: Column) -> Column:
     """V2: "$1,200.50", "12%", "-4.5" as doubles; anything else null."""
-    text = trimmed(c)
-    return F.when(text.rlike(NUMBER), F.regexp_replace(text, NUMBER_NOISE, "").try_cast("double"))
+    return number_of(trimmed(c))
 
 
 def to_boolean(c: Column) -> Column:
     """V3: true/false/yes/no in any case, else null."""
-    return F.create_map(*(F.lit(x) for word, value in BOOLEANS.items() for x in (word, value)))[F.lower(trimmed(c))]
+    return boolean_of(trimmed(c))
 
 
 def is_day_only(c: Column) -> Column:
     """V4: a plain date without a time part."""
-    text = trimmed(c)
-    return text.rlike(ISO_DAY) | text.rlike(US_DATE)
+    return day_only_of(trimmed(c))
 
 
 def to_datetime(c: Column) -> Column:
     """V5: ISO days, ISO timestamps and US dates as UTC timestamps of ms precision."""
-    text = trimmed(c)
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
-
-    zone = part(ISO_TIMESTAMP, 5)
-    seconds = part(ISO_TIMESTAMP, 3)
-    canonical = F.concat(
-        part(ISO_TIMESTAMP, 1),
-        F.lit("T"),
-        part(ISO_TIMESTAMP, 2),
-        F.when(seconds == "", F.lit(":00")).otherwise(seconds),
-        part(ISO_TIMESTAMP, 4),
-        F.when(zone.isin("", "Z"), F.lit("Z")).otherwise(
-            F.regexp_replace(zone, r"^([+-][0-9]{2})([0-9]{2})$", "$1:$2")
-        ),
-    )
-    us_day = F.concat_ws(
-        "-",
-        part(US_DATE, 3),
-        F.lpad(part(US_DATE, 1), 2, "0"),
-        F.lpad(part(US_DATE, 2), 2, "0"),
-    )
-    return (
-        F.when(text.rlike(ISO_DAY), text.try_cast("date").cast("timestamp"))
-        .when(text.rlike(ISO_TIMESTAMP), F.date_trunc("MILLISECOND", canonical.try_cast("timestamp")))
-        .when(text.rlike(US_DATE), us_day.try_cast("date").cast("timestamp"))
-    )
+    return datetime_of(trimmed(c))
 
 
 def iso_string(c: Column, dtype: T.DataType) -> Column:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.rounding import finish
+from factloom.functions.rounding import finish, mean
 from factloom.functions.text import category_key, is_measurable
 from factloom.model import OTHER
 
@@ -53,8 +53,10 @@ def aggregate_column(
         return F.count_distinct(only(F.col(column))).cast("double")
     if kind == "none":
         return F.max(F.lit(0.0))
-    function = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[kind]
-    return F.coalesce(function(only(number_column(df, column))), F.lit(0.0))
+    numbers = only(number_column(df, column))
+    if kind == "avg":
+        return F.coalesce(mean(F.sum(numbers), F.count(numbers)), F.lit(0.0))
+    return F.coalesce({"sum": F.sum, "min": F.min, "max": F.max}[kind](numbers), F.lit(0.0))
 
 
 def aggregate(
@@ -68,20 +70,21 @@ def aggregate(
 # ---------- states ----------
 
 
-def _states(df: DataFrame, column: str | None, kind: str) -> list[Column]:
-    states = [F.count(F.lit(1)).alias(ROWS)]
+def _states(df: DataFrame, column: str | None, kind: str) -> dict[str, Column]:
+    states = {ROWS: F.count(F.lit(1))}
     if kind in ("sum", "avg"):
-        states.append(F.sum(number_column(df, column)).alias(SUM))
+        states[SUM] = F.sum(number_column(df, column))
     if kind == "avg":
-        states.append(F.count(F.col(column)).alias(COUNT))
+        states[COUNT] = F.count(F.col(column))
     if kind == "min":
-        states.append(F.min(number_column(df, column)).alias(LOW))
+        states[LOW] = F.min(number_column(df, column))
     if kind == "max":
-        states.append(F.max(number_column(df, column)).alias(HIGH))
+        states[HIGH] = F.max(number_column(df, column))
     return states
 
 
-def _merged(kind: str) -> Column:
+def merged(kind: str) -> Column:
+    """The aggregate of merged states."""
     if kind == "count":
         return F.sum(ROWS).cast("double")
     if kind == "count_distinct":
@@ -89,43 +92,17 @@ def _merged(kind: str) -> Column:
     if kind == "none":
         return F.max(F.lit(0.0))
     if kind == "avg":
-        return F.try_divide(F.sum(SUM), F.sum(COUNT))
+        return mean(F.sum(SUM), F.sum(COUNT))
     return {"sum": F.sum(SUM), "min": F.min(LOW), "max": F.max(HIGH)}[kind]
 
 
-class PartialGroups:
-    """Mergeable states of one measure per combination of ``keys``."""
-
-    def __init__(self, frame: DataFrame, kind: str, aggregation: str) -> None:
-        self.frame = frame
-        self.kind = kind
-        self.aggregation = aggregation
-
-    def where(self, condition: Column) -> PartialGroups:
-        return PartialGroups(self.frame.filter(condition), self.kind, self.aggregation)
-
-    def with_column(self, name: str, c: Column) -> PartialGroups:
-        return PartialGroups(self.frame.withColumn(name, c), self.kind, self.aggregation)
-
-    def rollup(self, *keys: str) -> DataFrame:
-        """``keys``, ``value`` (rounded), ``rows`` and ``first`` per coarser group."""
-        return (
-            self.frame.groupBy(*keys)
-            .agg(
-                finish(_merged(self.kind), self.aggregation).alias("value"),
-                F.sum(ROWS).alias("rows"),
-                F.min(FIRST).alias("first"),
-            )
-        )
-
-
 def partial_groups(
     df: DataFrame,
     keys: dict[str, Column],
     column: str | None,
     aggregation: str,
     order_by: str | None = None,
-) -> PartialGroups:
+) -> DataFrame:
     """One pass over ``df``: states per combination of the named key columns.
 
     ``order_by`` names the column giving row order; groups carry its minimum so
@@ -137,13 +114,27 @@ def partial_groups(
     if kind == "count_distinct":
         named.append(F.col(column).alias(ITEM))
     first = F.min(order_by) if order_by else F.max(F.lit(None).cast("int"))
-    states = _states(df, column, kind)
+    states = [c.alias(name) for name, c in _states(df, column, kind).items()]
     grouped = df.groupBy(*named).agg(*states, first.alias(FIRST))
     # Always true, and not foldable: it keeps every state in the plan, so that the
     # rankings and the final fold share one exchange instead of pruning it apart.
     alive = sum((F.isnull(s).cast("int") for s in (SUM, COUNT, LOW, HIGH, FIRST) if s in grouped.columns),
                 F.col(ROWS))
-    return PartialGroups(grouped.filter(alive > 0), kind, aggregation)
+    return grouped.filter(alive > 0)
+
+
+def present(*keys: str, rows: str = ROWS) -> Column:
+    """The keys are not null. Tied to a state, so the condition stays above the shared
+    aggregation; pushed below it, each reader would scan the table for itself."""
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & F.col(key).isNotNull()
+    return F.when(F.col(rows) > 0, condition)
+
+
+def rollup(groups: DataFrame, value: Column, *keys: str | Column) -> DataFrame:
+    """``keys``, ``value``, ``rows`` and ``first`` per coarser group."""
+    return groups.groupBy(*keys).agg(value.alias("value"), F.sum(ROWS).alias("rows"), F.min(FIRST).alias("first"))
 
 
 def group_by_category(
@@ -152,39 +143,38 @@ def group_by_category(
     """``key``, ``value``, ``rows`` and ``first`` per non-null category."""
     label = category_key(F.col(key), df.schema[key].dataType)
     groups = partial_groups(df, {"key": label}, column, aggregation, order_by)
-    return groups.where(F.col("key").isNotNull()).rollup("key")
+    kind = effective_aggregation(df, column, aggregation)
+    return rollup(groups.filter(F.col("key").isNotNull()), finish(merged(kind), aggregation), "key")
 
 
 # ---------- top-N with "Other" ----------
 
 
-def top_names(groups: DataFrame, key: str, limit: int, by_rows: bool = False) -> DataFrame:
-    """One row: ``names`` in rank order, the rest folded into a final "Other".
+def ranked_names(
+    groups: DataFrame, key: str, by: str, limits: dict[str, int], by_rows: bool = False
+) -> DataFrame:
+    """``(by, <key>_names)``: per chart the kept names in rank order, "Other" last if any fold.
 
-    ``groups`` is a rollup with one row per ``key``. The ranked limit compiles to
-    a distributed top-k, so only ``limit + 1`` rows ever meet in one task.
+    ``groups`` is a rollup with one row per chart and key; ``limits`` gives the
+    number of names per chart. The rank filter runs before the shuffle, so a chart
+    receives at most ``limit + 1`` rows per task however many keys there are.
     """
     measure = F.col("rows") if by_rows else F.col("value")
     order = [measure.desc(), F.col("first").asc_nulls_last(), F.col(key).asc()]
-    ranked = (
-        groups.filter(F.col(key).isNotNull())
-        .withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
-        .filter(F.col("_rank") <= limit + 1)
-    )
-    listed = ranked.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_rank", F.col(key).alias("_name")))), lambda s: s["_name"]
-        ).alias("all")
-    )
-    kept = F.filter(F.slice("all", 1, limit - 1), lambda n: n != OTHER) if limit > 1 else F.array().cast("array<string>")
-    return listed.select(
-        F.when(F.size("all") <= limit, F.col("all")).otherwise(F.concat(kept, F.array(F.lit(OTHER)))).alias("names")
-    )
-
-
-def folded(key: Column, names: Column) -> Column:
-    """The label of a key under ``names``: itself when kept, else "Other"; null stays null."""
-    return F.when(key.isNotNull(), F.when(F.array_contains(names, key), key).otherwise(F.lit(OTHER)))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    ranked = groups.filter(present(key, rows="rows")).withColumn("_rank", place).filter(F.col("_rank") <= max(limits.values()) + 1)
+    entries = F.array_sort(F.collect_list(F.struct("_rank", F.col(key).alias("_name"))))
+    listed = ranked.groupBy(by).agg(F.transform(entries, lambda s: s["_name"]).alias("_all"))
+    limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col(by)]
+    kept = F.filter(F.slice("_all", F.lit(1), limit - 1), lambda n: n != OTHER)
+    names = F.when(F.size("_all") <= limit, F.col("_all")).otherwise(F.array_append(kept, F.lit(OTHER)))
+    return listed.select(by, names.alias(f"{key}_names"))
+
+
+def folded(key: str) -> Column:
+    """A key under its chart's names: itself when kept, else "Other"; null stays null."""
+    c = F.col(key)
+    return F.when(c.isNotNull(), F.when(F.array_contains(f"{key}_names", c), c).otherwise(F.lit(OTHER)))
 
 
 def top_with_other(
@@ -198,7 +188,11 @@ def top_with_other(
 ) -> DataFrame:
     """``key``, ``value``, ``rows``, ``ord``; the folded rows are re-aggregated, "Other" last."""
     label = category_key(F.col(key), df.schema[key].dataType)
-    groups = partial_groups(df, {"key": label}, column, aggregation, order_by).where(F.col("key").isNotNull())
-    names = top_names(groups.rollup("key"), "key", limit, by_rows).scalar()
-    cells = groups.with_column("key", folded(F.col("key"), names)).rollup("key")
-    return cells.select("key", "value", "rows", (F.array_position(names, F.col("key")) - 1).cast("int").alias("ord"))
+    value = finish(merged(effective_aggregation(df, column, aggregation)), aggregation)
+    groups = partial_groups(df, {"chart": F.lit("top"), "key": label}, column, aggregation, order_by)
+    names = ranked_names(rollup(groups, value, "chart", "key"), "key", "chart", {"top": limit}, by_rows)
+    # One row of at most ``limit`` names.
+    kept = groups.filter(present("key")).join(F.broadcast(names), "chart")
+    place = (F.array_position("key_names", folded("key")) - 1).cast("int")
+    cells = rollup(kept, value, folded("key").alias("key"), place.alias("ord"))
+    return cells.select("key", "value", "rows", "ord")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.calendar import bucket_start
-from factloom.functions.rounding import finish
+from factloom.functions.rounding import finish, mean
 from factloom.functions.text import display_string
 from factloom.operators.aggregates import number_column
 from factloom.operators.cube import ALL
@@ -62,10 +62,9 @@ def rank_drivers(cells: DataFrame, aggregation: Column) -> DataFrame:
 
     def published(side: str) -> tuple[Column, Column]:
         rows, total = F.coalesce(_side(side, "rows"), F.lit(0)).cast("double"), _side(side, "total")
-        mean = F.try_divide(total, _side(side, "filled"))
         counted = aggregation == "count"
         whole = F.when(counted, rows).otherwise(finish(total, "sum"))
-        return whole, F.when(aggregation == "avg", finish(mean, "avg")).otherwise(whole)
+        return whole, F.when(aggregation == "avg", finish(mean(total, _side(side, "filled")), "avg")).otherwise(whole)
 
     (now_total, now_value), (before_total, before_value) = published("now"), published("before")
     keys = ["story", "category", "category_rank", "key"]

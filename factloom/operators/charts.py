@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.calendar import bucket_start, bucket_text
+from factloom.functions.calendar import bucket_start, bucket_text, known_grain
 from factloom.functions.naming import value_format
-from factloom.functions.rounding import js_round
+from factloom.functions.rounding import finish, js_round
 from factloom.functions.text import category_key, display_string, is_number, is_temporal
 from factloom.model import SINGLE_SERIES, WidgetSpec
-from factloom.operators.aggregates import PartialGroups, folded, partial_groups, top_names
-
+from factloom.operators.aggregates import (
+    effective_aggregation,
+    folded,
+    merged,
+    partial_groups,
+    present,
+    ranked_names,
+    rollup,
+)
+
+CHART = "_chart"
 SPLIT_LIMIT = 5
 BINS = 20
 POINTS = "x string, series string, value double, x_ord int, series_ord int"
@@ -27,6 +40,39 @@ def _label(df: DataFrame, column: str | None) -> Column:
     return category_key(F.col(column), df.schema[column].dataType)
 
 
+@dataclass(frozen=True)
+class Chart:
+    """A widget as the chart functions need it: how its states merge, and its limits."""
+
+    id: str
+    kind: str
+    aggregation: str
+    grain: str | None = None
+    limit: int = 8
+    split: bool = False
+
+    @staticmethod
+    def of(df: DataFrame, spec: WidgetSpec, widget_id: str = "w") -> Chart:
+        kind = effective_aggregation(df, spec.y, spec.aggregation)
+        limit = spec.limit or (6 if spec.chart_type == "donut" else 8)
+        split = bool(spec.split and spec.split in df.columns)
+        return Chart(widget_id, kind, spec.aggregation, known_grain(spec.time_grain), limit, split)
+
+
+def _per_chart(charts: list[Chart], pick: Callable[[Chart], Any], make: Callable[[Any], Column]) -> Column:
+    """An expression that differs by chart; a single one when they all agree."""
+    variants: dict[Any, list[str]] = {}
+    for c in charts:
+        variants.setdefault(pick(c), []).append(c.id)
+    if len(variants) == 1:
+        return make(next(iter(variants)))
+    return F.coalesce(*(F.when(F.col(CHART).isin(ids), make(v)) for v, ids in variants.items()))
+
+
+def _value(charts: list[Chart]) -> Column:
+    return _per_chart(charts, lambda c: (c.kind, c.aggregation), lambda v: finish(merged(v[0]), v[1]))
+
+
 # ---------- time ----------
 
 
@@ -34,49 +80,41 @@ def time_series(df: DataFrame, spec: WidgetSpec, order_by: str | None = None) ->
     """Bucket by series. Missing series of a bucket become 0 for sum and count only."""
     if spec.x not in df.columns or not is_temporal(df.schema[spec.x].dataType):
         return _empty(df)
-    keys = {"bucket": bucket_start(F.col(spec.x), spec.time_grain), "series": _label(df, spec.split)}
-    groups = partial_groups(df, keys, spec.y, spec.aggregation, order_by)
-    return time_series_of(groups, spec, bool(spec.split and spec.split in df.columns))
-
-
-def time_series_of(groups: PartialGroups, spec: WidgetSpec, split: bool) -> DataFrame:
-    """A9 from states per (bucket, series)."""
-    dated = groups.where(F.col("bucket").isNotNull() & F.col("series").isNotNull())
-    # Buckets are bounded by the calendar, so ranking them in one task is safe.
-    by_bucket = Window.orderBy("bucket")
-    if not split:
-        cells = dated.rollup("bucket")
-        return cells.select(
-            bucket_text(F.col("bucket"), spec.time_grain).alias("x"),
-            F.lit(SINGLE_SERIES).alias("series"),
-            "value",
-            (F.row_number().over(by_bucket) - 1).alias("x_ord"),
-            F.lit(0).alias("series_ord"),
-        )
-    names = top_names(groups.rollup("series"), "series", SPLIT_LIMIT).scalar()
-    cells = dated.with_column("series", folded(F.col("series"), names)).rollup("bucket", "series")
-    # At most SPLIT_LIMIT entries per bucket.
+    chart = Chart.of(df, spec)
+    keys = {CHART: F.lit(chart.id), "bucket": bucket_start(F.col(spec.x), spec.time_grain), "series": _label(df, spec.split)}
+    return time_points(partial_groups(df, keys, spec.y, spec.aggregation, order_by), [chart]).drop(CHART)
+
+
+def time_points(groups: DataFrame, charts: list[Chart]) -> DataFrame:
+    """A9 for several charts at once, from states per (chart, bucket, series)."""
+    value = _value(charts)
+    # Buckets are bounded by the calendar, so ranking them per chart is safe.
+    place = F.dense_rank().over(Window.partitionBy(CHART).orderBy("bucket")) - 1
+    x = _per_chart(charts, lambda c: c.grain, lambda g: bucket_text(F.col("bucket"), g)).alias("x")
+    if not any(c.split for c in charts):
+        cells = rollup(groups.filter(present("bucket")), value, CHART, "bucket")
+        return cells.select(CHART, x, F.lit(SINGLE_SERIES).alias("series"), "value", place.alias("x_ord"), F.lit(0).alias("series_ord"))
+    names = ranked_names(rollup(groups, value, CHART, "series"), "series", CHART, {c.id: SPLIT_LIMIT for c in charts})
+    # A row of at most SPLIT_LIMIT names per chart.
+    kept = groups.filter(present("bucket", "series")).join(F.broadcast(names), CHART)
+    cells = rollup(kept, value, CHART, "bucket", folded("series").alias("series"), "series_names")
     by_series = F.map_from_entries(F.collect_list(F.struct("series", "value")))
-    buckets = cells.groupBy("bucket").agg(by_series.alias("cells")).select(
-        "bucket", "cells", (F.dense_rank().over(by_bucket) - 1).alias("x_ord")
-    )
-    fill = spec.aggregation in ("sum", "count")
+    buckets = cells.groupBy(CHART, "bucket", "series_names").agg(by_series.alias("cells"))
     points = buckets.select(
-        "bucket", "x_ord", "cells", F.posexplode(names).alias("rank", "series")
+        CHART, "bucket", "cells", place.alias("x_ord"), F.posexplode("series_names").alias("rank", "series")
     ).withColumn("present", F.map_contains_key(F.col("cells"), F.col("series")))
-    if not fill:
-        points = points.filter("present")
+    filled = [c.id for c in charts if c.aggregation in ("sum", "count")]
+    points = points.filter(F.col("present") | F.col(CHART).isin(filled)) if filled else points.filter("present")
     # First seen along ascending buckets: within one bucket, series with rows lead.
-    seen = F.min(F.struct("x_ord", (~F.col("present")).alias("late"), "rank")).over(Window.partitionBy("series"))
-    return (
-        points.withColumn("seen", seen)
-        .select(
-            bucket_text(F.col("bucket"), spec.time_grain).alias("x"),
-            "series",
-            F.coalesce(F.col("cells")[F.col("series")], F.lit(0.0)).alias("value"),
-            "x_ord",
-            (F.dense_rank().over(Window.orderBy("seen")) - 1).alias("series_ord"),
-        )
+    seen = F.min(F.struct("x_ord", (~F.col("present")).alias("late"), "rank")).over(Window.partitionBy(CHART, "series"))
+    order = F.dense_rank().over(Window.partitionBy(CHART).orderBy("seen")) - 1
+    return points.withColumn("seen", seen).select(
+        CHART,
+        x,
+        "series",
+        F.coalesce(F.col("cells")[F.col("series")], F.lit(0.0)).alias("value"),
+        "x_ord",
+        order.alias("series_ord"),
     )
 
 
@@ -87,28 +125,33 @@ def category_series(df: DataFrame, spec: WidgetSpec, order_by: str | None = None
     """A10: top categories by split; absent cells are 0 for every aggregate."""
     if spec.x not in df.columns:
         return _empty(df)
-    keys = {"x": _label(df, spec.x), "series": _label(df, spec.split)}
-    return category_series_of(partial_groups(df, keys, spec.y, spec.aggregation, order_by), spec)
-
-
-def category_series_of(groups: PartialGroups, spec: WidgetSpec) -> DataFrame:
-    """A10 from states per (x, series): x ranks by value, the split by row count."""
-    limit = spec.limit or (6 if spec.chart_type == "donut" else 8)
-    names = top_names(groups.rollup("x"), "x", limit)
-    categories = names.scalar()
-    splits = top_names(groups.rollup("series"), "series", SPLIT_LIMIT, by_rows=True).scalar()
-    cells = (
-        groups.where(F.col("x").isNotNull() & F.col("series").isNotNull())
-        .with_column("x", folded(F.col("x"), categories))
-        .with_column("series", folded(F.col("series"), splits))
-        .rollup("x", "series")
-        .select("x", "series", F.col("value").alias("cell"))
-    )
-    grid = names.select(F.posexplode("names").alias("x_ord", "x")).select(
-        "x", "x_ord", F.posexplode(splits).alias("series_ord", "series")
-    )
-    return grid.join(cells, ["x", "series"], "left").select(
-        "x", "series", F.coalesce("cell", F.lit(0.0)).alias("value"), "x_ord", "series_ord"
+    chart = Chart.of(df, spec)
+    keys = {CHART: F.lit(chart.id), "x": _label(df, spec.x), "series": _label(df, spec.split)}
+    return category_points(partial_groups(df, keys, spec.y, spec.aggregation, order_by), [chart]).drop(CHART)
+
+
+def category_points(groups: DataFrame, charts: list[Chart]) -> DataFrame:
+    """A10 for several charts at once, from states per (chart, x, series).
+
+    x ranks by value, the split by row count; rows without a split still count for
+    the ranking of x.
+    """
+    value = _value(charts)
+    categories = ranked_names(rollup(groups, value, CHART, "x"), "x", CHART, {c.id: c.limit for c in charts})
+    # Rows of at most ``limit`` and SPLIT_LIMIT names per chart.
+    kept = groups.filter(present("x")).join(F.broadcast(categories), CHART)
+    x_ord = (F.array_position("x_names", folded("x")) - 1).cast("int").alias("x_ord")
+    if not any(c.split for c in charts):
+        cells = rollup(kept, value, CHART, folded("x").alias("x"), x_ord)
+        return cells.select(CHART, "x", F.lit(SINGLE_SERIES).alias("series"), "value", "x_ord", F.lit(0).alias("series_ord"))
+    by_rows = rollup(groups, F.lit(0.0), CHART, "series")
+    splits = ranked_names(by_rows, "series", CHART, {c.id: SPLIT_LIMIT for c in charts}, by_rows=True)
+    kept = kept.join(F.broadcast(splits), CHART)
+    cells = rollup(kept, value, CHART, folded("x").alias("x"), x_ord, folded("series").alias("series"), "series_names")
+    entry = F.when(F.col("series").isNotNull(), F.struct("series", "value"))
+    rows = cells.groupBy(CHART, "x", "x_ord", "series_names").agg(F.map_from_entries(F.collect_list(entry)).alias("cells"))
+    return rows.select(CHART, "x", "x_ord", "cells", F.posexplode("series_names").alias("series_ord", "series")).select(
+        CHART, "x", "series", F.coalesce(F.col("cells")[F.col("series")], F.lit(0.0)).alias("value"), "x_ord", "series_ord"
     )
 
 
@@ -172,41 +215,46 @@ def histogram_of(counts: DataFrame, bounds: DataFrame) -> DataFrame:
 # ---------- dispatch ----------
 
 
-def with_format(points: DataFrame, spec: WidgetSpec, widget_id: str) -> DataFrame:
+def _formats(specs: dict[str, WidgetSpec], chart: Column) -> tuple[Column, Column]:
+    """Value format and, for histograms, x format of each chart; names are known on the driver."""
+    value, x = [], []
+    for widget_id, spec in specs.items():
+        histogram_chart = spec.chart_type == "histogram"
+        value.append(F.when(chart == widget_id, F.lit("number") if histogram_chart else value_format(F.lit(spec.y or ""), spec.aggregation)))
+        if histogram_chart:
+            x.append(F.when(chart == widget_id, value_format(F.lit(spec.x), "sum")))
+    return F.coalesce(*value), (F.coalesce(*x) if x else F.lit(None).cast("string"))
+
+
+def with_format(points: DataFrame, specs: dict[str, WidgetSpec]) -> DataFrame:
     """The common result shape of every chart type, so that results can be unioned."""
-    if spec.chart_type == "histogram":
-        double = points.schema["x"].dataType
-        points = points.select(
-            display_string(F.col("x"), double).alias("x"),
-            display_string(F.col("x2"), double).alias("x2"),
-            F.lit(SINGLE_SERIES).alias("series"),
-            "value",
-            "x_ord",
-            F.lit(0).alias("series_ord"),
-        )
-        formats = (F.lit("number"), value_format(F.lit(spec.x), "sum"))
-    else:
-        points = points.withColumn("x2", F.lit(None).cast("string"))
-        formats = (value_format(F.lit(spec.y or ""), spec.aggregation), F.lit(None).cast("string"))
+    value, x = _formats(specs, F.col(CHART))
+    x2 = F.col("x2") if "x2" in points.columns else F.lit(None).cast("string")
     return points.select(
-        F.lit(widget_id).alias("widget_id"),
-        "x",
-        "x2",
-        "series",
+        F.col(CHART).alias("widget_id"), "x", x2.alias("x2"), "series", "value", "x_ord", "series_ord", value.alias("format"), x.alias("x_format")
+    )
+
+
+def histogram_points(bins: DataFrame, widget_id: str) -> DataFrame:
+    """A histogram in the shape of the other charts: edges as text, one series."""
+    double = bins.schema["x"].dataType
+    return bins.select(
+        F.lit(widget_id).alias(CHART),
+        display_string(F.col("x"), double).alias("x"),
+        display_string(F.col("x2"), double).alias("x2"),
+        F.lit(SINGLE_SERIES).alias("series"),
         "value",
         "x_ord",
-        "series_ord",
-        formats[0].alias("format"),
-        formats[1].alias("x_format"),
+        F.lit(0).alias("series_ord"),
     )
 
 
 def run_widget(df: DataFrame, spec: WidgetSpec, widget_id: str = "w", order_by: str | None = None) -> DataFrame:
     """The chart of one spec, with its value format."""
     if spec.chart_type in ("line", "area"):
-        points = time_series(df, spec, order_by)
+        points = time_series(df, spec, order_by).withColumn(CHART, F.lit(widget_id))
     elif spec.chart_type in ("bar", "donut"):
-        points = category_series(df, spec, order_by)
+        points = category_series(df, spec, order_by).withColumn(CHART, F.lit(widget_id))
     else:
-        points = histogram(df, spec.x)
-    return with_format(points, spec, widget_id)
+        points = histogram_points(histogram(df, spec.x), widget_id)
+    return with_format(points, {widget_id: spec})

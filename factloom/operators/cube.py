@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.calendar import bucket_start, bucket_text
-from factloom.functions.rounding import finish
+from factloom.functions.rounding import finish, mean
 from factloom.functions.text import display_string
 from factloom.operators.aggregates import aggregate_column, number_column
 
@@ -66,7 +66,7 @@ def cube_value(aggregation: str, flag: bool = False) -> Column:
     if aggregation == "count":
         return finish(F.sum("rows"), "count")
     if aggregation == "avg":
-        return finish(F.try_divide(F.sum("total"), F.sum("filled")), "avg")
+        return finish(mean(F.sum("total"), F.sum("filled")), "avg")
     return finish(F.sum("total"), "sum")
 
 

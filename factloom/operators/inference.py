@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import is_day_only, stripped, to_boolean, to_datetime, to_number, trimmed
+from factloom.functions.text import boolean_of, datetime_of, number_of, trimmed
 
 # Names that decide a type, and the shape of an id.
 ID_NAME = r"(?i)(^id$|_id$|^id_|uuid|guid)"
@@ -43,16 +43,15 @@ def _long_form(df: DataFrame, names: list[str]) -> DataFrame:
 
 def _statistics(df: DataFrame) -> DataFrame:
     """One row per column with at least one row, from a single scan."""
-    number = to_number(F.col("raw"))
-    when = to_datetime(F.col("raw"))
-    cells = _long_form(df, df.columns).filter(trimmed(F.col("raw")) != "")
+    text = F.col("text")
+    cells = _long_form(df, df.columns).withColumn("text", trimmed(F.col("raw"))).filter(text != "")
     parsed = cells.select(
         "name",
         "raw",
-        number.alias("number"),
-        when.isNotNull().alias("dated"),
-        is_day_only(F.col("raw")).alias("day"),
-        to_boolean(F.col("raw")).isNotNull().alias("flag"),
+        number_of(text).alias("number"),
+        datetime_of(text).isNotNull().alias("dated"),
+        (F.length(text) <= 10).alias("day"),  # of the accepted forms, the plain dates
+        boolean_of(text).isNotNull().alias("flag"),
         F.col("raw").rlike(ID_VALUE).alias("id_like"),
     )
     return parsed.groupBy("name").agg(
@@ -107,17 +106,17 @@ def plan_columns(df: DataFrame) -> list[ColumnPlan]:
                 and rows[name]["sketch"] >= UNIQUE_SHARE * rows[name]["present"])
         )
     ]
-    exact = {r["name"]: r["distinct"] for r in _exact_distinct(df, unsure).collect()} if unsure else {}
-    schema = "name string, present long, flags long, dates long, numbers long, integers long, id_like long, distinct long"
+    schema = "name string, present long, flags long, dates long, numbers long, integers long, id_like long"
     fields = ("present", "flags", "dates", "numbers", "integers", "id_like")
+    local = [(name, *(rows.get(name, {}).get(f, 0) for f in fields)) for name in df.columns]
+    frame = df.sparkSession.createDataFrame(local, schema)
     # A column without an exact count has too many values for a category and repeats some.
-    statistics = [
-        (name, *(rows.get(name, {}).get(f, 0) for f in fields), exact.get(name, -1)) for name in df.columns
-    ]
-    frame = df.sparkSession.createDataFrame(statistics, schema)
-    beyond = F.when(F.col("distinct") >= 0, F.col("distinct")).otherwise(F.lit(2**62))
-    typed = frame.withColumn("distinct", beyond).select("name", type_rules().alias("type"))
-    types = {r["name"]: r["type"] for r in typed.collect()}
+    beyond = F.lit(2**62)
+    if unsure:
+        frame = frame.join(_exact_distinct(df, unsure), "name", "left").withColumn("distinct", F.coalesce("distinct", beyond))
+    else:
+        frame = frame.withColumn("distinct", beyond)
+    types = {r["name"]: r["type"] for r in frame.select("name", type_rules().alias("type")).collect()}
     return [column_choices(name, i, types[name], rows.get(name)) for i, name in enumerate(df.columns)]
 
 
@@ -140,18 +139,17 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def coerced(plan: ColumnPlan) -> Column:
-    """One column in its type; unparseable values become null."""
-    c = F.col(f"`{plan.name}`")
+    """One trimmed column in its type; unparseable values become null."""
+    text = F.col(f"`{plan.name}`")
     if plan.type == "numeric":
-        number = to_number(c)
-        value = number.try_cast("bigint") if plan.integers else number
+        value = number_of(text).try_cast("bigint") if plan.integers else number_of(text)
     elif plan.type == "datetime":
-        stamp = to_datetime(c)
+        stamp = datetime_of(text)
         value = stamp.cast("date") if plan.days else stamp
     elif plan.type == "boolean":
-        value = to_boolean(c)
+        value = boolean_of(text)
     else:
-        value = stripped(c)
+        value = F.nullif(text, F.lit(""))
     return value.alias(plan.name, metadata={"type": plan.type})
 
 
@@ -164,7 +162,8 @@ def plans_for(df: DataFrame, types: dict[str, str]) -> list[ColumnPlan]:
 def coerce(df: DataFrame, types: dict[str, str] | list[ColumnPlan]) -> DataFrame:
     """The typed table. Column plans of T1 save the scan for the decisions."""
     plans = plans_for(df, types) if isinstance(types, dict) else types
-    return df.select(*(coerced(p) for p in plans))
+    text = df.select(*(trimmed(F.col(f"`{p.name}`")).alias(p.name) for p in plans))
+    return text.select(*(coerced(p) for p in plans))
 
 
 def retype(plans: list[ColumnPlan], df: DataFrame, column: str, kind: str) -> list[ColumnPlan]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.calendar import day_index
 from factloom.functions.naming import default_aggregation, entity_label, flag_noun, is_flag, measure_label, value_format
-from factloom.functions.rounding import finish, js_round
+from factloom.functions.rounding import finish, js_round, mean
 from factloom.functions.text import is_temporal
 from factloom.model import DateRange, Filters
 from factloom.operators.aggregates import effective_aggregation, number_column
@@ -153,7 +153,7 @@ def _masked_values(df: DataFrame, kpis: list[Kpi], masks: dict[str, Column]) ->
                 states += [F.sum(number).alias(f"_s_{key}"), F.count(number).alias(f"_n_{key}")]
                 value = F.sum(f"_s_{key}")
                 if kind == "avg":
-                    value = F.try_divide(value, F.sum(f"_n_{key}"))
+                    value = mean(value, F.sum(f"_n_{key}"))
             else:
                 function = F.min if kind == "min" else F.max
                 states.append(function(F.when(mask, number_column(df, kpi.column))).alias(f"_x_{key}"))

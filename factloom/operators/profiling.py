@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.calendar import infer_grain
-from factloom.functions.rounding import js_round
+from factloom.functions.rounding import js_round, mean
 from factloom.functions.text import display_string, is_number, is_temporal, iso_string
 from factloom.operators.quantiles import ROWS_IN_MEMORY, quantiles
 
@@ -53,7 +53,7 @@ def _numeric(name: str) -> Column:
     return F.struct(
         F.min(c).alias("min"),
         F.max(c).alias("max"),
-        js_round(F.avg(c), 4).alias("mean"),
+        js_round(mean(F.sum(c), F.count(c)), 4).alias("mean"),
         js_round(F.sum(c), 2).alias("sum"),
     )
 

@@ -16,24 +16,17 @@ from pyspark.sql import functions as F
 from factloom.functions.calendar import bucket_start, known_grain
 from factloom.functions.text import category_key, is_number, is_temporal
 from factloom.model import SINGLE_SERIES, Filters, WidgetSpec
-from factloom.operators.aggregates import (
-    COUNT,
-    FIRST,
-    HIGH,
-    LOW,
-    ROWS,
-    SUM,
-    PartialGroups,
-    effective_aggregation,
-    number_column,
-)
+from factloom.operators.aggregates import COUNT, FIRST, HIGH, LOW, ROWS, SUM, effective_aggregation, number_column
 from factloom.operators.charts import (
-    category_series_of,
+    CHART,
+    Chart,
+    category_points,
     histogram_bin,
     histogram_bounds,
     histogram_of,
+    histogram_points,
     run_widget,
-    time_series_of,
+    time_points,
     with_format,
 )
 from factloom.operators.filters import apply_filters, clean_filters
@@ -121,26 +114,31 @@ class _SharedCube:
         self.cube = grouped.persist(StorageLevel.MEMORY_AND_DISK)
         return self.cube
 
-    def _rows_of(self, keys: list[str]) -> DataFrame:
+    def _set_of(self, keys: list[str]) -> int:
         names = list(self.keys.values())
-        number = sum(1 << (len(names) - 1 - i) for i, n in enumerate(names) if n not in keys)
-        return self.cube.filter(F.col("_set") == number)
-
-    def points(self, i: int, spec: WidgetSpec) -> DataFrame:
-        keys = self.sets[i]
-        rows = self._rows_of(keys)
-        if spec.chart_type == "histogram":
-            counts = rows.filter(F.col(keys[0]).isNotNull()).select(F.col(keys[0]).alias("bin"), F.col(ROWS).alias("n"))
-            return histogram_of(counts, self.bounds[spec.x])
-        kind = effective_aggregation(self.df, spec.y, spec.aggregation)
-        m = self.measures.get(spec.y, "")
-        states = [F.col(m + s).alias(s) for s in (SUM, COUNT, LOW, HIGH) if m + s in self.states]
-        split = len(keys) > 1
-        series = F.col(keys[1]) if split else F.lit(SINGLE_SERIES)
-        x = "bucket" if spec.chart_type in TIME_CHARTS else "x"
-        frame = rows.select(F.col(keys[0]).alias(x), series.alias("series"), ROWS, *states, FIRST)
-        groups = PartialGroups(frame, kind, spec.aggregation)
-        return time_series_of(groups, spec, split) if x == "bucket" else category_series_of(groups, spec)
+        return sum(1 << (len(names) - 1 - i) for i, n in enumerate(names) if n not in keys)
+
+    def histogram(self, i: int, spec: WidgetSpec) -> DataFrame:
+        bin_ = F.col(self.sets[i][0])
+        counts = self.cube.filter((F.col("_set") == self._set_of(self.sets[i])) & bin_.isNotNull())
+        return histogram_of(counts.select(bin_.alias("bin"), F.col(ROWS).alias("n")), self.bounds[spec.x])
+
+    def cells(self, members: list[tuple[int, str, WidgetSpec]], key: str) -> DataFrame:
+        """States of several charts as ``(chart, key, series, states)``: a cube row is
+        repeated for every chart that reads its grouping set."""
+        entries = []
+        for i, widget_id, spec in members:
+            keys = self.sets[i]
+            m = self.measures.get(spec.y, "")
+            states = [
+                (F.col(m + s) if m + s in self.states else F.lit(None)).cast("bigint" if s == COUNT else "double").alias(s)
+                for s in (SUM, COUNT, LOW, HIGH)
+            ]
+            series = F.col(keys[1]) if len(keys) > 1 else F.lit(SINGLE_SERIES)
+            entry = F.struct(F.lit(widget_id).alias(CHART), F.col(keys[0]).alias(key), series.alias("series"), *states)
+            entries.append(F.when(F.col("_set") == self._set_of(keys), entry))
+        rows = self.cube.select(ROWS, FIRST, F.explode(F.array_compact(F.array(*entries))).alias("_cell"))
+        return rows.select("_cell.*", ROWS, FIRST)
 
 
 def dashboard_query(
@@ -153,23 +151,34 @@ def dashboard_query(
 ) -> DashboardResult:
     """``points`` of every widget with its ``widget_id``, and the KPI rows.
 
-    Distinct counts cannot be merged from states and keep a scan of their own.
+    Charts of one family are ranked, folded and filled together, so the number of
+    Spark jobs does not grow with the number of widgets. Distinct counts cannot be
+    merged from states and keep a scan of their own.
     """
     filters = clean_filters(df, filters, date_column)
     filtered = apply_filters(df, filters)
-    shared = [(i, s) for i, s in widgets.items() if _shares_scan(df, s)]
-    results = {}
+    shared = {i: s for i, s in widgets.items() if _shares_scan(df, s)}
+    parts = [run_widget(filtered, s, i, order_by) for i, s in widgets.items() if i not in shared]
     cube = None
     if shared:
-        common = _SharedCube(filtered, [s for _, s in shared], order_by)
+        common = _SharedCube(filtered, list(shared.values()), order_by)
         cube = common.build()
-        for n, (widget_id, spec) in enumerate(shared):
-            results[widget_id] = with_format(common.points(n, spec), spec, widget_id)
-    for widget_id, spec in widgets.items():
-        if widget_id not in results:
-            results[widget_id] = run_widget(filtered, spec, widget_id, order_by)
+        members = [(n, i, s) for n, (i, s) in enumerate(shared.items())]
+        families = {
+            "bucket": [m for m in members if m[2].chart_type in TIME_CHARTS],
+            "x": [m for m in members if m[2].chart_type in ("bar", "donut")],
+        }
+        for key, family in families.items():
+            if family:
+                charts = [Chart.of(df, s, i) for _, i, s in family]
+                cells = common.cells(family, key)
+                points = time_points(cells, charts) if key == "bucket" else category_points(cells, charts)
+                parts.append(with_format(points, {i: s for _, i, s in family}))
+        for n, i, s in members:
+            if s.chart_type == "histogram":
+                parts.append(with_format(histogram_points(common.histogram(n, s), i), {i: s}))
     points = None
-    for widget_id in widgets:
-        points = results[widget_id] if points is None else points.unionByName(results[widget_id])
+    for part in parts:
+        points = part if points is None else points.unionByName(part)
     strip = None if kpis is None else compute_kpis(df, kpis, date_column, filters)
     return DashboardResult(points, strip, cube)

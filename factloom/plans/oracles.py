@@ -29,7 +29,9 @@ def agg(kind: str, y: str = "y", where: str = "") -> str:
         return f"(count(*){tail})::DOUBLE"
     if kind == "count_distinct":
         return f"(count(DISTINCT {y}){tail})::DOUBLE"
-    value = f"coalesce({kind}({y}){tail}, 0)"
+    # Exact totals: the data has two decimals, and a float sum may fall either side of a tie.
+    total = f"(sum(({y})::DECIMAL(30, 6)){tail})::DOUBLE"
+    value = f"coalesce({total if kind == 'sum' else f'{total} / count({y}){tail}' if kind == 'avg' else f'{kind}({y}){tail}'}, 0)"
     return {"sum": r(value, 2), "avg": r(value, 4)}.get(kind, f"({value})::DOUBLE")
 
 
