@@ -23,7 +23,7 @@ from factloom.operators.changes import best_change, compared_cells, period_chang
 from factloom.operators.cube import ALL, Subject, analysis_cube, cube_series, cube_value
 from factloom.operators.dashboards import dataset_heads
 from factloom.operators.grounding import offenders
-from factloom.session import materialised
+from factloom.session import gathered, materialised
 
 Z_HEADLINE = 6
 MOST_FINDINGS, MOST_QUESTIONS = 5, 3
@@ -367,7 +367,7 @@ def build_facts(
     subject = subject if measurable else Subject(s.date, None, "count", s.flag)
     cube = analysis_cube(df, subject, fine, list(s.categories), order_by).persist()
     try:
-        return FactSet(materialised(_stories(cube, s)))
+        return FactSet(materialised(_stories(gathered(cube), s)))
     finally:
         cube.unpersist()
 

@@ -31,6 +31,7 @@ from factloom.operators.charts import (
 )
 from factloom.operators.filters import apply_filters, clean_filters
 from factloom.operators.kpis import Kpi, compute_kpis
+from factloom.session import gathered
 
 TIME_CHARTS = ("line", "area")
 
@@ -111,8 +112,9 @@ class _SharedCube:
         sets = list(dict.fromkeys(tuple(dict.fromkeys(s)) for s in self.sets))
         states = [c.alias(name) for name, c in self.states.items()]
         grouped = rows.groupingSets([list(s) for s in sets], *names).agg(*states, first.alias(FIRST), F.grouping_id().alias("_set"))
-        self.cube = grouped.persist(StorageLevel.MEMORY_AND_DISK)
-        return self.cube
+        kept = grouped.persist(StorageLevel.MEMORY_AND_DISK)
+        self.cube = gathered(kept)
+        return kept
 
     def _set_of(self, keys: list[str]) -> int:
         names = list(self.keys.values())

@@ -17,6 +17,8 @@ def build_session(master: str | None = None, app_name: str = "factloom", **conf:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.parquet.compression.codec", "zstd")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Recording a call site per expression costs more than building the plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
@@ -54,3 +56,15 @@ def materialised(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint()
+
+
+SMALL_ROWS = 100_000
+
+
+def gathered(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """A persisted aggregate in one partition if counting shows that it is small.
+
+    What follows on a small aggregate then runs without further shuffles; a larger
+    one stays distributed.
+    """
+    return df.coalesce(1) if df.count() <= limit else df
