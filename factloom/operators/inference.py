@@ -73,9 +73,12 @@ def _exact_distinct(df: DataFrame, names: list[str]) -> DataFrame:
     return cells.groupBy("name", "raw").agg(F.lit(1)).groupBy("name").agg(F.count(F.lit(1)).alias("distinct"))
 
 
-def type_rules() -> Column:
+MANY = 2**62
+
+
+def type_rules(distinct: Column) -> Column:
     """The first matching rule over a column's statistics."""
-    n, name, distinct = F.col("present"), F.col("name"), F.col("distinct")
+    n, name = F.col("present"), F.col("name")
     numeric = F.col("numbers") >= NUMBER_SHARE * n
     code = (F.col("integers") == n) & (distinct <= CODE_VALUES) & name.rlike(CODE_NAME)
     few = F.least(F.lit(float(CATEGORY_CEILING)), F.greatest(F.lit(float(CATEGORY_FLOOR)), n * CATEGORY_SHARE))
@@ -95,28 +98,22 @@ def type_rules() -> Column:
 def plan_columns(df: DataFrame) -> list[ColumnPlan]:
     """T1 and the whole-column decisions of T2: a scan, plus one for columns whose
     distinct count can decide a rule."""
-    rows = {r["name"]: r.asDict() for r in _statistics(df).collect()}
+    extremes = [type_rules(F.lit(0)).alias("least"), type_rules(F.lit(MANY)).alias("most")]
+    rows = {r["name"]: r.asDict() for r in _statistics(df).select("*", *extremes).collect()}
+    # Without an exact count a column has too many values for a category and repeats some.
+    types = {name: rows[name]["most"] if name in rows else "text" for name in df.columns}
     unsure = [
         name
-        for name in df.columns
-        if name in rows
-        and (
-            rows[name]["sketch"] <= FEW_VALUES
-            or (rows[name]["id_like"] == rows[name]["present"]
-                and rows[name]["sketch"] >= UNIQUE_SHARE * rows[name]["present"])
-        )
+        for name, r in rows.items()
+        if r["least"] != r["most"]
+        and (r["sketch"] <= FEW_VALUES or (r["id_like"] == r["present"] and r["sketch"] >= UNIQUE_SHARE * r["present"]))
     ]
-    schema = "name string, present long, flags long, dates long, numbers long, integers long, id_like long"
-    fields = ("present", "flags", "dates", "numbers", "integers", "id_like")
-    local = [(name, *(rows.get(name, {}).get(f, 0) for f in fields)) for name in df.columns]
-    frame = df.sparkSession.createDataFrame(local, schema)
-    # A column without an exact count has too many values for a category and repeats some.
-    beyond = F.lit(2**62)
     if unsure:
-        frame = frame.join(_exact_distinct(df, unsure), "name", "left").withColumn("distinct", F.coalesce("distinct", beyond))
-    else:
-        frame = frame.withColumn("distinct", beyond)
-    types = {r["name"]: r["type"] for r in frame.select("name", type_rules().alias("type")).collect()}
+        fields = ("present", "flags", "dates", "numbers", "integers", "id_like")
+        local = [(name, *(rows[name][f] for f in fields)) for name in unsure]
+        frame = df.sparkSession.createDataFrame(local, "name string, " + ", ".join(f"{f} long" for f in fields))
+        exact = frame.join(_exact_distinct(df, unsure), "name")
+        types |= {r["name"]: r["type"] for r in exact.select("name", type_rules(F.col("distinct")).alias("type")).collect()}
     return [column_choices(name, i, types[name], rows.get(name)) for i, name in enumerate(df.columns)]
 
 

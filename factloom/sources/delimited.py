@@ -31,14 +31,15 @@ def read_csv_strings(spark: SparkSession, path: str, multiline: bool | None = No
     on where the text shows one (None looks). With ``check`` rows with extra cells
     or an unclosed quote raise a ``ParseError`` that names the row.
     """
-    if multiline is None:
-        multiline = has_quoted_newlines(spark, path)
+    turning, widest = _shape(spark, path) if multiline is None or check else (0, 0)
+    multiline = turning > 0 if multiline is None else multiline
     headers = _header(spark, path, multiline)
     fields = [T.StructField(f"_{i}", T.StringType()) for i in range(len(headers))]
     schema = T.StructType([*fields, T.StructField(BAD, T.StringType())])
     options = {**DIALECT, "header": True, "enforceSchema": True, "multiLine": multiline, "columnNameOfCorruptRecord": BAD}
     rows = spark.read.schema(schema).options(**options).csv(path)
-    if check:
+    # Records are only put together and numbered when the plain look found something.
+    if check and (turning or widest > len(headers)):
         problem = csv_problems(spark, path).first()
         if problem:
             raise ParseError(problem["message"])
@@ -72,9 +73,24 @@ def _quotes(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
 
 
-def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
-    """Whether any line opens a quote it does not close."""
-    return not _lines(spark, path).filter(_quotes(F.col("text")) % 2 == 1).isEmpty()
+def _outside(text: Column) -> Column:
+    """The text with its quoted parts taken out."""
+    return F.regexp_replace(text, r'"[^"]*"', "q")
+
+
+def _commas(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+
+
+def _shape(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Lines that open or close a quote across lines, and the most cells of any other
+    line: one scan without a shuffle of lines."""
+    even = _quotes(F.col("text")) % 2 == 0
+    return tuple(
+        _lines(spark, path)
+        .agg(F.count_if(~even), F.coalesce(F.max(F.when(even, _commas(_outside(F.col("text"))) + 1)), F.lit(0)))
+        .first()
+    )
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -116,9 +132,9 @@ def csv_problems(spark: SparkSession, path: str) -> DataFrame:
     lines = numbered_lines(spark, path)
     # Inside quotes up to the first quote, between quotes, and after the last opening one.
     bare = F.when(F.col("open"), F.regexp_replace("text", r'^[^"]*"?', "")).otherwise(F.col("text"))
-    bare = F.regexp_replace(F.regexp_replace(bare, r'"[^"]*"', "q"), r'"[^"]*$', "q")
+    bare = F.regexp_replace(_outside(bare), r'"[^"]*$', "q")
     whole_inside = F.col("open") & ~F.col("turns") & ~F.col("text").contains('"')
-    commas = F.when(whole_inside, 0).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))))
+    commas = F.when(whole_inside, 0).otherwise(_commas(bare))
     filled = F.regexp_replace(bare, r"(?U)[\s,]", "") != ""
     counted = lines.select("file", "line", "open", "turns", commas.alias("commas"), (filled | F.col("open")).alias("filled"))
     single = counted.filter(~F.col("open") & ~F.col("turns")).select(
