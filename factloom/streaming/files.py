@@ -16,6 +16,8 @@ from factloom.sources.tables import drop_versions, write_typed
 
 TRIES = 3
 FAILED = "Something went wrong while processing this file. Try uploading it again."
+# The columns of a listed file.
+LISTING = "path string, modificationTime timestamp, length long, content binary"
 OUTCOME = "dataset_id string, path string, status string, attempts int, message string"
 
 
@@ -54,6 +56,7 @@ def ingest_stream(
     """
     names = (
         spark.readStream.format("binaryFile")
+        .schema(LISTING)
         .option("maxFilesPerTrigger", files_per_batch)
         .option("pathGlobFilter", "*.{csv,xlsx,CSV,XLSX}")
         .load(incoming)
