@@ -171,6 +171,14 @@ def ranked_names(
     return listed.select(by, names.alias(f"{key}_names"))
 
 
+def with_names(groups: DataFrame, names: DataFrame, key: str, by: str, charts: int) -> DataFrame:
+    """Each row beside the names of its chart: a scalar for a single chart, else a
+    lookup of one row of at most ``limit`` names per chart."""
+    if charts == 1:
+        return groups.withColumn(f"{key}_names", names.select(f"{key}_names").scalar())
+    return groups.join(F.broadcast(names), by)
+
+
 def folded(key: str) -> Column:
     """A key under its chart's names: itself when kept, else "Other"; null stays null."""
     c = F.col(key)
@@ -191,8 +199,7 @@ def top_with_other(
     value = finish(merged(effective_aggregation(df, column, aggregation)), aggregation)
     groups = partial_groups(df, {"chart": F.lit("top"), "key": label}, column, aggregation, order_by)
     names = ranked_names(rollup(groups, value, "chart", "key"), "key", "chart", {"top": limit}, by_rows)
-    # One row of at most ``limit`` names.
-    kept = groups.filter(present("key")).join(F.broadcast(names), "chart")
+    kept = with_names(groups.filter(present("key")), names, "key", "chart", 1)
     place = (F.array_position("key_names", folded("key")) - 1).cast("int")
     cells = rollup(kept, value, folded("key").alias("key"), place.alias("ord"))
     return cells.select("key", "value", "rows", "ord")

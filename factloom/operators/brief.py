@@ -52,6 +52,7 @@ class Setting:
 
 def _setting(df: DataFrame, profiles: DataFrame, widgets: DataFrame) -> Setting:
     """Reads the schema-sized profile and widget tables of the dataset."""
+    profiles, widgets = profiles.coalesce(1), widgets.coalesce(1)
     first_id = F.min_by("name", "position")
     ids = profiles.filter("type = 'id'").groupBy("dataset_id").agg(first_id.alias("id_column"))
     spans = profiles.select("dataset_id", F.col("name").alias("date"), "datetime")

@@ -22,6 +22,7 @@ from factloom.operators.aggregates import (
     present,
     ranked_names,
     rollup,
+    with_names,
 )
 
 CHART = "_chart"
@@ -95,8 +96,7 @@ def time_points(groups: DataFrame, charts: list[Chart]) -> DataFrame:
         cells = rollup(groups.filter(present("bucket")), value, CHART, "bucket")
         return cells.select(CHART, x, F.lit(SINGLE_SERIES).alias("series"), "value", place.alias("x_ord"), F.lit(0).alias("series_ord"))
     names = ranked_names(rollup(groups, value, CHART, "series"), "series", CHART, {c.id: SPLIT_LIMIT for c in charts})
-    # A row of at most SPLIT_LIMIT names per chart.
-    kept = groups.filter(present("bucket", "series")).join(F.broadcast(names), CHART)
+    kept = with_names(groups.filter(present("bucket", "series")), names, "series", CHART, len(charts))
     cells = rollup(kept, value, CHART, "bucket", folded("series").alias("series"), "series_names")
     by_series = F.map_from_entries(F.collect_list(F.struct("series", "value")))
     buckets = cells.groupBy(CHART, "bucket", "series_names").agg(by_series.alias("cells"))
@@ -138,15 +138,14 @@ def category_points(groups: DataFrame, charts: list[Chart]) -> DataFrame:
     """
     value = _value(charts)
     categories = ranked_names(rollup(groups, value, CHART, "x"), "x", CHART, {c.id: c.limit for c in charts})
-    # Rows of at most ``limit`` and SPLIT_LIMIT names per chart.
-    kept = groups.filter(present("x")).join(F.broadcast(categories), CHART)
+    kept = with_names(groups.filter(present("x")), categories, "x", CHART, len(charts))
     x_ord = (F.array_position("x_names", folded("x")) - 1).cast("int").alias("x_ord")
     if not any(c.split for c in charts):
         cells = rollup(kept, value, CHART, folded("x").alias("x"), x_ord)
         return cells.select(CHART, "x", F.lit(SINGLE_SERIES).alias("series"), "value", "x_ord", F.lit(0).alias("series_ord"))
     by_rows = rollup(groups, F.lit(0.0), CHART, "series")
     splits = ranked_names(by_rows, "series", CHART, {c.id: SPLIT_LIMIT for c in charts}, by_rows=True)
-    kept = kept.join(F.broadcast(splits), CHART)
+    kept = with_names(kept, splits, "series", CHART, len(charts))
     cells = rollup(kept, value, CHART, folded("x").alias("x"), x_ord, folded("series").alias("series"), "series_names")
     entry = F.when(F.col("series").isNotNull(), F.struct("series", "value"))
     rows = cells.groupBy(CHART, "x", "x_ord", "series_names").agg(F.map_from_entries(F.collect_list(entry)).alias("cells"))
@@ -190,7 +189,8 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     bounds = histogram_bounds(df, column)
     counts = (
         df.filter(F.col(column).isNotNull())
-        .select(histogram_bin(F.col(column), bounds.scalar()).alias("bin"))
+        .select(F.col(column).alias("v"), bounds.scalar().alias("bounds"))
+        .select(histogram_bin(F.col("v"), F.col("bounds")).alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -67,6 +67,7 @@ class _SharedCube:
         self.df, self.order_by = df, order_by
         self.keys: dict[tuple, str] = {}
         self.columns: list[Column] = []
+        self.scalars: list[Column] = []
         self.states: dict[str, Column] = {ROWS: F.count(F.lit(1))}
         self.measures: dict[str, str] = {}
         self.bounds: dict[str, DataFrame] = {}
@@ -84,7 +85,9 @@ class _SharedCube:
         df = self.df
         if spec.chart_type == "histogram":
             bounds = self.bounds.setdefault(spec.x, histogram_bounds(df, spec.x))
-            return [self._key(("bin", spec.x), histogram_bin(F.col(spec.x), bounds.scalar()))]
+            if ("bin", spec.x) not in self.keys:
+                self.scalars.append(bounds.scalar().alias(f"_b_{spec.x}"))
+            return [self._key(("bin", spec.x), histogram_bin(F.col(spec.x), F.col(f"_b_{spec.x}")))]
         if spec.chart_type in TIME_CHARTS:
             grain = known_grain(spec.time_grain)
             keys = [self._key(("time", spec.x, grain), bucket_start(F.col(spec.x), grain))]
@@ -107,7 +110,7 @@ class _SharedCube:
         names = list(self.keys.values())
         measures = [number_column(self.df, y).alias(m) for y, m in self.measures.items()]
         order = [F.col(self.order_by).alias("_o")] if self.order_by else []
-        rows = self.df.select(*self.columns, *measures, *order)
+        rows = self.df.select("*", *self.scalars).select(*self.columns, *measures, *order)
         first = F.min("_o") if order else F.max(F.lit(None).cast("int"))
         sets = list(dict.fromkeys(tuple(dict.fromkeys(s)) for s in self.sets))
         states = [c.alias(name) for name, c in self.states.items()]

@@ -586,3 +586,14 @@ ORACLES["purge"] = """SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXIST
     SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal < 0)"""
 ORACLES["deleted_keys"] = """SELECT DISTINCT regexp_replace(md5(user_id::VARCHAR), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS key
     FROM events WHERE event_type = 'click' AND value < 100"""
+
+# One step per event of a key: the accepted instants still young enough, then the verdict.
+ORACLES["sliding_rate_limit"] = """WITH RECURSIVE
+    o AS MATERIALIZED (SELECT event_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+    walk AS (SELECT event_type, i, event_id, [t] AS held, 1 AS accepted, NULL::BIGINT AS retry_after FROM o WHERE i = 1
+      UNION ALL SELECT o.event_type, o.i, o.event_id, CASE WHEN len(young) < 5 THEN list_append(young, o.t) ELSE young END,
+        CASE WHEN len(young) < 5 THEN 1 ELSE 0 END, CASE WHEN len(young) >= 5 THEN greatest(1, ceil((young[1] + 3600000000 - o.t) / 1e6)::BIGINT) END
+      FROM (SELECT w.event_type, w.i, list_filter(w.held, lambda e: n.t - e < 3600000000) AS young
+            FROM walk w JOIN o n ON n.event_type = w.event_type AND n.i = w.i + 1) p
+      JOIN o ON o.event_type = p.event_type AND o.i = p.i + 1)
+    SELECT event_id, event_type, accepted::INTEGER AS accepted, retry_after FROM walk"""
