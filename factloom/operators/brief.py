@@ -18,12 +18,12 @@ from factloom.functions.naming import entity_label, flag_noun, phrase, uncapital
 from factloom.functions.rounding import finish, js_round
 from factloom.functions.text import display_string, is_number, is_temporal
 from factloom.operators.aggregates import number_column
-from factloom.operators.anomalies import anomalies
+from factloom.operators.anomalies import MOST_ANOMALIES, anomalies
 from factloom.operators.changes import best_change, compared_cells, period_changes, rank_drivers
 from factloom.operators.cube import ALL, Subject, analysis_cube, cube_series, cube_value
 from factloom.operators.dashboards import dataset_heads
 from factloom.operators.grounding import offenders
-from factloom.session import gathered, materialised
+from factloom.session import gathered, handful
 
 Z_HEADLINE = 6
 MOST_FINDINGS, MOST_QUESTIONS = 5, 3
@@ -286,7 +286,7 @@ def _composition_story(cube: DataFrame, s: Setting) -> DataFrame | None:
 def _stories(cube: DataFrame, s: Setting) -> DataFrame:
     stories = [_total_story(cube, s)]
     if s.date:
-        change = best_change(period_changes(cube_series(cube, s.grain, s.aggregation)))
+        change = handful(best_change(period_changes(cube_series(cube, s.grain, s.aggregation))), 1)
         targets = [cube_series(cube, s.fine, s.aggregation).select(
             F.lit(0).alias("target"), F.lit(s.aggregation == "avg").alias("averaged"), "bucket", "value", "rows")]
         if s.flag:
@@ -295,7 +295,7 @@ def _stories(cube: DataFrame, s: Setting) -> DataFrame:
         points = targets[0] if len(targets) == 1 else targets[0].unionByName(targets[1])
         grains = F.when(F.col("target") == 1, F.lit(_chart_grain(s.flag_widget, s.grain))).otherwise(
             F.lit(_chart_grain(s.line, s.grain)))
-        found = anomalies(points, grains)
+        found = handful(anomalies(points, grains), MOST_ANOMALIES)
         sides = ["story", "bucket", "previous_bucket", "sign", "flag"]
         changed = change.select(F.lit(0).alias("story"), "bucket", "previous_bucket",
                                 F.signum("change").cast("int").alias("sign"), F.lit(False).alias("flag")).select(*sides)
@@ -304,7 +304,8 @@ def _stories(cube: DataFrame, s: Setting) -> DataFrame:
             F.signum("z").cast("int").alias("sign"), (F.col("target") == 1).alias("flag")).select(*sides)
         cells = compared_cells(cube, changed, s.grain, list(s.categories)).unionByName(
             compared_cells(cube, strong, s.fine, list(s.categories)))
-        drivers = rank_drivers(cells, F.when(F.col("flag"), F.lit("sum")).otherwise(F.lit(s.aggregation)))
+        kinds = F.when(F.col("flag"), F.lit("sum")).otherwise(F.lit(s.aggregation))
+        drivers = handful(rank_drivers(cells, kinds), 1 + MOST_ANOMALIES)
         stories += [_change_story(change, drivers, s), _anomaly_stories(found, drivers, s)]
     mixed = _composition_story(cube, s)
     if mixed is not None:
@@ -368,7 +369,7 @@ def build_facts(
     subject = subject if measurable else Subject(s.date, None, "count", s.flag)
     cube = analysis_cube(df, subject, fine, list(s.categories), order_by).persist()
     try:
-        return FactSet(materialised(_stories(gathered(cube), s)))
+        return FactSet(handful(_stories(gathered(cube), s), 3 + MOST_ANOMALIES))
     finally:
         cube.unpersist()
 

@@ -58,6 +58,17 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def handful(df: DataFrame, most: int) -> DataFrame:
+    """A result of at most ``most`` rows by construction, as literal rows.
+
+    Later steps then plan and run on a few constants instead of on its lineage.
+    """
+    rows = df.take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"Expected at most {most} rows.")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 SMALL_ROWS = 100_000
 
 
