@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 # The accepted spellings of numbers, dates and booleans.
 NUMBER = r"^[-+]?[$€£]?(?U:\s)?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)(\.[0-9]+)?%?$"
-NUMBER_NOISE = r"(?U)[$€£,%\s+]"
+NUMBER_NOISE = "$€£,%+"
 ISO_DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 ISO_TIMESTAMP = (
     r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}:[0-9]{2})(:[0-9]{2})?(\.[0-9]+)?"
@@ -38,7 +38,10 @@ def is_measurable(dtype: T.DataType) -> bool:
 
 def trimmed(c: Column) -> Column:
     """Without leading and trailing Unicode white space."""
-    return F.btrim(c.cast("string"), F.lit(WHITE_SPACE))
+    c = c.cast("string")
+    # Nearly every cell starts and ends with a visible ASCII character already.
+    bare = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(bare, c).otherwise(F.btrim(c, F.lit(WHITE_SPACE)))
 
 
 def stripped(c: Column) -> Column:
@@ -51,7 +54,7 @@ def stripped(c: Column) -> Column:
 
 
 def number_of(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER), F.regexp_replace(text, NUMBER_NOISE, "").try_cast("double"))
+    return F.when(text.rlike(NUMBER), F.translate(text, NUMBER_NOISE + WHITE_SPACE, "").try_cast("double"))
 
 
 def boolean_of(text: Column) -> Column:

@@ -13,7 +13,7 @@ from factloom.functions.naming import default_aggregation, entity_label, flag_no
 from factloom.functions.rounding import finish, js_round, mean
 from factloom.functions.text import is_temporal
 from factloom.model import DateRange, Filters
-from factloom.operators.aggregates import effective_aggregation, number_column
+from factloom.operators.aggregates import aggregate_column, effective_aggregation, number_column
 from factloom.operators.filters import apply_filters, date_condition
 from factloom.operators.measures import rank_measures
 
@@ -134,7 +134,17 @@ def _masked_values(df: DataFrame, kpis: list[Kpi], masks: dict[str, Column]) ->
     """
     base = df.select("*", *(m.alias(f"_m_{name}") for name, m in masks.items()))
     kinds = [effective_aggregation(df, k.column, k.aggregation) for k in kpis]
-    counted = next((k.column for k, kind in zip(kpis, kinds) if kind == "count_distinct"), None)
+    distinct = list(dict.fromkeys(k.column for k, kind in zip(kpis, kinds) if kind == "count_distinct"))
+    if len(distinct) > 1:
+        # Rows can be reduced per value of one column only.
+        return base.agg(
+            *(
+                js_round(finish(aggregate_column(df, k.column, k.aggregation, F.col(f"_m_{name}")), k.aggregation) * k.scale, 2).alias(f"{name}{i}")
+                for name in masks
+                for i, k in enumerate(kpis)
+            )
+        )
+    counted = distinct[0] if distinct else None
     states, results = [], []
     for name in masks:
         mask = F.col(f"_m_{name}")

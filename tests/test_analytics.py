@@ -160,6 +160,19 @@ def test_kpis_compare_windows(spark, hand):
     assert [r["value"] for r in kpis.compute_kpis(hand, profiles, "day", nothing).orderBy("ord").collect()] == [0.0, 0.0]
 
 
+def test_kpis_with_distinct_counts(hand):
+    def strip(*columns):
+        defs = [kpis.Kpi(c, c, c, "count_distinct", "number") for c in columns]
+        defs += [kpis.Kpi("sum", "s", "revenue", "sum", "number"), kpis.Kpi("max", "m", "revenue", "max", "number"),
+                 kpis.Kpi("rate", "r", "ok", "avg", "percent", 100.0), kpis.Kpi("rows", "n", None, "count", "number")]
+        wanted = Filters(DateRange("day", "2025-01-01", "2025-01-31"))
+        return {r["id"]: (r["value"], r["delta"]) for r in kpis.compute_kpis(hand, defs, "day", wanted).collect()}
+
+    rest = {"sum": (350.0, None), "max": (200.0, None), "rate": (66.67, None), "rows": (3.0, None)}
+    assert strip("region") == {"region": (2.0, None), **rest}
+    assert strip("region", "ok") == {"region": (2.0, None), "ok": (2.0, None), **rest}
+
+
 @pytest.mark.parametrize("split", [None, "region"])
 def test_a_dashboard_equals_its_widgets(hand, split):
     widgets = {
