@@ -14,6 +14,7 @@ from factloom.sources.delimited import read_csv_strings
 from factloom.sources.headers import ParseError
 from factloom.sources.workbooks import read_xlsx_strings
 
+# Accepted files and the message for others.
 EXTENSIONS = ("csv", "xlsx")
 UNSUPPORTED = "Upload a .csv or .xlsx file."
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from factloom.sources.delimited import drop_blank_rows
 from factloom.sources.headers import NO_HEADER, NO_ROWS, ParseError, normalize_columns
 
+# The message shown to the user and names of the file format.
 BROKEN = "This Excel file couldn't be read. Save it as .xlsx and try again."
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
