@@ -15,8 +15,8 @@ from factloom.sources.headers import ParseError
 from factloom.sources.tables import drop_versions, write_typed
 
 TRIES = 3
-FAILED = "Something went wrong while processing this file. Try uploading it again."
-# The columns of a listed file.
+# The message of a file that kept failing, and the columns of a listed file.
+FAILED = "Processing failed unexpectedly. Try uploading the file again."
 LISTING = "path string, modificationTime timestamp, length long, content binary"
 OUTCOME = "dataset_id string, path string, status string, attempts int, message string"
 
