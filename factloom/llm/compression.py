@@ -51,7 +51,7 @@ class Model:
         """Logistic regression by Newton steps."""
         x = self.features(texts)
         self.low, self.high = np.quantile(x, 0.001, 0), np.quantile(x, 0.999, 0)
-        x, w = self._design(x), np.zeros(10)
+        x = self._design(x)
         w = np.zeros(x.shape[1])
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))

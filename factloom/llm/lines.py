@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BLANKS, ascii_lower, id_order, others, text_of, written
+from factloom.llm.common import BLANKS, ascii_lower, id_order, named, others, text_of, written
 
 
 def line_key(line: Column) -> Column:
@@ -61,6 +61,6 @@ def without_repeats(docs: DataFrame, **options: int) -> DataFrame:
     """``docs`` in its own columns, texts without the dropped lines and ``n_chars`` counted anew."""
     found = dedup_lines(docs, **options)
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return found.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+    return found.select(*(new[c].alias(c) if c in new else named(c) for c in docs.columns))
 
 

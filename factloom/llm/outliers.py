@@ -20,7 +20,7 @@ from factloom.llm.common import BLANKS, named, others, text_of, written
 SYMBOLS = "#*$%&|<>"
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The smallest standard deviation of each transformed statistic: size, word length, symbols, repeated lines, repeated words.
-FLOORS = (0.7, 0.05, 0.05, 0.1, 0.1)
+FLOORS = (0.7, 0.05, 0.04, 0.15, 0.15)
 P = len(FLOORS)
 GROUP = ["__lang", "__source"]
 
@@ -80,11 +80,16 @@ def _distance(centre: list[Column], root: list[list[Column]]) -> Column:
     return reduce(lambda a, b: a + b, (x * x for x in z))
 
 
+def _by_group(rows: DataFrame, groups: DataFrame, most: int = 50_000) -> DataFrame:
+    """``rows`` with what ``groups`` has for theirs: broadcast up to ``most`` groups (some MB), else a join that splits hot ones."""
+    return rows.join(F.broadcast(groups) if groups.count() <= most else groups, GROUP, "left")
+
+
 def _measured(rows: DataFrame, model: DataFrame) -> DataFrame:
     """``rows`` with ``d2``, the squared distance by the model of the row's group."""
     centre = [F.col(f"m{j}") for j in range(P)]
     root = [[F.col(f"l{j}{k}") for k in range(j + 1)] for j in range(P)]
-    return rows.join(model, GROUP).withColumn("d2", _distance(centre, root)).drop(*(c for c in model.columns if c not in GROUP))
+    return _by_group(rows, model).withColumn("d2", _distance(centre, root)).drop(*(c for c in model.columns if c not in GROUP))
 
 
 def _rooted(stats: DataFrame) -> DataFrame:
@@ -110,7 +115,7 @@ def _concentrated(rows: DataFrame, model: DataFrame, share: float, widen: float,
     """One concentration step. Each group is joined by ``prior`` rows of the whole table, so that few rows bind little."""
     near = _measured(rows, model)
     bound = near.groupBy(*GROUP).agg(F.percentile_approx("d2", share, 1000).alias("bound"))
-    near = near.join(bound, GROUP).filter("d2 <= bound")
+    near = _by_group(near, written(bound, "bounds")).filter("d2 <= bound")
     names = {f"t{j}": F.col(f"x{j}") for j in range(P)} | {f"t{j}{k}": F.col(f"x{j}") * F.col(f"x{k}") for j in range(P) for k in range(j + 1)}
     sums = near.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *(F.sum(e).alias(c) for c, e in names.items()))
     sums = written(sums, "group-sums")
@@ -144,7 +149,7 @@ def with_verdict(docs: DataFrame, share: float = 0.75, widen: float = 1.41, cuto
     model = written(_start(rows), "model")
     for _ in range(steps):
         model = written(_concentrated(rows, model, share, widen, prior), "model")
-    far = found.join(model, GROUP, "left")
+    far = _by_group(found, model)
     centre = [F.col(f"m{j}") for j in range(P)]
     d2 = _distance(centre, [[F.col(f"l{j}{k}") for k in range(j + 1)] for j in range(P)])
     kept = ~F.col("base_failed") & F.coalesce(d2 <= cutoff, F.lit(False))

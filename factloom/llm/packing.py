@@ -1,9 +1,10 @@
 """Best-fit packing of documents into sequences, with certified bin counts.
 
-Each partition packs its pieces best-fit decreasing and bounds its own optimum from below by dual-feasible functions.
-A partition whose count meets the bound is certified and keeps all its sequences. The others keep their full sequences
-and hand the documents of the rest to the next round, where fewer partitions pack them together; this ends when nothing
-is uncertified, or when a round in one partition per ``most`` pieces saves no sequence.
+Each partition packs its pieces best-fit decreasing; dual-feasible functions bound its optimum, and that of the whole
+table, from below. A partition as dense as its sum of lengths allows keeps its sequences. The others have a gap: they
+keep their full sequences and hand the documents of the rest to the next round, where fewer partitions pack them
+together. This ends when the count meets the bound of the whole table, or when a round in one partition per ``most``
+pieces saves no sequence.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ PIECE = "doc_id long, has_id boolean, piece int, start long, length long, ids_cr
 PACKED = PIECE + ", sequence_id long, offset long, certified boolean"
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The most sequences that any of the dual-feasible functions proves necessary.
+def lower_bound(lengths: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
+    """Of pieces with these lengths (each ``times`` times) the most sequences that any of the dual-feasible functions proves necessary.
 
     With k from 0 to capacity / 2, pieces longer than capacity - k count whole, shorter than k not at all, others by
     their length (k = 0: the plain sum). With k from 1 to 100, a piece of x / capacity counts x (k + 1) / capacity
     rounded down, over k, and exact multiples count as they are.
     """
-    counts = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
+    counts = np.zeros(capacity + 1, np.int64)
+    np.add.at(counts, lengths, 1 if times is None else times)
     size = np.arange(capacity + 1)
     number, mass = np.cumsum(counts), np.cumsum(counts * size)
     k = np.arange(capacity // 2 + 1)
@@ -109,37 +111,41 @@ def _packed(pieces: DataFrame, capacity: int, level: int) -> DataFrame:
         lengths = mine["length"].to_numpy(np.int64)
         bins, offsets = best_fit(lengths, capacity)
         used = np.bincount(bins, lengths)
-        certain = len(used) == lower_bound(lengths, capacity)
         first = (level << 56) + (TaskContext.get().partitionId() << 32)
-        yield mine.assign(sequence_id=first + bins, offset=offsets, certified=certain | (used[bins] == capacity))
+        dense = len(used) == -(-lengths.sum() // capacity)
+        yield mine.assign(sequence_id=first + bins, offset=offsets, certified=len(used) == lower_bound(lengths, capacity), stays=dense | (used[bins] == capacity))
 
-    return pieces.mapInPandas(pack, PACKED)
+    return pieces.mapInPandas(pack, PACKED + ", stays boolean")
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, most: int = 1_000_000) -> DataFrame:
-    """``pieces`` with ``sequence_id``, ``offset`` and ``certified`` (its partition met its bound, or its sequence is full).
+    """``pieces`` with ``sequence_id``, ``offset`` and ``certified`` (no packing of its partition has fewer sequences).
 
     A partition holds the pieces of one input split in the first round and about ``most`` pieces in later ones: some
     tens of bytes each. Pieces are told apart by nothing but their own row, so repeated rows and null ids pack as any other.
     """
     columns = [c.split()[0] for c in PIECE.split(", ")]
+    sizes = np.array(pieces.groupBy("length").count().collect(), np.int64).reshape(-1, 2)  # at most ``capacity`` rows
+    least = lower_bound(sizes[:, 0], capacity, sizes[:, 1])
     done: list[DataFrame] = []
-    level, waiting = 0, pieces.select(*columns)
-    count = bins = None
+    kept, level, waiting, count, before = 0, 0, pieces.select(*columns), None, None
     while True:
         packed = written(_packed(waiting, capacity, level), "packed")
-        spare = packed.filter("not certified")
-        left = spare.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sequence_id").alias("bins")).first()
-        last = left["n"] == 0 or (count is not None and -(-left["n"] // most) >= count and left["bins"] >= bins)
-        done.append(packed if last else packed.filter("certified"))
-        if last:
+        # Each sequence has one piece at offset 0.
+        starts = F.col("offset") == 0
+        told = packed.agg(F.count_if(starts & F.col("stays")).alias("full"), F.count_if(starts & ~F.col("stays")).alias("spare"), F.count_if(~F.col("stays")).alias("n")).first()
+        wanted = -(-told["n"] // most)
+        best = kept + told["full"] + told["spare"] == least
+        if best or not told["n"] or count == 1 or (count is not None and wanted >= count and told["full"] + told["spare"] >= before):
+            done.append(packed)
             break
-        count, bins = -(-left["n"] // most), left["bins"]
-        waiting, level = spare.select(*columns).repartition(count), level + 1
+        done.append(packed.filter("stays"))
+        kept, before, count, level = kept + told["full"], told["spare"], wanted, level + 1
+        waiting = packed.filter("not stays").select(*columns).repartition(count)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out.drop("stays")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, text: str = "text") -> DataFrame:

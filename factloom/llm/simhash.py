@@ -167,4 +167,4 @@ def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     """
     found = near_duplicates(docs, **options)
     copies = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(copies, "doc_id", "left_anti").select(*map(named, docs.columns))
