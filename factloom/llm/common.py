@@ -46,6 +46,13 @@ def others(df: DataFrame, *added: str) -> list[Column]:
     return [named(c) for c in df.columns if c.lower() not in taken]
 
 
+def lean(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """The session with Arrow batches of at most ``rows`` rows: texts may be long, and a worker holds a batch."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder that the cluster names in spark.checkpoint.dir."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -64,3 +71,15 @@ def forget(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Slots(dict):
+    """Numbers keys as they come and remembers the new ones."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.fresh.append(key)
+        self[key] = len(self)
+        return self[key]

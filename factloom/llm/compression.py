@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import held_out, named, text_of
+from factloom.llm.common import held_out, lean, named, text_of
 
 LEVEL = 3
 _OPEN: dict[tuple[bytes, bytes], tuple[zstandard.ZstdCompressor, ...]] = {}
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs: in
 
 def with_quality(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """``docs`` with ``held_out``, ``score`` and ``predicted``. A null text scores as an empty one; columns that clash give way."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = lean(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -12,28 +12,18 @@ from functools import lru_cache
 
 import numpy as np
 
+from factloom.llm.common import Slots
+
 #: White space, separators and joiners that a tokenizer might read as white space, and runs of it.
 UNUSUAL = re.compile(
     "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]|[ \n][ \n]|^[ \n]|[ \n]$"
 )
 
 
-class _Slots(dict):
-    """Numbers keys as they come and remembers the new ones."""
-
-    def __init__(self) -> None:
-        self.fresh: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self.fresh.append(key)
-        self[key] = len(self)
-        return self[key]
-
-
 class Encoder:
     """``encode(texts)``: per text its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,7 +36,7 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.slots, self.table = _Slots(), []
+        self.slots, self.table = Slots(), []
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,7 +55,20 @@ class Encoder:
             cuts = [0, *(4 * (cuts + 1)).tolist()]
             self.table += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], chars: int = 2_000_000) -> list[bytes]:
+        """Texts are taken in parts of about ``chars`` characters, so that their words are never held all at once."""
+        out: list[bytes] = []
+        part: list[str] = []
+        size = 0
+        for text in texts:
+            part.append(text)
+            size += len(text)
+            if size >= chars:
+                out += self._encode(part)
+                part, size = [], 0
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.table) > self.most:
             self._empty()
         plain = [k for k, t in enumerate(texts) if " " in t and not UNUSUAL.search(t)]

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import held_out, named, text_of
+from factloom.llm.common import Slots, held_out, lean, named, text_of
 
 GRAMS = 1 << 16
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -50,7 +50,7 @@ class Model:
 
     def __init__(self, langs: list[str], table: np.ndarray, scripts: np.ndarray, penalty: float):
         self.langs, self.table, self.scripts, self.penalty = langs, table, scripts, penalty
-        self.known: dict[str, int] = {}
+        self.known = Slots()
         self.scores, self.letters = np.zeros((0, len(langs)), np.float32), np.zeros(0, np.int32)
 
     def __reduce__(self):
@@ -71,45 +71,40 @@ class Model:
             np.subtract.at(scores, owner, np.where(fits, 0, 50).astype(np.float32))
         self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters])
 
-    def label(self, texts: list[str], most: int = 1 << 26) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
-        """For each text the language of each word along the best path, the words' letters, and the words.
+    def label(self, texts: list[str], most: int = 1 << 23) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the language of each word (split at white space) along the best path, and the words' letters.
 
         Texts advance together in blocks of at most ``most`` words times languages, or one text.
         """
-        block: list[list[str]] = []
+        block: list[np.ndarray] = []
         size = 0
         for text in texts:
-            words = text.split()
-            if block and size + len(words) > most // max(1, len(self.langs)):
+            ids = np.fromiter(map(self.known.__getitem__, text.split()), np.int32)
+            if block and size + ids.size > most // max(1, len(self.langs)):
                 yield from self._block(block)
                 block, size = [], 0
-            block.append(words)
-            size += len(words)
+            block.append(ids)
+            size += ids.size
         yield from self._block(block)
-
-    def _block(self, words: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
-        if len(self.known) > 400_000:
+        if len(self.known) > 250_000:
             self.__init__(self.langs, self.table, self.scripts, self.penalty)
-        fresh: dict[str, None] = {}
-        for w in words:
-            fresh.update(dict.fromkeys(set(w).difference(self.known)))
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-        self._learn(list(fresh))
-        lengths = np.array([len(w) for w in words], np.int64)
+
+    def _block(self, words: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self._learn(self.known.fresh)
+        self.known.fresh = []
+        lengths = np.array([w.size for w in words], np.int64)
         order = np.argsort(-lengths, kind="stable")
         # Word t of all texts that are that long lie side by side, the longest text first.
-        steps = np.arange(lengths.max(initial=0))
-        active = len(words) - np.searchsorted(np.sort(lengths), steps, "right")
+        active = len(words) - np.searchsorted(np.sort(lengths), np.arange(lengths.max(initial=0)), "right")
         first = np.concatenate([[0], np.cumsum(active)])
-        ids = np.zeros(first[-1], np.int64)
+        ids = np.zeros(first[-1], np.int32)
         for k, text in enumerate(order):
-            ids[first[: lengths[text]] + k] = np.fromiter(map(self.known.__getitem__, words[text]), np.int64, lengths[text])
+            ids[first[: lengths[text]] + k] = words[text]
         path = self._best(ids, active, first)
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         for k, w in enumerate(words):
-            at = first[: len(w)] + place[k]
-            yield path[at], self.letters[ids[at]], w
+            yield path[first[: w.size] + place[k]], self.letters[w]
 
     def _best(self, ids: np.ndarray, active: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The best path through every text: one step takes a word of each text that still has one."""
@@ -136,8 +131,8 @@ class Model:
     def spans(self, text: str) -> list[tuple[str, str]]:
         """The runs of one language in a text: (language, words)."""
         out: list[tuple[str, str]] = []
-        path, _, words = next(self.label([text]))
-        for k, w in zip(path.tolist(), words):
+        path, _ = next(self.label([text]))
+        for k, w in zip(path.tolist(), text.split()):
             if out and out[-1][0] == self.langs[k]:
                 out[-1] = (out[-1][0], f"{out[-1][1]} {w}")
             else:
@@ -147,7 +142,7 @@ class Model:
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The language with the most letters on the path (ties: the first in order) and its share of the letters."""
         langs, scores = [], np.zeros(len(texts))
-        for k, (path, letters, _) in enumerate(self.label(texts)):
+        for k, (path, letters) in enumerate(self.label(texts)):
             mass = np.bincount(path, letters, len(self.langs)) if self.langs else np.zeros(1)
             langs.append(self.langs[mass.argmax()] if mass.sum() else "und")
             scores[k] = mass.max() / mass.sum() if mass.sum() else 0.0
@@ -196,7 +191,7 @@ def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFram
 
     Whole texts are read, in Arrow batches; equal texts get equal answers. Columns that clash with the two give way.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = lean(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, s double")
     def predict(texts: pd.Series) -> pd.DataFrame:

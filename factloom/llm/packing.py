@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import named, text_of, written
+from factloom.llm.common import lean, named, text_of, written
 from factloom.llm.encoding import encoder
 
 PIECE = "doc_id long, has_id boolean, piece int, start long, length long, ids_crc32 long"
@@ -95,6 +95,7 @@ def cut_into_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_
                     rows.append((doc, has, piece, a, b - a, zlib.crc32(ids), *((ids,) if keep_ids else ())))
             yield pd.DataFrame(rows, columns=["doc_id", "has_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
 
+    lean(docs.sparkSession)
     doc = named("doc_id").cast("long")
     rows = docs.select(F.coalesce(doc, F.lit(0)).alias("doc_id"), doc.isNotNull().alias("has_id"), text_of(text).alias("text"))
     return rows.mapInPandas(cut, PIECE + (", ids binary" if keep_ids else ""))

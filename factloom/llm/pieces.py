@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import named, text_of
+from factloom.llm.common import lean, named, text_of
 
 SPACE = "▁"  # stands for a space inside pieces
 RESULT = "ids binary, n_pieces long, score double, decoded string"
@@ -125,6 +125,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", decode: bool
         back = [book.decode(ids) if decode else None for ids, _ in found]
         return pd.DataFrame({"ids": [f[0] for f in found], "n_pieces": [len(f[0]) // 4 for f in found], "score": [f[1] for f in found], "decoded": back})
 
+    lean(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in added]
     found = docs.select(*(named(c) for c in kept), encode(text_of(text)).alias("__e"))
     return found.select(*(named(c) for c in kept), *(F.col(f"__e.{c}").alias(c) for c in added if decode or c != "decoded"))

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import named, text_of
+from factloom.llm.common import lean, named, text_of
 from factloom.llm.encoding import encoder
 from factloom.llm.files import committed, mapped, opened
 
@@ -48,6 +48,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2,
                 out.write(np.concatenate([[0], np.cumsum(lengths), known[:, 0], known[:, 1]]).astype("<i8").tobytes())
             yield pd.DataFrame({"part": [part], "docs": [len(lengths)], "tokens": [sum(lengths)], "dtype": [kind]})
 
+    lean(docs.sparkSession)
     opened(folder)[0].create_dir(opened(folder)[1], recursive=True)
     rows = docs.select(named("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import forget, named, text_of, written
+from factloom.llm.common import forget, lean, named, text_of, written
 from factloom.llm.files import opened
 
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -149,7 +149,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 256 << 20, roll
     an id come first; they revisit a row with an id, and are responses if none has the payload. Equal ids are ordered by
     payload, then url. Only digests are compared across the table; the html is shuffled once, into its shards.
     """
-    spark = pages.sparkSession
+    spark = lean(pages.sparkSession)
     rows = pages.select(named("page_id").cast("long").alias("page_id"), named("url").cast("string").alias("url"), text_of("html").alias("html"))
     prints = rows.select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha1(F.col("html").cast("binary")).alias("sha"))
     prints = written(prints, "payload-digests")

@@ -88,9 +88,9 @@ def test_packing(request, name):
 
 
 def test_partitions_with_gaps_exchange(spark):
-    """Nine partitions of pieces that only fit together across partitions."""
+    """Partitions of one piece each, which only fit together across partitions."""
     rows = [(k, True, 0, 0, 600 if k < 9 else 424, 0) for k in range(18)]
-    pieces = spark.createDataFrame(rows, packing.PIECE).repartitionByRange(9, "length", "doc_id")
+    pieces = spark.createDataFrame(rows, packing.PIECE).repartitionByRange(18, "doc_id")
     packed = packing.pack(pieces, 1024).collect()
     assert len({r.sequence_id for r in packed}) == 9 and len(packed) == 18
 
