@@ -44,21 +44,22 @@ def monotonic_events(
     tagged = events.withColumn("_block", block)
     peaks = tagged.groupBy(key, "_block").agg(F.max(seq).alias("_peak"))
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = peaks.select(key, "_block", F.max("_peak").over(earlier).alias("_carried"))
+    carried = peaks.select(F.col(key).alias("_k"), F.col("_block").alias("_b"), F.max("_peak").over(earlier).alias("_carried"))
     inside = Window.partitionBy(key, "_block").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
     # NULL-safe: greatest() skips nulls, and a key's first event has neither.
     last = F.greatest("_carried", F.max(seq).over(inside))
     kept = (
-        tagged.join(carried, [key, "_block"])
+        # Events without a key are one key's, those without an arrival time one block, the first.
+        tagged.join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_block").eqNullSafe(F.col("_b")))
         .withColumn("_last", last)
         .filter(F.col("_last").isNull() | (F.col(seq) > F.col("_last")))
     )
-    kept = kept.drop("_block", "_carried", "_last")
+    kept = kept.drop("_block", "_carried", "_last", "_k", "_b")
     if done is None:
         return kept.select(*events.columns)
     # Forwarded events have rising seq, so the first done one is the one with the lowest seq.
-    ends = kept.filter(done).groupBy(key).agg(F.min(seq).alias("_end"))
-    return kept.join(ends, key, "left").filter(F.col("_end").isNull() | (F.col(seq) <= F.col("_end"))).select(*events.columns)
+    ends = kept.filter(done).groupBy(F.col(key).alias("_k")).agg(F.min(seq).alias("_end"))
+    return kept.join(ends, F.col(key).eqNullSafe(F.col("_k")), "left").filter(F.col("_end").isNull() | (F.col(seq) <= F.col("_end"))).select(*events.columns)
 
 
 def stage_durations(events: DataFrame, started: DataFrame | None = None) -> DataFrame:

@@ -75,11 +75,14 @@ def sliding_rate_limit(
 ) -> DataFrame:
     """E5: every event with ``accepted`` and, when rejected, ``retry_after`` in seconds.
 
-    Events of one instant are taken in ``row_id`` order.
+    Events of one instant are taken in ``row_id`` order. Events without a key are one
+    key's; one without a time is never accepted.
     """
+    # Equal exactly when the keys are, nulls included.
+    told = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
     window = window_seconds * 1_000_000
     slim = events.select(
-        F.col(key).cast("string").alias("key"),
+        told.alias("key"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
         F.col(row_id).alias("row_id"),
     )
@@ -111,7 +114,7 @@ def sliding_rate_limit(
         .groupBy("key", "at", "oldest")
         .agg(F.max(F.when(F.col("place") <= F.col("accepted"), F.col("row_id"))).alias("last_id"))
     )
-    tagged = events.withColumn("_key", F.col(key).cast("string")).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    tagged = events.withColumn("_key", told).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
     joined = tagged.join(
         last_id.withColumnsRenamed({"key": "_key", "at": "_at"}), ["_key", "_at"], "left"
     )

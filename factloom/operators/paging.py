@@ -30,29 +30,35 @@ def rows_page(
 ) -> DataFrame:
     """Q7: one page of the filtered, sorted rows with ``row_no`` and ``total``.
 
-    Unknown sort columns are ignored, odd page sizes become 50. Sort and offset
-    compile to a distributed top-k; the total is a count of its own, which needs
-    no column of the table.
+    Unknown sort columns are ignored, odd page sizes become 50. Without a sort column
+    and ``order_by`` all columns give the order, so pages never overlap. Sort and
+    offset compile to a distributed top-k; the total is a count of its own, which
+    needs no column of the table. A page past the end has no row to carry the total;
+    ``rows_total`` gives it for any page.
     """
     number = max(1, int(page)) if str(page).isdigit() else 1
     size = int(page_size) if str(page_size).isdigit() and int(page_size) in PAGE_SIZES else 50
     selected = apply_filters(df, filters)
     column, _, direction = sort.partition(":")
-    ordered = selected
     keys = [F.col(k) for k in order_by or []]
     if column in df.columns:
         c = F.col(column)
         keys = [c.desc_nulls_last() if direction == "desc" else c.asc_nulls_last(), *keys]
-    if keys:
-        ordered = selected.orderBy(*keys)
+    keys = keys or [F.col(f"`{c}`") for c in df.columns]
+    ordered = selected.orderBy(*keys)
     start = (number - 1) * size
     window = ordered.offset(start).limit(size)
     # A page holds at most 250 rows, so numbering it in one task is safe.
-    row_no = F.row_number().over(Window.orderBy(*keys or [F.lit(0)])) + start
-    total = selected.agg(F.count(F.lit(1))).scalar()
+    row_no = F.row_number().over(Window.orderBy(*keys)) + start
+    total = rows_total(df, filters).scalar()
     return window.select(*df.columns, row_no.alias("row_no"), total.alias("total"))
 
 
+def rows_total(df: DataFrame, filters: Filters | None = None) -> DataFrame:
+    """Q7: the ``total`` that every page of the filtered rows belongs to, also one past the end."""
+    return apply_filters(df, filters).agg(F.count(F.lit(1)).alias("total"))
+
+
 def filter_values(df: DataFrame, column: str, q: str = "", limit: int = VALUE_LIMIT) -> DataFrame:
     """Q8: distinct display values with counts, most frequent first; ``q`` is a literal."""
     values = df.select(display_string(F.col(column), df.schema[column].dataType).alias("value"))

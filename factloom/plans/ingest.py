@@ -13,7 +13,7 @@ from factloom.operators.brief import FactSet, build_facts
 from factloom.operators.dashboards import auto_dashboard, rebuild_dashboard
 from factloom.operators.inference import ColumnPlan, coerce, plan_columns, retype
 from factloom.operators.profiling import profile_table
-from factloom.sources.tables import drop_versions, file_type, read_files, read_typed, write_typed
+from factloom.sources.tables import committed_versions, drop_versions, file_type, read_files, read_typed, write_typed
 
 log = logging.getLogger(__name__)
 WIDGETS = (
@@ -43,7 +43,7 @@ class Dataset:
         return {p.name: p.type for p, kind in zip(self.plans, self.inferred) if p.type != kind}
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/{name}")
+        return _stored(spark, f"{self.folder}/{name}")
 
     def typed(self, spark: SparkSession, hot: bool = False) -> DataFrame:
         return read_typed(spark, self.typed_path, hot)
@@ -92,19 +92,19 @@ def override_type(spark: SparkSession, dataset: Dataset, column: str, kind: str
 
 
 def _replace(df: DataFrame, path: str) -> DataFrame:
-    """Stores a schema-sized table in place of the one it may derive from."""
+    """Stores a schema-sized table as a new version; the one it may derive from goes only then."""
     spark = df.sparkSession
     rows = spark.createDataFrame(df.collect(), df.schema)
-    rows.coalesce(1).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    version = write_typed(rows.coalesce(1), path)
+    drop_versions(spark, path, version)
+    return spark.read.parquet(version)
 
 
 def _describe(spark: SparkSession, dataset: Dataset, profiles: DataFrame) -> None:
     profiles = _replace(profiles, f"{dataset.folder}/profiles")
-    try:
-        previous = _stored(spark, f"{dataset.folder}/widgets")
-    except Exception:  # a dataset without widgets yet
-        previous = spark.createDataFrame([], WIDGETS)
+    # Only a dataset without widgets yet has no previous ones; a failed read fails.
+    first = not committed_versions(spark, f"{dataset.folder}/widgets")
+    previous = spark.createDataFrame([], WIDGETS) if first else _stored(spark, f"{dataset.folder}/widgets")
     widgets = _replace(rebuild_dashboard(auto_dashboard(profiles), previous), f"{dataset.folder}/widgets")
     try:
         # A dataset is usable without a brief, so a failed one does not fail the dataset.
@@ -114,7 +114,8 @@ def _describe(spark: SparkSession, dataset: Dataset, profiles: DataFrame) -> Non
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    versions = committed_versions(spark, path)
+    return spark.read.parquet(versions[-1] if versions else path)
 
 
 def brief(spark: SparkSession, dataset: Dataset, profiles: DataFrame, widgets: DataFrame) -> FactSet:

@@ -33,7 +33,7 @@ from factloom.operators import (
     quantiles,
 )
 from factloom.plans.dashboard import dashboard_query
-from factloom.session import materialised, pin
+from factloom.session import handful, pin
 from factloom.sources.tables import rows_json
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -500,23 +500,30 @@ def kpis_open_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------- catalog of profiles ----------
 
 CATALOG = ("orders", "events", "part", "lineitem")
-_catalogs: dict[tuple[str, str], DataFrame] = {}
+_catalogs: dict[tuple, DataFrame] = {}
 
 
 def catalog_types(df: DataFrame, name: str) -> dict[str, str]:
     return {p.name: p.type for p in inference.plan_columns(as_strings(df))}
 
 
+def _state(spark: SparkSession, path: str) -> tuple:
+    """What changes when a table is rewritten: its files with their times."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(root))
+
+
 def catalog_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles of several tables, one row per column, computed once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Profiles of several tables, one row per column, computed once for the same files."""
+    key = (spark.sparkContext.applicationId, sf_dir, *(_state(spark, f"{sf_dir}/{name}.parquet") for name in CATALOG))
     if key not in _catalogs:
         found = None
         for name in CATALOG:
             df = flagged_events(spark, sf_dir) if name == "events" else table(spark, sf_dir, name)
             profile = profiling.profile_table(df, catalog_types(df, name), name)
             found = profile if found is None else found.unionByName(profile)
-        _catalogs[key] = materialised(found)
+        _catalogs[key] = handful(found, 1000)
     return _catalogs[key]
 
 

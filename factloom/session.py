@@ -50,14 +50,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """A small result cut from its lineage by a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def handful(df: DataFrame, most: int) -> DataFrame:
     """A result of at most ``most`` rows by construction, as literal rows.
 

@@ -112,7 +112,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     inside = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     running = F.coalesce(F.sum("quotes").over(inside), F.lit(0))
-    placed = lines.withColumn("running", running).join(F.broadcast(offsets), "block")
+    placed = lines.withColumn("running", running).join(offsets, "block")
     return placed.select(
         F.col("block.file").alias("file"),
         (F.col("lines_before") + F.col("at") - F.col("first_at") + 1).alias("line"),
@@ -153,7 +153,7 @@ def csv_problems(spark: SparkSession, path: str) -> DataFrame:
     records = single.withColumn("unclosed", F.lit(False)).unionByName(several).filter("filled")
     header = records.groupBy("file").agg(F.min_by("width", "start").alias("expected"))
     odd = (
-        records.join(F.broadcast(header), "file")
+        records.join(header, "file")
         .filter(F.col("unclosed") | (F.col("width") != F.col("expected")))
         .groupBy("file", "expected")
         .agg(

@@ -33,17 +33,33 @@ def read_files(spark: SparkSession, path: str, kind: str | None = None) -> DataF
     return read_xlsx_strings(spark, path) if (kind or file_type(path)) == "xlsx" else read_csv_strings(spark, path)
 
 
-def write_typed(df: DataFrame, folder: str, partition_by: list[str] | None = None) -> str:
+def write_typed(df: DataFrame, folder: str, partition_by: list[str] | None = None, name: str | None = None) -> str:
     """A new zstd Parquet version under ``folder``; returns its path.
 
-    The old version is removed by ``drop_versions`` once the new one is in use.
+    The old version is removed by ``drop_versions`` once the new one is in use. A
+    ``name`` makes the write repeatable: the same name is overwritten.
     """
-    path = f"{folder.rstrip('/')}/version={uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/version={name or uuid.uuid4().hex}"
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return path
 
 
+def committed_versions(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the versions under ``folder`` that were written to the end, oldest first."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = []
+    for status in fs.listStatus(root):
+        mark = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if status.getPath().getName().startswith("version=") and fs.exists(mark):
+            found.append((fs.getFileStatus(mark).getModificationTime(), status.getPath().toString()))
+    return [path for _, path in sorted(found)]
+
+
 def drop_versions(spark: SparkSession, folder: str, keep: str) -> int:
     """Deletes every version under ``folder`` but ``keep``."""
     jvm = spark.sparkContext._jvm

@@ -83,30 +83,41 @@ def _rows(content: bytes) -> Iterator[list[str | None]]:
             shared = ["".join(t.text or "" for t in item.iter(f"{MAIN}t")) for item in root.iter(f"{MAIN}si")]
         dates = _date_styles(book)
         with book.open(_first_sheet(book)) as sheet:
-            for _, element in ElementTree.iterparse(sheet):
-                if element.tag == f"{MAIN}row":
+            events = ElementTree.iterparse(sheet, ("start", "end"))
+            _, top = next(events)
+            for event, element in events:
+                if event == "end" and element.tag == f"{MAIN}row":
                     cells: list[str | None] = []
                     for i, cell in enumerate(element.iter(f"{MAIN}c")):
                         at = _column(cell.get("r")) if cell.get("r") else i
                         cells += [None] * (at + 1 - len(cells))
                         cells[at] = _text(cell, shared, dates)
                     yield cells
+                    # The emptied row would stay in the tree under its parent.
                     element.clear()
+                    for part in top:
+                        if part.tag == f"{MAIN}sheetData":
+                            part.clear()
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            held = []
+            columns = ["path", "row", "cells", "error"]
             try:
-                for i, cells in enumerate(_rows(content)):
-                    held.append((path, i, cells, None))
-                    if len(held) == BATCH:
-                        yield pd.DataFrame(held, columns=["path", "row", "cells", "error"])
-                        held = []
+                # Read to the end first: a workbook damaged anywhere gives no row at all.
+                for _ in _rows(content):
+                    pass
             except Exception:  # any damage to the file is the user's message
-                held = [(path, -1, None, BROKEN)]
-            yield pd.DataFrame(held, columns=["path", "row", "cells", "error"])
+                yield pd.DataFrame([(path, -1, None, BROKEN)], columns=columns)
+                continue
+            held = []
+            for i, cells in enumerate(_rows(content)):
+                held.append((path, i, cells, None))
+                if len(held) == BATCH:
+                    yield pd.DataFrame(held, columns=columns)
+                    held = []
+            yield pd.DataFrame(held, columns=columns)
 
 
 def read_xlsx_folder(spark: SparkSession, pattern: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from factloom.operators.jobs import deleted_keys, purge
 from factloom.plans.ingest import ingest
 from factloom.sources.headers import ParseError
-from factloom.sources.tables import drop_versions, write_typed
+from factloom.sources.tables import committed_versions, drop_versions, write_typed
 
 TRIES = 3
 # The message of a file that kept failing, and the columns of a listed file.
@@ -52,15 +52,15 @@ def ingest_stream(
     """Every new raw file is ingested once; a bad file does not stop the others.
 
     The stream carries file names only: the content column is pruned, so no file is
-    read to notice it. Outcomes are kept per batch under ``<folder>/outcomes``.
+    read to notice it. Files of other types are left alone. Outcomes are kept per batch under ``<folder>/outcomes``.
     """
     names = (
         spark.readStream.format("binaryFile")
         .schema(LISTING)
         .option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", "*.{csv,xlsx,CSV,XLSX}")
         .load(incoming)
         .select("path")
+        .filter(F.lower("path").rlike(r"\.(csv|xlsx)$"))
     )
 
     def handle(batch: DataFrame, epoch: int) -> None:
@@ -82,16 +82,25 @@ def purge_stream(
     messages: DataFrame, folder: str, column: str, checkpoint: str, payload: str = "data"
 ) -> StreamingQuery:
     """E6 on a stream: each batch of deletion messages rewrites the table under
-    ``folder`` without the deleted keys and removes the old versions."""
+    ``folder`` without the deleted keys and removes the old versions.
+
+    The newest version written to the end is the table. A batch writes a version of
+    its own name, so a batch that stopped anywhere and runs again finds either its
+    version complete, and only removes the others, or the table as it was.
+    """
     spark = messages.sparkSession
 
     def handle(batch: DataFrame, epoch: int) -> None:
         keys = deleted_keys(batch, payload).persist()
         try:
             if not keys.isEmpty():
-                current = spark.read.parquet(f"{folder}/version=*")
-                kept = purge(current, column, keys)
-                drop_versions(spark, folder, write_typed(kept, folder))
+                query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "purge"
+                own, versions = f"{query}-{epoch}", committed_versions(spark, folder)
+                done = next((v for v in versions if v.endswith(f"/version={own}")), None)
+                if done is None and versions:
+                    done = write_typed(purge(spark.read.parquet(versions[-1]), column, keys), folder, name=own)
+                if done:
+                    drop_versions(spark, folder, done)
         finally:
             keys.unpersist()
 

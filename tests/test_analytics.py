@@ -75,6 +75,9 @@ def test_sorting_and_pages(hand):
     assert [r["revenue"] for r in paging.sort_rows(hand, "revenue").collect()] == [30, 50, 100, 200, None]
     page = paging.rows_page(hand, None, "revenue:desc", "2", "25", ["n"])
     assert page.count() == 0
+    assert paging.rows_total(hand).first()["total"] == 5
+    pages = [paging.rows_page(hand, page=k, page_size=25).select("n").collect() for k in (1, 2)]
+    assert sorted(r["n"] for p in pages for r in p) == [0, 1, 2, 3, 4]
     first = paging.rows_page(hand, None, "nothing:desc", "x", 7, ["n"]).orderBy("row_no").collect()
     assert [(r["n"], r["row_no"], r["total"]) for r in first] == [(i, i + 1, 5) for i in range(5)]
     assert [tuple(r) for r in paging.filter_values(hand, "region", "u").collect()] == [("EU", 2), ("US", 1)]

@@ -140,11 +140,39 @@ def test_purge_stream_rewrites_the_table(spark, tmp_path):
     assert len(list((tmp_path / "table").iterdir())) == 1
 
 
+def test_purge_stream_survives_a_stop_before_the_old_version_goes(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(WORKSPACE, 1), ("other", 2)], "workspace string, n int")
+    folder = str(tmp_path / "table")
+    write_typed(rows, folder)
+    spark.createDataFrame([(m,) for m in MESSAGES], "data string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("data string").parquet(str(tmp_path / "in"))
+    dropped = files.drop_versions
+    for stop in (True, False):
+        monkeypatch.setattr(files, "drop_versions", (lambda *_: 1 / 0) if stop else dropped)
+        query = files.purge_stream(stream, folder, "workspace", str(tmp_path / "c"))
+        if stop:
+            with pytest.raises(Exception):
+                query.awaitTermination()
+            assert len(list((tmp_path / "table").iterdir())) == 2
+        else:
+            query.awaitTermination()
+    assert [r["n"] for r in spark.read.parquet(f"{folder}/version=*").collect()] == [2]
+
+
+def test_events_without_a_key_are_one_keys(spark):
+    rows = [(None, k, k, f"2024-01-01 0{k}:00:00") for k in range(1, 4)] + [("a", 1, 9, None), ("a", 2, 8, "2024-01-01 01:00:00")]
+    events = spark.createDataFrame(rows, "k string, id int, seq int, at string").withColumn("at", F.col("at").cast("timestamp"))
+    kept = jobs.monotonic_events(events, "k", "seq", ["at", "id"], done=F.col("seq") == 2).collect()
+    assert sorted(((r.k or ""), r.seq) for r in kept) == [("", 1), ("", 2), ("a", 9)]
+    verdicts = limiter.sliding_rate_limit(events.filter("k is null"), "k", "at", "id", limit=2, window_seconds=86_400).collect()
+    assert sorted((r.id, r.accepted) for r in verdicts) == [(1, True), (2, True), (3, False)]
+
+
 def test_ingest_stream_isolates_failures(spark, tmp_path):
     """Each file once, a broken file does not stop the others, passing faults are retried."""
     incoming = tmp_path / "incoming"
     incoming.mkdir()
-    for name in ("good.csv", "bad.csv", "flaky.csv", "hopeless.csv", "skip.txt"):
+    for name in ("good.csv", "bad.csv", "flaky.csv", "hopeless.csv", "skip.txt", "loud.Csv"):
         (incoming / name).write_text("a,b\n1,2\n")
     calls = []
 
@@ -161,5 +189,5 @@ def test_ingest_stream_isolates_failures(spark, tmp_path):
         files.ingest_stream(spark, str(incoming), store, str(tmp_path / "c"), run=run).awaitTermination()
     outcomes = {r["path"].rsplit("/", 1)[-1]: (r["status"], r["attempts"], r["message"]) for r in spark.read.parquet(f"{store}/outcomes").collect()}
     assert outcomes == {"good.csv": ("ready", 1, None), "bad.csv": ("failed", 1, "Row 2 has 3 columns, expected 2."),
-                        "flaky.csv": ("ready", 3, None), "hopeless.csv": ("failed", 3, files.FAILED)}
+                        "flaky.csv": ("ready", 3, None), "hopeless.csv": ("failed", 3, files.FAILED), "loud.Csv": ("ready", 1, None)}
     assert calls.count("good.csv") == 1
