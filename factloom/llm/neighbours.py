@@ -123,7 +123,7 @@ def _blocks(points: DataFrame, n: int, seed: int, size: int) -> DataFrame:
     return dealt.groupBy("code", "part").agg(F.collect_list(F.struct(F.col("node").alias("id"), "q")).alias("members"))
 
 
-def build(points: DataFrame, k: int = 16, reverse: int = 12, tables: int = 2, block: int = 48, rounds: int = 8, settled: float = 0.02) -> DataFrame:
+def build(points: DataFrame, k: int = 30, reverse: int = 24, tables: int = 6, block: int = 128, rounds: int = 8, settled: float = 0.02) -> DataFrame:
     """The graph of ``points (node, q)``: ``node``, ``q`` and its ``k`` nearest found, nearest first.
 
     Rounds end when fewer than ``settled`` of all neighbours are new, or after ``rounds``. Each node is introduced
@@ -150,7 +150,7 @@ def build(points: DataFrame, k: int = 16, reverse: int = 12, tables: int = 2, bl
         brought = forth.union(back).join(state.select(F.col("node").alias("src"), "q", bound.alias("bound")), "src")
         groups = brought.groupBy("dst").agg(F.collect_list(F.struct(F.col("src").alias("id"), "q", "fresh", "bound")).alias("members"))
         known = edges.select("node", F.struct("x.sim", "x.id", F.lit(0).alias("fresh")).alias("x"))
-        near = _nearest(known.union(_told(_pairs(groups, k // 2, True))), k)
+        near = _nearest(known.union(_told(_pairs(groups, k, True))), k)
         after = written(state.select("node", "q").join(near, "node", "left").select("node", "q", F.coalesce("near", none).alias("near")), "graph")
         forget(state)
         state = after
@@ -180,7 +180,7 @@ def _scored(rows: DataFrame) -> DataFrame:
     return found.select("query", F.struct("sim", "id", F.lit(1).alias("fresh")).alias("x"))
 
 
-def search(queries: DataFrame, graph: DataFrame, width: int = 40, step: int = 16, entries: int = 64) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, width: int = 240, step: int = 48, entries: int = 64) -> DataFrame:
     """``query`` and ``id`` of the ``width`` nearest nodes found for each of ``queries (query, qq, node)``.
 
     A walk starts at the node of the query, if it has one, and at ``entries`` nodes picked by their hash. Each round

@@ -141,7 +141,7 @@ class _Roller:
             self.out = None
 
 
-def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 256 << 20, roll_bytes: int = 128 << 20, dedup_bytes: int = 0) -> list[dict]:
+def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, roll_bytes: int = 32 << 20, dedup_bytes: int = 0) -> list[dict]:
     """Writes a record per row of ``pages`` (page_id, url, html) and returns the manifest.
 
     The payload is the html in UTF-8, null as empty. Of records with equal payloads of at least ``dedup_bytes`` bytes
@@ -196,7 +196,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 256 << 20, roll
     store.create_dir(top, recursive=True)
     # Ids travel as text: pandas has no nullable integers of its own.
     both = both.withColumns({"name": F.col("page_id").cast("string"), "of": F.col("first").cast("string")})
-    dealt = both.withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(2**63))))).repartition(max(1, len(starts)), "shard")
+    dealt = both.withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(2**63))))).repartitionByRange(min(max(1, len(starts)), 20_000), "shard")
     dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", F.xxhash64("html"), "html", "url")
     found = dealt.select("shard", "name", "url", "html", "of", "kind").mapInPandas(write, "file string, records long, bytes long, sha256 string").collect()  # a row for each file
     manifest = [r.asDict() for r in sorted(found, key=lambda r: r["file"])]
