@@ -94,33 +94,53 @@ def _pairs(groups: DataFrame, most: int, check_bound: bool) -> DataFrame:
     return groups.select("members").mapInArrow(run, "a long, b long, sim double")
 
 
-def _nearest(found: DataFrame, keep: int) -> DataFrame:
-    """``node`` and ``near``: the nearest of all neighbours told of it, each once (as known before, if it was)."""
-    ranked = found.groupBy("node").agg(F.sort_array(F.collect_set("x"), asc=False).alias("all"))
+def _merged(state: DataFrame, told: DataFrame, keep: int) -> DataFrame:
+    """``state`` (a key, what it carries, ``near``) with the ``keep`` nearest of the neighbours known or ``told`` (key, x).
+
+    Known rows travel whole and meet what is told of them in one exchange, with what they carry.
+    """
+    key, load, _ = state.columns
+    rows = state.unionByName(told.select(key, F.array("x").alias("near")), allowMissingColumns=True)
+    every = rows.groupBy(key).agg(F.first(load, ignorenulls=True).alias(load), F.sort_array(F.flatten(F.collect_list("near")), asc=False).alias("all"))
     # The same neighbour has the same similarity, so that its repeats lie side by side; the last one is the oldest.
     once = F.filter("all", lambda x, i: ~F.coalesce(F.get("all", i + 1)["id"] == x["id"], F.lit(False)))
-    return ranked.select("node", F.slice(once, 1, keep).alias("near"))
+    return every.select(key, load, F.slice(once, 1, keep).alias("near"))
+
+
+def _told(found: DataFrame, key: str) -> DataFrame:
+    """``key`` and ``x``, a neighbour not known before, for rows (a, b, sim)."""
+    return found.select(F.col("a").alias(key), F.struct("sim", F.col("b").alias("id"), F.lit(1).alias("fresh")).alias("x"))
+
 
+def _unmet(rows: DataFrame, key: str, load: str) -> DataFrame:
+    """``key`` and ``load`` of rows, with no neighbour yet."""
+    return rows.select(key, load, F.array().cast(f"array<{NEIGHBOUR}>").alias("near"))
 
-def _told(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node"), F.struct("sim", F.col("b").alias("id"), F.lit(1).alias("fresh")).alias("x"))
 
+def _blocks(points: DataFrame, n: int, tables: int, size: int, spread: int = 16) -> DataFrame:
+    """Per table, blocks of about ``size`` nodes on the same side of random planes; full blocks are split by the node's hash.
 
-def _blocks(points: DataFrame, n: int, seed: int, size: int) -> DataFrame:
-    """Blocks of about ``size`` nodes on the same side of random planes; full blocks are split by the node's hash."""
+    Codes meet their counts under ``spread`` salts, so a code that very many nodes share is no task of its own.
+    """
     bits = max(0, int(np.ceil(np.log2(max(1, n / size)))))
 
-    def side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _vectors(batch.column("q")) if batch.num_rows else np.zeros((0, 1))
-            planes = np.random.default_rng(seed).standard_normal((v.shape[1], bits))
-            code = ((v @ planes) > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(v), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("q"), pa.array(code.astype(np.int64))], names=["node", "q", "code"])
-
-    coded = points.select("node", "q").mapInArrow(side, "node long, q binary, code long")
-    counts = coded.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / (2 * size)).alias("parts"))
-    dealt = coded.join(counts, "code").withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), "parts"))
-    return dealt.groupBy("code", "part").agg(F.collect_list(F.struct(F.col("node").alias("id"), "q")).alias("members"))
+            if batch.num_rows:
+                v = _vectors(batch.column("q"))
+                codes = np.zeros((len(v), tables), np.int64)
+                for t in range(tables):
+                    planes = np.random.default_rng(t).standard_normal((v.shape[1], bits))
+                    codes[:, t] = ((v @ planes) > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                lists = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, tables, dtype=np.int32), pa.array(codes.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("q"), lists], names=["node", "q", "codes"])
+
+    coded = points.select("node", "q").mapInArrow(sides, "node long, q binary, codes array<long>")
+    placed = coded.select("node", "q", F.posexplode("codes").alias("turn", "code")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(spread)).cast("int"))
+    counts = placed.groupBy("turn", "code").agg(F.ceil(F.count(F.lit(1)) / (2 * size)).alias("parts"))
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    dealt = placed.join(counts, ["turn", "code", "salt"]).withColumn("part", F.pmod(F.xxhash64("node", "turn"), "parts"))
+    return dealt.groupBy("turn", "code", "part").agg(F.collect_list(F.struct(F.col("node").alias("id"), "q")).alias("members"))
 
 
 def build(points: DataFrame, k: int = 30, reverse: int = 24, tables: int = 6, block: int = 128, rounds: int = 8, settled: float = 0.02) -> DataFrame:
@@ -129,14 +149,8 @@ def build(points: DataFrame, k: int = 30, reverse: int = 24, tables: int = 6, bl
     Rounds end when fewer than ``settled`` of all neighbours are new, or after ``rounds``. Each node is introduced
     through at most ``k + reverse`` others a round, so a node that very many point to costs no more than any other.
     """
-    n = points.count()
-    told = None
-    for seed in range(tables):
-        found = _told(_pairs(_blocks(points, n, seed, block), k, False))
-        told = found if told is None else told.union(found)
-    none = F.array().cast(f"array<{NEIGHBOUR}>")
-    state = points.join(_nearest(told, k), "node", "left").select("node", "q", F.coalesce("near", none).alias("near"))
-    state = written(state, "graph")
+    told = _told(_pairs(_blocks(points, points.count(), tables, block), k, False), "node")
+    state = written(_merged(_unmet(points, "node", "q"), told, k), "graph")
     for turn in range(rounds):
         size, new = state.agg(F.sum(F.size("near")), F.sum(F.expr("size(filter(near, x -> x.fresh = 1))"))).first()
         if not size or new <= settled * size:
@@ -149,9 +163,9 @@ def build(points: DataFrame, k: int = 30, reverse: int = 24, tables: int = 6, bl
         bound = F.when(F.size("near") >= k, F.get("near", F.lit(k - 1))["sim"]).otherwise(-2.0)
         brought = forth.union(back).join(state.select(F.col("node").alias("src"), "q", bound.alias("bound")), "src")
         groups = brought.groupBy("dst").agg(F.collect_list(F.struct(F.col("src").alias("id"), "q", "fresh", "bound")).alias("members"))
-        known = edges.select("node", F.struct("x.sim", "x.id", F.lit(0).alias("fresh")).alias("x"))
-        near = _nearest(known.union(_told(_pairs(groups, k, True))), k)
-        after = written(state.select("node", "q").join(near, "node", "left").select("node", "q", F.coalesce("near", none).alias("near")), "graph")
+        known = F.transform("near", lambda x: F.struct(x["sim"].alias("sim"), x["id"].alias("id"), F.lit(0).alias("fresh")))
+        told = _told(_pairs(groups, k, True), "node")
+        after = written(_merged(state.select("node", "q", known.alias("near")), told, k), "graph")
         forget(state)
         state = after
     return state
@@ -166,45 +180,64 @@ def walkable(graph: DataFrame, reverse: int = 16) -> DataFrame:
     return both.groupBy("node").agg(F.collect_set("to").alias("to"))
 
 
+def _cosines(a: np.ndarray, b: np.ndarray, dots: np.ndarray) -> np.ndarray:
+    return dots / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+
+
 def _scored(rows: DataFrame) -> DataFrame:
-    """``query`` and ``x`` for rows (query, qq, id, q)."""
+    """(a, b, sim) for rows (query, qq, id, q)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = _vectors(batch.column("qq")), _vectors(batch.column("q"))
-                sim = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-                yield pa.RecordBatch.from_arrays([batch.column("query"), pa.array(sim), batch.column("id")], names=["query", "sim", "id"])
+                yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("id"), pa.array(_cosines(a, b, (a * b).sum(1)))], names=["a", "b", "sim"])
+
+    return rows.select("query", "qq", "id", "q").mapInArrow(run, "a long, b long, sim double")
+
+
+def _starts(queries: DataFrame, points: DataFrame, entries: int) -> DataFrame:
+    """(a, b, sim) of the places where each query's walk starts: its own node and ``entries`` nodes picked by their hash."""
+    doors = points.orderBy(F.xxhash64("node")).limit(entries).collect()
+    ids, raw = np.array([d["node"] for d in doors], np.int64), [bytes(d["q"]) for d in doors]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = _vectors(pa.array(raw, pa.binary()))
+        for batch in batches:
+            if batch.num_rows:
+                a, query = _vectors(batch.column("qq")), batch.column("query").to_numpy()
+                for door, v in zip(ids, b):
+                    sim = _cosines(a, v[None, :], a @ v)
+                    yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.full(len(a), door)), pa.array(sim)], names=["a", "b", "sim"])
+                own = batch.column("node").is_valid().to_numpy(zero_copy_only=False)
+                a = a[own]
+                node = batch.column("node").drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(query[own]), pa.array(node), pa.array(_cosines(a, a, (a * a).sum(1)))], names=["a", "b", "sim"])
 
-    found = rows.select("query", "qq", "id", "q").mapInArrow(run, "query long, sim double, id long")
-    return found.select("query", F.struct("sim", "id", F.lit(1).alias("fresh")).alias("x"))
+    return queries.select("query", "qq", "node").mapInArrow(run, "a long, b long, sim double") if raw else _scored(queries.select("query", "qq", F.col("node").alias("id"), F.col("qq").alias("q")).limit(0))
 
 
 def search(queries: DataFrame, graph: DataFrame, width: int = 240, step: int = 48, entries: int = 64) -> DataFrame:
-    """``query`` and ``id`` of the ``width`` nearest nodes found for each of ``queries (query, qq, node)``.
+    """``query``, ``qq`` and ``near``, the ``width`` nearest nodes found, for each of ``queries (query, qq, node)``.
 
-    A walk starts at the node of the query, if it has one, and at ``entries`` nodes picked by their hash. Each round
-    walks on from the ``step`` best nodes not yet left among the ``width`` best, until there is none for any query.
+    ``node`` is a node with the query's very vector, or null. A walk starts there and at ``entries`` nodes picked by
+    their hash. Each round walks on from the ``step`` best nodes not yet left among the ``width`` best, until there is
+    none for any query.
     """
     paths = written(walkable(graph), "paths")
     points = graph.select("node", "q")
-    doors = points.orderBy(F.xxhash64("node")).limit(entries)
-    seen = queries.select("query", "qq").join(F.broadcast(doors.agg(F.collect_list(F.struct("node", "q")).alias("doors"))))
-    first = seen.select("query", "qq", F.explode("doors").alias("d")).select("query", "qq", F.col("d.node").alias("id"), "d.q")
-    own = queries.filter("node is not null").select("query", "qq", F.col("node").alias("id")).join(points.withColumnRenamed("node", "id"), "id")
-    pool = written(_nearest(_scored(first.unionByName(own)).withColumnRenamed("query", "node"), width).withColumnRenamed("node", "query"), "pool")
+    pool = written(_merged(_unmet(queries, "query", "qq"), _told(_starts(queries, points, entries), "query"), width), "pool")
     while True:
-        waiting = F.filter("near", lambda x: x["fresh"] == 1)
-        steps = pool.select("query", F.explode(F.slice(waiting, 1, step)).alias("x")).select("query", F.col("x.id").alias("node"), F.col("x.sim").alias("sim"))
-        if not steps.limit(1).count():
-            return pool.select("query", F.explode("near.id").alias("id"))
-        met = steps.join(paths, "node").select("query", F.explode("to").alias("id")).distinct()
-        met = met.join(pool.select("query", "near.id").toDF("query", "held"), "query").filter(~F.array_contains("held", F.col("id"))).drop("held")
-        met = met.join(points.withColumnRenamed("node", "id"), "id").join(queries.select("query", "qq"), "query")
-        left = steps.select("query", F.struct("sim", F.col("node").alias("id"), F.lit(0).alias("fresh")).alias("x"))
-        known = pool.select("query", F.explode("near").alias("x"))
-        every = known.union(left).union(_scored(met)).withColumnRenamed("query", "node")
-        after = written(_nearest(every, width).withColumnRenamed("node", "query"), "pool")
+        steps = F.slice(F.filter("near", lambda x: x["fresh"] == 1), 1, step)
+        leaving = pool.select("query", F.explode(steps).alias("x")).select("query", F.col("x.id").alias("node"))
+        if leaving.isEmpty():
+            return pool
+        met = leaving.join(paths, "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
+        met = met.join(pool, "query").select("query", "qq", F.explode(F.array_except("to", "near.id")).alias("id"))
+        told = _told(_scored(met.join(points.withColumnRenamed("node", "id"), "id")), "query")
+        # The steps taken are the first unleft ones: all from the last of them up.
+        left = F.transform("near", lambda x: F.struct(x["sim"].alias("sim"), x["id"].alias("id"), F.when(x >= F.try_element_at(steps, F.lit(-1)), 0).otherwise(x["fresh"]).alias("fresh")))
+        after = written(_merged(pool.select("query", "qq", left.alias("near")), told, width), "pool")
         forget(pool)
         pool = after
 
@@ -242,7 +275,12 @@ def nearest(vectors: DataFrame, wanted: DataFrame | None = None, k: int = 5, vec
     graph = build(small.join(nodes.select(F.col("node").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("node"), "q"), **options)
     ids = taking.filter("vec_id % 50 = 0").select("vec_id") if wanted is None else wanted.select("vec_id").distinct()
     asked = written(small.join(ids, "vec_id").join(nodes, ["h", "g"]).select(F.col("vec_id").alias("query"), F.col("q").alias("qq"), "node"), "queries")
-    found = search(asked, graph).join(members.withColumnRenamed("node", "id"), "id").select("query", "vec_id").filter("query <> vec_id")
+    # A rounded vector of d components is off by an angle of at most about sqrt(d) / 65534. Beside the query's own node k
+    # others stand before near[k]; what lies below it by more than two cosines can be off is not among the k nearest found.
+    slack = 2.1 * F.sqrt(F.octet_length("qq") / 2) / 32767
+    floor = F.coalesce(F.get("near", F.lit(k))["sim"] - slack, F.lit(-2.0))
+    close = search(asked, graph).select("query", F.explode(F.filter("near", lambda x: x["sim"] >= floor)).alias("x")).select("query", F.col("x.id").alias("id"))
+    found = close.join(members.withColumnRenamed("node", "id"), "id").select("query", "vec_id").filter("query <> vec_id")
     a = taking.select(F.col("vec_id").alias("query"), F.col("v").alias("a"))
     rows = found.join(taking.withColumnRenamed("v", "b"), "vec_id").join(a, "query")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
