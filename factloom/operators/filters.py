@@ -118,7 +118,7 @@ def apply_filters(df: DataFrame, filters: Filters | None) -> DataFrame:
 
 
 def latest_day(df: DataFrame, column: str) -> datetime.date | None:
-    """The data's latest UTC day: a max that Parquet statistics can answer."""
+    """The data's latest UTC day: one aggregate over one column."""
     return df.agg(F.max(column).cast("date")).first()[0]
 
 

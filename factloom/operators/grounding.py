@@ -16,12 +16,16 @@ ALLOWED = (
     r"\b(?:19|20)\d{2}\b",
 )
 REFERENCE = r"\{\{(\w+)\}\}"
+TELLING = r"[\d{]"  # every number and every reference holds one of these
 NUMBER = r"[-+−]?\$?\d[\d,.]*\s?%?"
 UNICODE = "(?U)"  # word, digit, space and boundary classes follow Unicode
 
 
 def offenders(text: Column, known: Column) -> Column:
-    """Unknown ``{{references}}`` first, then the numbers no allowed form covers."""
+    """Unknown ``{{references}}`` first, then the numbers no allowed form covers.
+
+    Texts without a digit or a brace are settled by one look.
+    """
     cited = F.regexp_extract_all(text, F.lit(UNICODE + REFERENCE), F.lit(1))
     unknown = F.transform(
         F.filter(cited, lambda r: ~F.array_contains(known, r)), lambda r: F.concat(F.lit("{{"), r, F.lit("}}"))
@@ -30,7 +34,8 @@ def offenders(text: Column, known: Column) -> Column:
     for pattern in ALLOWED:
         rest = F.regexp_replace(rest, UNICODE + pattern, " ")
     numbers = F.regexp_extract_all(rest, F.lit(UNICODE + NUMBER), F.lit(0))
-    return F.concat(unknown, F.transform(numbers, lambda n: F.regexp_replace(n, r"(?U)^\s+|\s+$", "")))
+    found = F.concat(unknown, F.transform(numbers, lambda n: F.regexp_replace(n, r"(?U)^\s+|\s+$", "")))
+    return F.when(text.isNull() | text.rlike(UNICODE + TELLING), found).otherwise(F.array().cast("array<string>"))
 
 
 def ungrounded_numbers(sentences: DataFrame, facts: DataFrame | None = None, doc: str = "doc_id", text: str = "sentence") -> DataFrame:

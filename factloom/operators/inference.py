@@ -17,11 +17,6 @@ ID_VALUE = r"^[A-Za-z]*[-_]?[0-9]+$"
 DATE_SHARE, NUMBER_SHARE = 0.9, 0.95
 CODE_VALUES, CATEGORY_FLOOR, CATEGORY_CEILING, CATEGORY_SHARE = 12, 50, 200, 0.05
 INTEGER_LIMIT = float(2**53)
-# The sketch only decides whether an exact count can matter; both margins are many
-# times its error, so the exact rules see every column they could apply to.
-SKETCH_ERROR = 0.05
-FEW_VALUES = 1_000
-UNIQUE_SHARE = 0.5
 
 
 @dataclass(frozen=True)
@@ -42,7 +37,7 @@ def _long_form(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _statistics(df: DataFrame) -> DataFrame:
-    """One row per column with at least one row, from a single scan."""
+    """One row per column with at least one row, from a single scan of declarative counts."""
     text = F.col("text")
     cells = _long_form(df, df.columns).withColumn("text", trimmed(F.col("raw"))).filter(text != "")
     parsed = cells.select(
@@ -63,7 +58,6 @@ def _statistics(df: DataFrame) -> DataFrame:
         F.count_if(F.col("number") == F.floor("number")).alias("integers"),
         F.max(F.abs("number")).alias("largest"),
         F.count_if("id_like").alias("id_like"),
-        F.approx_count_distinct("raw", SKETCH_ERROR).alias("sketch"),
     )
 
 
@@ -100,14 +94,8 @@ def plan_columns(df: DataFrame) -> list[ColumnPlan]:
     distinct count can decide a rule."""
     extremes = [type_rules(F.lit(0)).alias("least"), type_rules(F.lit(MANY)).alias("most")]
     rows = {r["name"]: r.asDict() for r in _statistics(df).select("*", *extremes).collect()}
-    # Without an exact count a column has too many values for a category and repeats some.
     types = {name: rows[name]["most"] if name in rows else "text" for name in df.columns}
-    unsure = [
-        name
-        for name, r in rows.items()
-        if r["least"] != r["most"]
-        and (r["sketch"] <= FEW_VALUES or (r["id_like"] == r["present"] and r["sketch"] >= UNIQUE_SHARE * r["present"]))
-    ]
+    unsure = [name for name, r in rows.items() if r["least"] != r["most"]]
     if unsure:
         fields = ("present", "flags", "dates", "numbers", "integers", "id_like")
         local = [(name, *(rows[name][f] for f in fields)) for name in unsure]

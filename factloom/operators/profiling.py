@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions.calendar import infer_grain
 from factloom.functions.rounding import js_round, mean
@@ -16,19 +17,39 @@ DATETIME = "struct<min:string,max:string,grain:string>"
 TOP = "array<struct<value:string,count:bigint>>"
 
 
-def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
-    """``(name, value, count)``: display texts of several columns in one shuffle.
+def identity(c: Column, dtype: T.DataType, shown: bool) -> Column:
+    """What tells values apart: a long or a double where it does so exactly as the display text, else that text.
+
+    Only integers keep their text when they are ``shown`` from it later.
+    """
+    if isinstance(dtype, T.IntegralType):
+        return c.cast("long")
+    if not shown and isinstance(dtype, T.DoubleType):
+        return c
+    if not shown and isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("long")
+    if not shown and is_temporal(dtype):
+        return F.unix_millis(c.cast("timestamp"))
+    return display_string(c, dtype)
+
+
+def value_counts(df: DataFrame, names: list[str], shown: bool = True) -> DataFrame:
+    """``(name, value, count)`` of several columns, in one shuffle per kind of identity.
 
     Counts are combined before the shuffle, so a value that fills a third of the
-    table arrives as one row per task.
+    table arrives as one row per task. Values become texts after they are counted.
     """
-    shown = df.select(*(display_string(F.col(f"`{n}`"), df.schema[n].dataType).alias(n) for n in names))
-    cells = shown.unpivot([], [F.col(f"`{n}`") for n in names], "name", "value")
-    return cells.filter(F.col("value").isNotNull()).groupBy("name", "value").agg(F.count(F.lit(1)).alias("count"))
+    told = df.select(*(identity(F.col(f"`{n}`"), df.schema[n].dataType, shown).alias(n) for n in names))
+    found = df.sparkSession.createDataFrame([], "name string, value string, count long")
+    for kind in dict.fromkeys(t for _, t in told.dtypes):
+        cells = told.unpivot([], [F.col(f"`{n}`") for n, t in told.dtypes if t == kind], "name", "v").filter(F.col("v").isNotNull())
+        counts = cells.groupBy("name", "v").agg(F.count(F.lit(1)).alias("count"))
+        found = found.unionByName(counts.select("name", F.col("v").cast("string").alias("value"), "count"))
+    return found
 
 
 def distinct_counts(counts: DataFrame) -> DataFrame:
-    """Exact distinct display texts per column."""
+    """Exact distinct values per column."""
     # count_if keeps ``count`` in the plan: same exchange as the top values.
     return counts.groupBy("name").agg(F.count_if(F.col("count") > 0).alias("distinct_count"))
 
@@ -77,8 +98,8 @@ def profile_table(
     """Profiles of a typed table in column order.
 
     ``types`` gives the semantic types. One wide aggregate covers null shares,
-    moments and date bounds; one shuffle of value counts covers distinct counts
-    and top values; quantiles follow ``quantiles``.
+    moments and date bounds; value counts, shuffled as numbers where texts are not
+    needed, cover distinct counts and top values; quantiles follow ``quantiles``.
     """
     names = [n for n in df.columns if n in types]
     kinds = {n: df.schema[n].dataType for n in names}
@@ -98,10 +119,12 @@ def profile_table(
             )
         )
     basics = df.agg(F.array(*entries).alias("columns")).select(F.inline("columns"))
-    counts = value_counts(df, names)
+    silent = numeric + dated  # columns whose values are counted, but never listed
+    counts = value_counts(df, [n for n in names if n not in silent])
+    distinct = distinct_counts(counts).unionByName(distinct_counts(value_counts(df, silent, shown=False)))
     spread = quantiles(df, numeric, (0.5, 0.95), rows_in_memory)
     joined = (
-        basics.join(distinct_counts(counts), "name", "left")
+        basics.join(distinct, "name", "left")
         .join(top_values(counts), "name", "left")
         .join(spread, "name", "left")
     )
@@ -110,7 +133,7 @@ def profile_table(
         m["min"].alias("min"), m["max"].alias("max"), m["mean"].alias("mean"),
         js_round(q[0], 4).alias("median"), js_round(q[1], 4).alias("p95"), m["sum"].alias("sum"),
     )
-    ranked = ~F.col("name").isin(numeric + dated) if numeric + dated else F.lit(True)
+    ranked = ~F.col("name").isin(silent) if silent else F.lit(True)
     return joined.select(
         F.lit(dataset_id or "").alias("dataset_id"),
         "name",

@@ -561,9 +561,11 @@ _NUMBERS = f"""list_transform(regexp_extract_all({stripped_of("text")}, '[-+−]
 _CITED = "list_transform(list_filter(regexp_extract_all(text, '\\{\\{(\\w+)\\}\\}', 1), lambda v: NOT list_contains(known, v)), lambda v: '{{' || v || '}}')"
 ORACLES["ungrounded_numbers"] = f"""SELECT doc_id, len(o)::INTEGER AS n, array_to_string(o, '|') AS offenders FROM (
     SELECT doc_id, list_concat({_CITED}, {_NUMBERS}) AS o FROM (SELECT doc_id, text, []::VARCHAR[] AS known FROM documents))"""
-ORACLES["grounded_sentences"] = f"""SELECT doc_id, text AS sentence FROM (
-    SELECT d.doc_id, 'In ' || lang || ' on Sep 18, 2025 at 14:00 it rose {{{{f1}}}}, see ' || CASE WHEN n_chars % 3 = 0 THEN n_chars || '%' ELSE '{{{{f0}}}}' END || '.' AS text,
-    coalesce(l.known, []::VARCHAR[]) AS known FROM documents d
+ORACLES["grounded_sentences"] = f"""SELECT doc_id, place::INTEGER AS place, text AS sentence FROM (
+    SELECT d.doc_id, d.place, d.text, coalesce(l.known, []::VARCHAR[]) AS known
+    FROM (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS place, unnest(parts) AS text FROM (
+        SELECT doc_id, string_split(text || '. In ' || lang || ' on Sep 18, 2025 at 14:00 it rose {{{{f1}}}}, see '
+            || CASE WHEN n_chars % 3 = 0 THEN n_chars || '%' ELSE '{{{{f0}}}}' END, '. ') AS parts FROM documents)) d
     LEFT JOIN (SELECT doc_id, list('f' || quality) || list('f' || toxic) AS known FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id)
     WHERE len({_CITED}) + len({_NUMBERS}) = 0"""
 

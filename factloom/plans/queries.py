@@ -643,8 +643,9 @@ def anomaly_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two_months(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
-    month = fn.bucket_text(fn.bucket_start(F.col("o_orderdate"), "month"), "month")
-    return orders.filter(month == "1998-02-01"), orders.filter(month == "1998-01-01")
+    """February and January 1998, as day ranges that reach the scan."""
+    spans = (("1998-02-01", "1998-02-28"), ("1998-01-01", "1998-01-31"))
+    return tuple(filters.filter_date_range(orders, "o_orderdate", *span) for span in spans)
 
 
 @query
@@ -711,10 +712,14 @@ def ungrounded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def grounded_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's opening claim, checked against the facts its label stands for."""
-    claim = F.concat(F.lit("In "), F.col("lang"), F.lit(" on Sep 18, 2025 at 14:00 it rose {{f1}}, see "),
-                     F.when(F.col("n_chars") % 3 == 0, F.concat("n_chars", F.lit("%"))).otherwise("{{f0}}"), F.lit("."))
-    sentences = table(spark, sf_dir, "documents").select("doc_id", claim.alias("sentence"))
+    """The sentences of each document, checked against the facts its label stands for.
+
+    Each text is followed by a claim about it that cites a fact or gives a number.
+    """
+    claim = F.concat(F.lit(". In "), F.col("lang"), F.lit(" on Sep 18, 2025 at 14:00 it rose {{f1}}, see "),
+                     F.when(F.col("n_chars") % 3 == 0, F.concat("n_chars", F.lit("%"))).otherwise("{{f0}}"))
+    parts = F.posexplode(F.split(F.concat("text", claim), r"\. ")).alias("place", "sentence")
+    sentences = table(spark, sf_dir, "documents").select("doc_id", parts)
     labels = table(spark, sf_dir, "labels")
     known = labels.select("doc_id", F.explode(F.array(F.concat(F.lit("f"), "quality"), F.concat(F.lit("f"), "toxic"))).alias("fact_id"))
     return grounding.keep_grounded(sentences, known)
