@@ -41,21 +41,20 @@ def bounds(sizes: DataFrame, target: int, fan: int = 1024) -> list[int]:
     while (high - low) // width >= fan:
         width *= fan
     done: list[tuple[int, int]] = []  # (first id, bytes) of ranges
-    open_ranges = [(low, high + 1)]
+    open_ranges, first_pass = [low], True  # first ids; the first pass takes the whole table, later ones open ranges only
     while open_ranges:
-        spans = sizes.sparkSession.createDataFrame(open_ranges, "lo long, hi long")
-        if len(open_ranges) == 1:
-            inside = sizes.filter(F.col("page_id").between(low, high)).withColumn("slot", F.expr(f"(page_id - ({low})) div {width}"))
-        else:
+        inside = sizes.filter(F.col("page_id").isNotNull())
+        if not first_pass:
             wide = width * fan
-            slots = spans.select(F.expr(f"(lo - ({low})) div {wide}").alias("wide"))
-            inside = sizes.withColumn("wide", F.expr(f"(page_id - ({low})) div {wide}")).join(slots, "wide").withColumn("slot", F.expr(f"(page_id - ({low})) div {width}"))
+            spans = sizes.sparkSession.createDataFrame([((lo - low) // wide,) for lo in open_ranges], "wide long")
+            inside = inside.withColumn("wide", F.expr(f"(page_id - ({low})) div {wide}")).join(F.broadcast(spans), "wide")
+        inside, first_pass = inside.withColumn("slot", F.expr(f"(page_id - ({low})) div {width}")), False
         sums = inside.groupBy("slot").agg(F.sum("bytes").alias("bytes")).collect()
         again = []
         for row in sums:
             first = low + row["slot"] * width
             if row["bytes"] > target and width > 1:
-                again.append((first, first + width))
+                again.append(first)
             else:
                 done.append((first, row["bytes"]))
         open_ranges, width = again, max(1, width // fan)

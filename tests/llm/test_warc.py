@@ -67,6 +67,23 @@ def test_bounds_follow_skew(spark):
     assert 20 <= len(starts) <= 60 and starts == sorted(starts)
 
 
+def test_one_heavy_range_is_cut_alone(spark, monkeypatch):
+    """One page over the target among many: its own range is cut, no sum of the others reaches the driver again."""
+    sizes = spark.range(20_000).selectExpr("id as page_id", "if(id = 7777, 100000L, 1L) as bytes").localCheckpoint()
+    collected, collect = [], type(sizes).collect
+
+    def counting(df):
+        rows = collect(df)
+        collected.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(sizes), "collect", counting)
+    starts = warc.bounds(sizes, 10_000, fan=16)
+    assert sum(collected) <= 16 * len(collected) and 7777 in starts
+    stops = [*starts[1:], 20_000]
+    assert starts[0] == 0 and max(b - a for a, b in zip(starts, stops)) <= 10_000 and len(starts) <= 6
+
+
 def test_no_pages(spark):
     folder = scratch(spark, "warc")
     assert warc.write_warc(spark.createDataFrame([], SCHEMA), folder) == []
