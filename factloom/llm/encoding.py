@@ -2,7 +2,8 @@
 
 A byte-level BPE splits text before it merges. Between a character that is no white space and a following single space
 or newline there is always a split, so a text may be cut there and the pieces' ids joined. Pieces met before are looked
-up; the others of a batch are encoded by the library in one call. Texts with any other white space go to it whole.
+up; the others of a batch are encoded by the library in one call. Texts with any other white space, or with the string of
+an added token, go to it whole.
 """
 
 from __future__ import annotations
@@ -21,13 +22,18 @@ UNUSUAL = re.compile(
 
 
 class Encoder:
-    """``encode(texts)``: per text its ids as little-endian unsigned 32-bit integers."""
+    """``encode(texts)``: per text its ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, most: int = 450_000):
+    The string of a special token in a text is ordinary text if ``literal``, else that token, as the library has it.
+    """
+
+    def __init__(self, path: str, most: int = 450_000, literal: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = literal
+        added = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.size, self.most = self.tokenizer.get_vocab_size(), most
         vocabulary = self.tokenizer.get_vocab(False)
         self.bytes_of = np.zeros(self.size, np.int64)
@@ -71,7 +77,7 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.table) > self.most:
             self._empty()
-        plain = [k for k, t in enumerate(texts) if " " in t and not UNUSUAL.search(t)]
+        plain = [k for k, t in enumerate(texts) if " " in t and not UNUSUAL.search(t) and not self.added.search(t)]
         out: list[bytes | None] = [None] * len(texts)
         cut = [texts[k].replace("\n", " \n").split(" ") for k in plain]
         slots = [list(map(self.slots.__getitem__, pieces[1:])) for pieces in cut]
@@ -87,9 +93,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder, and so one cache, per worker and vocabulary file."""
+def encoder(path: str, literal: bool = True) -> Encoder:
+    """One encoder, and so one cache, per worker, vocabulary file and way with special tokens."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
-    return Encoder(path)
+    return Encoder(path, literal=literal)

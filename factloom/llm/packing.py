@@ -82,7 +82,7 @@ def cut_into_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, literal=False)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []

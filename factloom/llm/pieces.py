@@ -1,7 +1,9 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
+"""SentencePiece encoding and decoding over an Aho-Corasick automaton of the pieces, by the model's type.
 
-At each position of a text the automaton reports, along its output links, every piece that ends there; each relaxes the
-best score of its end by the best score of its start. A character without a piece of its own falls back to its bytes.
+At each position of a text the automaton reports, along its output links, every piece that ends there. In a unigram model
+scores are log probabilities: a single-pass Viterbi relaxes the best score of a piece's end by that of its start. In a BPE
+model they are ranks of merges: of all neighbours that together are a piece the one with the highest score is merged
+first. A character without a piece of its own falls back to its bytes.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import ahocorasick
 import numpy as np
@@ -27,8 +30,17 @@ class Pieces:
 
     def __init__(self, path: str, most: int = 300_000):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        proto = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+        kind, norm = proto.trainer_spec.model_type, proto.normalizer_spec
+        # Texts are read as they are, after a space; what changes them or fixes pieces beforehand is the library's work.
+        plainly = norm.add_dummy_prefix and norm.escape_whitespaces and not (norm.precompiled_charsmap or norm.remove_extra_whitespaces)
+        plainly &= not proto.trainer_spec.treat_whitespace_as_suffix and not any(p.type in (p.USER_DEFINED, p.UNUSED) for p in proto.pieces)
+        self.by_rank = kind == proto.trainer_spec.BPE
+        plainly &= not self.by_rank or proto.trainer_spec.byte_fallback
+        self.library = None if plainly and kind in (proto.trainer_spec.BPE, proto.trainer_spec.UNIGRAM) else model
         n = model.get_piece_size()
         self.text = [model.id_to_piece(i) for i in range(n)]
         self.score = [model.get_score(i) for i in range(n)]
@@ -50,7 +62,7 @@ class Pieces:
         # A text may be cut wherever no piece can lie across: before a space after something else, and around newlines.
         cuts = not any(re.search(f"[^{SPACE}]{SPACE}|\n.|.\n", self.text[i], re.S) for i in plain)
         self.parts = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if cuts else ".+", re.S)
-        self.most, self.known = most, {}
+        self.most, self.known = most, ({}, {})
 
     def best(self, text: str) -> tuple[list[int], float]:
         """The ids of the segmentation with the highest sum of scores; of equals the one with the shorter last piece."""
@@ -83,18 +95,62 @@ class Pieces:
             at -= size
         return out[::-1], score[n]
 
-    def encode(self, text: str) -> tuple[bytes, float]:
-        """Ids as little-endian unsigned 32-bit integers, and the sum of scores. An empty text has none."""
+    def merged(self, text: str) -> tuple[list[int], float]:
+        """The ids after all merges, highest score first (ties: from the left), and the sum of their scores."""
+        n = len(text)
+        found = {(end + 1 - size) * (n + 1) + end + 1: piece for end, (piece, size, _) in self.automaton.iter(text)}
+        stop, before = list(range(1, n + 1)), list(range(-1, n))  # of the symbol that starts here; stop 0: merged into another
+        heap: list[tuple[float, int, int, int]] = []
+
+        def meet(a: int, b: int) -> None:
+            piece = found.get(a * (n + 1) + stop[b])
+            if piece is not None:
+                heappush(heap, (-self.score[piece], a, b, stop[b]))
+
+        for b in range(1, n):
+            meet(b - 1, b)
+        while heap:
+            _, a, b, end = heappop(heap)
+            if stop[a] != b or stop[b] != end:
+                continue
+            stop[a], stop[b], before[end] = end, 0, a
+            if before[a] >= 0:
+                meet(before[a], a)
+            if end < n:
+                meet(a, end)
+        out: list[int] = []
+        total, at = 0.0, 0
+        while at < n:
+            piece = found.get(at * (n + 1) + stop[at])
+            if piece is not None:
+                out.append(piece)
+                total += self.score[piece]
+            else:
+                raw = text[at].encode("utf-8", "surrogatepass")
+                out += [self.byte[b] for b in raw] if all(b in self.byte for b in raw) else [self.unknown]
+                total += self.fallback
+            at = stop[at]
+        return out, total
+
+    def encode(self, text: str, own: bool = False) -> tuple[bytes, float]:
+        """Ids as little-endian unsigned 32-bit integers, and the sum of scores. An empty text has none.
+
+        The segmentation is that of the model's type if ``own``, else the one with the highest sum of scores.
+        """
         if not text:
             return b"", 0.0
-        if len(self.known) > self.most:
-            self.known.clear()
+        if own and self.library:
+            ids = self.library.encode(text)
+            return np.array(ids, "<u4").tobytes(), float(sum(map(self.score.__getitem__, ids)))
+        cut, known = (self.merged if own and self.by_rank else self.best), self.known[own]
+        if len(known) > self.most:
+            known.clear()
         ids, total = [], 0.0
         for part in self.parts.findall(SPACE + text.replace(" ", SPACE)):
-            found = self.known.get(part)
+            found = known.get(part)
             if found is None:
-                best, score = self.best(part)
-                found = self.known[part] = (np.array(best, "<u4").tobytes(), score)
+                best, score = cut(part)
+                found = known[part] = (np.array(best, "<u4").tobytes(), score)
             ids.append(found[0])
             total += found[1]
         return b"".join(ids), total
@@ -113,7 +169,7 @@ def pieces(path: str) -> Pieces:
 def encode_pieces(docs: DataFrame, model: str, text: str = "text", decode: bool = True) -> DataFrame:
     """``docs`` with ``ids`` (32-bit little-endian), ``n_pieces``, ``score`` and, if asked, ``decoded`` text.
 
-    Whole texts are encoded; null is empty and has no piece. The character that stands for a space decodes as one.
+    Whole texts are encoded by the model's own segmentation; null is empty and has no piece. The character that stands for a space decodes as one.
     Columns that clash with the added ones give way.
     """
     added = ("ids", "n_pieces", "score", "decoded")
@@ -121,7 +177,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", decode: bool
     @F.pandas_udf(RESULT)
     def encode(texts: pd.Series) -> pd.DataFrame:
         book = pieces(model)
-        found = [book.encode(t) for t in texts]
+        found = [book.encode(t, own=True) for t in texts]
         back = [book.decode(ids) if decode else None for ids, _ in found]
         return pd.DataFrame({"ids": [f[0] for f in found], "n_pieces": [len(f[0]) // 4 for f in found], "score": [f[1] for f in found], "decoded": back})
 

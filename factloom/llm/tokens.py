@@ -30,7 +30,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2,
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, literal=False)
         kind = "<u2" if encode.size <= 1 << 16 else "<u4"
         store, top = opened(folder)
         part = TaskContext.get().partitionId()

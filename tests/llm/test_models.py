@@ -98,6 +98,23 @@ def test_pieces_are_the_best_segmentation(documents):
         assert book.decode(ids) == text
 
 
+def test_pieces_are_the_librarys(spark, odd, documents):
+    """Ids beside SentencePiece itself; its score is the sum over the pieces, of a character in bytes the fallback."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    book = pieces.Pieces(PIECES, most=5)
+    assert book.by_rank and book.library is None
+    texts = ["ster", "a", " ", "     x  y " + " " * 37, "  x\n\ny ", "日本語 ﬁ \U0001f600", "don't\tstop\r\n", "▁ a▁b", "<s> <0x0A> </s>", "aaaaaaaaaaaaa" * 9, "x\0y"]
+    texts += [r.text for df in (odd, documents) for r in df.collect() if r.text]
+    for text in texts:
+        assert np.frombuffer(book.encode(text, own=True)[0], "<u4").tolist() == library.encode(text)
+    got = pieces.encode_pieces(spark.createDataFrame([(1, "ster sister")], "doc_id long, text string"), PIECES).first()
+    want = library.encode("ster sister")
+    assert (got.n_pieces, bytes(got.ids)) == (len(want), np.array(want, "<u4").tobytes())
+    assert got.score == sum(map(library.get_score, want))
+
+
 def test_pieces_odd_rows(odd, clashing, empty):
     got = pieces.encode_pieces(clashing, PIECES).collect()
     assert all(r.decoded == (r.text or "").replace("▁", " ") and len(r.ids) == 4 * r.n_pieces for r in got) and len(got) == 11

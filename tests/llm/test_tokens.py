@@ -118,3 +118,19 @@ def test_manifest_is_written_last(spark, documents):
     with store.open_input_file(f"{top}/manifest.json") as f:
         shards = json.loads(f.read())
     assert sum(s["docs"] for s in shards) == documents.count()
+
+
+def test_added_tokens_are_the_librarys(spark):
+    """The string of an added token is that token in both operators, next to a text without it and as part of a word."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "plain words here", "x<|endoftext|>y z", "<|endoftext|>", "<|endoftext|>\n<|endoftext|> <|endof text|>", "last one"]
+    want = [np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4") for t in texts]
+    assert 50256 in want[0] and 50256 not in brute(texts[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    folder = scratch(spark, "tokens")
+    tokens.write_tokens(docs, folder, BYTE_BPE)
+    got = sorted(tokens.read_tokens(spark, folder).collect(), key=lambda r: r.doc_id)
+    assert [bytes(r.ids) for r in got] == [x.tobytes() for x in want]
+    assert [r.start for r in got] == [0, *np.cumsum([x.size for x in want])[:-1].tolist()]
+    packed = sorted(packing.pack_documents(docs, BYTE_BPE).collect(), key=lambda r: r.doc_id)
+    assert [(r.length, r.ids_crc32) for r in packed] == [(x.size, zlib.crc32(x.tobytes())) for x in want]
