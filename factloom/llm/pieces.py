@@ -9,9 +9,10 @@ first. A character without a piece of its own falls back to its bytes.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import numpy as np
@@ -25,6 +26,18 @@ SPACE = "▁"  # stands for a space inside pieces
 RESULT = "ids binary, n_pieces long, score double, decoded string"
 
 
+class Parts(dict):
+    """Ids and score of the parts of texts met so far; a new one is cut as it is asked for."""
+
+    def __init__(self, cut: Callable[[str], tuple[list[int], float]]):
+        self.cut = cut
+
+    def __missing__(self, part: str) -> tuple[bytes, float]:
+        ids, score = self.cut(part)
+        self[part] = found = struct.pack(f"<{len(ids)}I", *ids), score
+        return found
+
+
 class Pieces:
     """The pieces of a model file with their scores, and the automaton over them."""
 
@@ -62,7 +75,7 @@ class Pieces:
         # A text may be cut wherever no piece can lie across: before a space after something else, and around newlines.
         cuts = not any(re.search(f"[^{SPACE}]{SPACE}|\n.|.\n", self.text[i], re.S) for i in plain)
         self.parts = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if cuts else ".+", re.S)
-        self.most, self.known = most, ({}, {})
+        self.most, self.known = most, (Parts(self.best), Parts(self.merged if self.by_rank else self.best))
 
     def best(self, text: str) -> tuple[list[int], float]:
         """The ids of the segmentation with the highest sum of scores; of equals the one with the shorter last piece."""
@@ -97,34 +110,29 @@ class Pieces:
 
     def merged(self, text: str) -> tuple[list[int], float]:
         """The ids after all merges, highest score first (ties: from the left), and the sum of their scores."""
-        n = len(text)
-        found = {(end + 1 - size) * (n + 1) + end + 1: piece for end, (piece, size, _) in self.automaton.iter(text)}
-        stop, before = list(range(1, n + 1)), list(range(-1, n))  # of the symbol that starts here; stop 0: merged into another
-        heap: list[tuple[float, int, int, int]] = []
-
-        def meet(a: int, b: int) -> None:
-            piece = found.get(a * (n + 1) + stop[b])
-            if piece is not None:
-                heappush(heap, (-self.score[piece], a, b, stop[b]))
-
-        for b in range(1, n):
-            meet(b - 1, b)
+        n, score = len(text), self.score
+        wide = n + 1
+        found = {(end + 1 - size) * wide + end + 1: piece for end, (piece, size, _) in self.automaton.iter(text)}
+        stop, before = list(range(1, wide)), list(range(-1, n))  # of the symbol that starts here; stop 0: merged into another
+        heap = [(-score[found[k]], b - 1, b, b + 1) for b in range(1, n) if (k := (b - 1) * wide + b + 1) in found]
+        heapify(heap)
         while heap:
             _, a, b, end = heappop(heap)
             if stop[a] != b or stop[b] != end:
                 continue
             stop[a], stop[b], before[end] = end, 0, a
-            if before[a] >= 0:
-                meet(before[a], a)
-            if end < n:
-                meet(a, end)
+            left = before[a]
+            if left >= 0 and (piece := found.get(left * wide + end)) is not None:
+                heappush(heap, (-score[piece], left, a, end))
+            if end < n and (piece := found.get(a * wide + stop[end])) is not None:
+                heappush(heap, (-score[piece], a, end, stop[end]))
         out: list[int] = []
         total, at = 0.0, 0
         while at < n:
-            piece = found.get(at * (n + 1) + stop[at])
+            piece = found.get(at * wide + stop[at])
             if piece is not None:
                 out.append(piece)
-                total += self.score[piece]
+                total += score[piece]
             else:
                 raw = text[at].encode("utf-8", "surrogatepass")
                 out += [self.byte[b] for b in raw] if all(b in self.byte for b in raw) else [self.unknown]
@@ -142,18 +150,11 @@ class Pieces:
         if own and self.library:
             ids = self.library.encode(text)
             return np.array(ids, "<u4").tobytes(), float(sum(map(self.score.__getitem__, ids)))
-        cut, known = (self.merged if own and self.by_rank else self.best), self.known[own]
+        known = self.known[own]
         if len(known) > self.most:
             known.clear()
-        ids, total = [], 0.0
-        for part in self.parts.findall(SPACE + text.replace(" ", SPACE)):
-            found = known.get(part)
-            if found is None:
-                best, score = cut(part)
-                found = known[part] = (np.array(best, "<u4").tobytes(), score)
-            ids.append(found[0])
-            total += found[1]
-        return b"".join(ids), total
+        found = list(map(known.__getitem__, self.parts.findall(SPACE + text.replace(" ", SPACE))))
+        return b"".join([f[0] for f in found]), sum([f[1] for f in found])
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids; a space that began it is taken off again."""
