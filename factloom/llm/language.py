@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import Slots, held_out, lean, named, text_of
@@ -48,31 +48,40 @@ def _scripts(words: list[str]) -> np.ndarray:
 class Model:
     """Trigram scores per language and the scripts each language is written in."""
 
-    def __init__(self, langs: list[str], table: np.ndarray, scripts: np.ndarray, penalty: float):
+    def __init__(self, langs: list[str], table: np.ndarray, scripts: np.ndarray, penalty: float, level: np.ndarray | None = None, floor: float = -np.inf):
         self.langs, self.table, self.scripts, self.penalty = langs, table, scripts, penalty
+        self.level = np.zeros(GRAMS, np.float32) if level is None else level  # log likelihood of a trigram where it is likeliest
+        self.floor = floor  # of a text's mean level per letter, if it is in a language of the model
         self.known = Slots()
-        self.scores, self.letters = np.zeros((0, len(langs)), np.float32), np.zeros(0, np.int32)
+        self.scores, self.letters, self.levels = np.zeros((0, len(langs)), np.float32), np.zeros(0, np.int32), np.zeros(0)
 
     def __reduce__(self):
-        return Model, (self.langs, self.table, self.scripts, self.penalty)
+        return Model, (self.langs, self.table, self.scripts, self.penalty, self.level, self.floor)
 
     def _learn(self, tokens: list[str]) -> None:
         """Scores of words not met before: the sum over their trigrams; languages of other scripts are out."""
         cut = [LETTERS.findall(t.lower()) for t in tokens]
         letters = np.array([sum(map(len, c)) for c in cut], np.int32)
-        scores = np.zeros((len(tokens), len(self.langs)), np.float32)
+        scores, levels = np.zeros((len(tokens), len(self.langs)), np.float32), np.zeros(len(tokens))
         parts, owner = [p for c in cut for p in c], np.repeat(np.arange(len(cut)), [len(c) for c in cut])
         if parts:
             grams, word = _grams(parts)
             for k in range(len(self.langs)):
                 scores[:, k] = np.bincount(owner[word], self.table[grams, k], len(tokens))
             fits = self.scripts[_scripts(parts)]
+            levels = np.bincount(owner[word], np.where(fits.any(1)[word], self.level[grams], self.level.min()), len(tokens))
             fits |= ~fits.any(1, keepdims=True)  # a script that no language uses tells nothing
             np.subtract.at(scores, owner, np.where(fits, 0, 50).astype(np.float32))
         self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters])
+        self.levels = np.concatenate([self.levels, levels])
 
     def label(self, texts: list[str], most: int = 1 << 23) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each text the language of each word (split at white space) along the best path, and the words' letters.
+        """For each text the language of each word (split at white space) along the best path, and the words' letters."""
+        for path, words in self._paths(texts, most):
+            yield path, self.letters[words]
+
+    def _paths(self, texts: list[str], most: int = 1 << 23) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the best path and the numbers of its words.
 
         Texts advance together in blocks of at most ``most`` words times languages, or one text.
         """
@@ -87,7 +96,7 @@ class Model:
             size += ids.size
         yield from self._block(block)
         if len(self.known) > 250_000:
-            self.__init__(self.langs, self.table, self.scripts, self.penalty)
+            self.__init__(self.langs, self.table, self.scripts, self.penalty, self.level, self.floor)
 
     def _block(self, words: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         self._learn(self.known.fresh)
@@ -104,7 +113,7 @@ class Model:
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         for k, w in enumerate(words):
-            yield path[first[: w.size] + place[k]], self.letters[w]
+            yield path[first[: w.size] + place[k]], w
 
     def _best(self, ids: np.ndarray, active: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The best path through every text: one step takes a word of each text that still has one."""
@@ -141,19 +150,26 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The language with the most letters on the path (ties: the first in order) and its share of the letters."""
-        langs, scores = [], np.zeros(len(texts))
-        for k, (path, letters) in enumerate(self.label(texts)):
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """As ``predict``, and the mean level per letter: how likely the letters are in any language of the model."""
+        langs, scores, levels = [], np.zeros(len(texts)), np.full(len(texts), -np.inf)
+        for k, (path, words) in enumerate(self._paths(texts)):
+            letters = self.letters[words]
             mass = np.bincount(path, letters, len(self.langs)) if self.langs else np.zeros(1)
             langs.append(self.langs[mass.argmax()] if mass.sum() else "und")
-            scores[k] = mass.max() / mass.sum() if mass.sum() else 0.0
-        return langs, scores
+            if mass.sum():
+                scores[k], levels[k] = mass.max() / mass.sum(), self.levels[words].sum() / mass.sum()
+        return langs, scores, levels
 
 
-def fit(docs: DataFrame, fit_docs: int = 1500, max_langs: int = 1000, penalty: float = 12.0, text: str = "text") -> Model:
+def fit(docs: DataFrame, fit_docs: int = 1500, max_langs: int = 1000, penalty: float = 12.0, text: str = "text", floor: bool = False, margin: float = 3.0) -> Model:
     """The model of the rows that may teach: not held out, with text and language.
 
     It is fitted on a sample of about ``fit_docs`` whole documents per language, picked by the hash of their id, and on
-    at most ``max_langs`` languages, the most frequent ones. Only trigram counts reach the driver.
+    at most ``max_langs`` languages, the most frequent ones. Only trigram counts reach the driver. If asked, its floor is
+    set ``margin`` nats a letter below the level that 99 % of the sample's documents reach.
     """
     taught = docs.select(named("doc_id").alias("doc_id"), named(text).alias("text"), named("lang").cast("string").alias("lang"))
     taught = taught.filter(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -180,10 +196,29 @@ def fit(docs: DataFrame, fit_docs: int = 1500, max_langs: int = 1000, penalty: f
     counts[rows["key"], rows["lang"].map(langs.index).astype(int)] = rows["n"]
     table = counts[:GRAMS]
     logs = np.log((table + 0.3) / (table.sum(0) + 0.3 * (table.sum(1) > 0).sum()))
+    level = logs.max(1)
+    level[table.sum(1) == 0] = logs.min()
     logs -= logs.max(1, keepdims=True)
     logs[table.sum(1) == 0] = 0
     used = counts[GRAMS:] / np.maximum(1, counts[GRAMS:].sum(0))
-    return Model(langs, np.maximum(logs, -8).astype(np.float32), used >= 0.01, penalty)
+    model = Model(langs, np.maximum(logs, -8).astype(np.float32), used >= 0.01, penalty, level.astype(np.float32))
+    if floor:
+        found = sample.select(_judged(model, F.col("text")).getField("level").alias("level")).filter(F.col("level") > -np.inf)
+        reached = found.agg(F.percentile_approx("level", 0.01)).first()[0]
+        model.floor = -np.inf if reached is None else reached - margin
+    return model
+
+
+def _judged(model: Model, text: Column) -> Column:
+    """Language, share of letters and mean level of a text. A worker has the model, and the words it met, once."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang string, s double, level double")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        langs, scores, levels = shared.value.judge(texts.tolist())
+        return pd.DataFrame({"lang": langs, "s": scores, "level": levels})
+
+    return judge(text)
 
 
 def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -204,6 +239,9 @@ def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFram
 
 
 def known_language(docs: DataFrame, model: Model, min_score: float = 0.2) -> DataFrame:
-    """``docs`` whose language is known: a letter at all, and one language with ``min_score`` of the letters."""
-    found = with_language(docs, model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*(named(c) for c in docs.columns))
+    """``docs`` whose language is known: a letter at all, one language with ``min_score`` of the letters, and letters as
+    likely as the model's floor asks. Words of a script that no language of the model uses count as the least likely."""
+    lean(docs.sparkSession)
+    found = docs.select(*(named(c) for c in docs.columns), _judged(model, text_of()).alias("__found"))
+    known = (F.col("__found.lang") != "und") & (F.col("__found.s") >= min_score) & (F.col("__found.level") >= model.floor)
+    return found.filter(known).select(*(named(c) for c in docs.columns))

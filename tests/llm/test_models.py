@@ -39,6 +39,18 @@ def test_language_spans_and_odd_rows(spark, documents, clashing, empty):
     assert {r.lang_pred for r in language.with_language(clashing, nothing).collect()} == {"und"} and language.with_language(empty, model).count() == 0
 
 
+def test_unknown_languages_go(spark, documents):
+    """Unlearned scripts and languages and random letters go, all clean documents stay."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    junk = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(300))
+    odd = ["όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι", "все люди рождаются свободными и равными", "มนุษย์ทั้งหลายเกิดมามีอิสระ", junk, "wszyscy ludzie rodzą się wolni i równi w swojej godności"]
+    rows = spark.createDataFrame([(-1 - k, t, None, "odd", len(t)) for k, t in enumerate(odd)], documents.schema)
+    clean = {r.doc_id for r in documents.collect() if any(c.isalpha() for c in r.text or "")}
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, documents.union(rows), None).collect()} == clean
+
+
 def test_language_path_is_the_best(documents):
     """Viterbi beside all paths of short texts."""
     import itertools
