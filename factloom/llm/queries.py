@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import compression, language, lines, neighbours, outliers, packing, pieces, simhash, tokens, warc
+from factloom.llm import compression, language, lines, neighbours, outliers, packing, phrases, pieces, simhash, spelling, tokens, urls, warc
 from factloom.llm.common import scratch
 from factloom.llm.sql import ORACLES
 from factloom.session import pin
@@ -93,3 +93,29 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = outliers.with_verdict(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *outliers.STATISTICS, "base_failed", "kept")
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+#: The rules of the query: host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
