@@ -120,7 +120,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple
     kept = [c for c in keep if c.lower() not in JUDGED]
     salt = F.xxhash64(*(named(c) for c in kept), F.monotonically_increasing_id())
     text = named(url).cast("string")
-    keyed = pages.select(*(named(c) for c in kept), F.concat(host_key(host_of(text)), path_of(text)).alias("__key"), salt.alias("__salt"))
+    own = [named(c).alias(f"__{i}") for i, c in enumerate(kept)]  # any name may stand between here and there
+    keyed = pages.select(*own, F.concat(host_key(host_of(text)), path_of(text)).alias("__key"), salt.alias("__salt"))
     share = min(1.0, ranges * sample / max(1, pages.count()))
     unit = F.pmod(F.xxhash64("__salt"), F.lit(1 << 30)) / (1 << 30)
     keys = sorted(r["__key"] for r in keyed.filter(unit < share).select("__key").collect())
@@ -137,12 +138,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple
     def met(key: pd.Series) -> pd.Series:
         return pd.Series([list(range(bisect_left(cuts, k), bisect_right(cuts, k + LAST) + 1)) for k in key], dtype=object)
 
-    rows = keyed.select(*(named(c) for c in kept), "__key", F.lit("").alias("__path"), F.lit(None).cast("string").alias("__verdict"), dealt("__key", "__salt").alias("__range"))
+    rows = keyed.select(*(f"__{i}" for i in range(len(kept))), "__key", F.lit("").alias("__path"), F.lit(None).cast("string").alias("__verdict"), dealt("__key", "__salt").alias("__range"))
     told = rules.filter("host is not null and verdict is not null")
     told = told.select(host_key(F.translate("host", UPPER, LOWER)).alias("__key"), F.coalesce("path", F.lit("")).alias("__path"), F.col("verdict").cast("string").alias("__verdict"))
     told = told.select("*", F.explode(met("__key")).alias("__range"))
     both = rows.unionByName(told, allowMissingColumns=True)
     placed = both.repartitionById(ranges, F.col("__range")).sortWithinPartitions("__range", "__key", F.col("__verdict").isNull(), "__path")
-    fields = rows.select(*(named(c) for c in kept)).schema.fields
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{c} string" for c in JUDGED)])
-    return placed.drop("__range").mapInArrow(lambda batches: _swept(batches, len(kept), default), schema)
+    fields = rows.schema.fields[: len(kept)]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), *(f"{c} string" for c in JUDGED)])
+    judged = placed.drop("__range").mapInArrow(lambda batches: _swept(batches, len(kept), default), schema)
+    return judged.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(kept)), *JUDGED)
