@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import boolean_of, datetime_of, number_of, trimmed
+from factloom.functions.text import WHITE_SPACE, boolean_of, datetime_of, number_of, trimmed
 
 # Names that decide a type, and the shape of an id.
 ID_NAME = r"(?i)(^id$|_id$|^id_|uuid|guid)"
@@ -30,49 +34,78 @@ class ColumnPlan:
     days: bool = False
 
 
-def _long_form(df: DataFrame, names: list[str]) -> DataFrame:
-    """``(name, raw)`` per cell: one compact code path however wide the table is."""
-    cells = df.select(*(F.col(f"`{n}`").cast("string").alias(n) for n in names))
-    return cells.unpivot([], [F.col(f"`{n}`") for n in names], "name", "raw")
+LISTED = CATEGORY_CEILING + 1  # texts of a column that a task tells: no rule asks for more
+
+
+def _values(df: DataFrame) -> DataFrame:
+    """``(name, raw, n, listed)``: what each Arrow batch holds of a column, each text once.
+
+    A column of few values so costs a few rows a batch, however often they occur. ``listed`` marks the first ``LISTED``
+    non-blank texts that a task meets in a column: the bounded sets whose union counts distinct texts as far as rules ask.
+    """
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[set[str]] = [set() for _ in names]
+        for batch in batches:
+            for name, column, met in zip(names, batch.columns, seen):
+                found = pc.value_counts(column.drop_null())
+                raw = found.field("values")
+                listed = np.zeros(len(raw), bool)
+                if len(met) < LISTED:
+                    for k, text in enumerate(raw.to_pylist()):
+                        if len(met) < LISTED and text not in met and text.strip(WHITE_SPACE):
+                            met.add(text)
+                            listed[k] = True
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(raw), pa.string()), raw, found.field("counts"), pa.array(listed)], names=["name", "raw", "n", "listed"])
+
+    cells = df.select(*(F.col(f"`{n}`").cast("string") for n in names))
+    return cells.mapInArrow(run, "name string, raw string, n long, listed boolean")
 
 
 def _statistics(df: DataFrame) -> DataFrame:
-    """One row per column with at least one row, from a single scan of declarative counts."""
-    text = F.col("text")
-    cells = _long_form(df, df.columns).withColumn("text", trimmed(F.col("raw"))).filter(text != "")
+    """One row per column with at least one row, from a single scan. ``distinct`` is exact below ``LISTED``;
+    ``repeated`` tells that some text was met twice, but not every repetition is."""
+    text, n = F.col("text"), F.col("n")
+    cells = _values(df).withColumn("text", trimmed(F.col("raw"))).filter(text != "")
     parsed = cells.select(
         "name",
-        "raw",
+        F.when(F.col("listed"), F.col("raw")).alias("key"),
+        "n",
         number_of(text).alias("number"),
         datetime_of(text).isNotNull().alias("dated"),
         (F.length(text) <= 10).alias("day"),  # of the accepted forms, the plain dates
         boolean_of(text).isNotNull().alias("flag"),
         F.col("raw").rlike(ID_VALUE).alias("id_like"),
     )
-    return parsed.groupBy("name").agg(
-        F.count(F.lit(1)).alias("present"),
-        F.count_if("flag").alias("flags"),
-        F.count_if("dated").alias("dates"),
-        F.count_if(F.col("dated") & ~F.col("day")).alias("timed"),
-        F.count("number").alias("numbers"),
-        F.count_if(F.col("number") == F.floor("number")).alias("integers"),
-        F.max(F.abs("number")).alias("largest"),
-        F.count_if("id_like").alias("id_like"),
+    of = lambda condition: F.coalesce(F.sum(F.when(condition, n)), F.lit(0).cast("long"))
+    sums = {
+        "present": F.sum("n"),
+        "flags": of(F.col("flag")),
+        "dates": of(F.col("dated")),
+        "timed": of(F.col("dated") & ~F.col("day")),
+        "numbers": of(F.col("number").isNotNull()),
+        "integers": of(F.col("number") == F.floor("number")),
+        "id_like": of(F.col("id_like")),
+    }
+    # Rows of listed texts meet by text, all others of a column as one row a task.
+    listed = parsed.groupBy("name", "key").agg(*(c.alias(a) for a, c in sums.items()), F.max(F.abs("number")).alias("largest"), F.max("n").alias("most"))
+    most = F.greatest(F.col("most"), F.when(F.col("key").isNotNull(), F.col("present")))
+    return listed.groupBy("name").agg(
+        *(F.sum(a).alias(a) for a in sums), F.max("largest").alias("largest"), F.count("key").alias("distinct"), F.max(most > 1).alias("repeated")
     )
 
 
-def _exact_distinct(df: DataFrame, names: list[str]) -> DataFrame:
-    """Distinct untrimmed non-blank values of a few columns, in one shuffle."""
-    cells = _long_form(df, names).filter(trimmed(F.col("raw")) != "")
-    return cells.groupBy("name", "raw").agg(F.lit(1)).groupBy("name").agg(F.count(F.lit(1)).alias("distinct"))
-
-
-MANY = 2**62
+def _with_repeats(df: DataFrame, names: list[str]) -> set[str]:
+    """The columns among a few in which a non-blank text occurs twice: exact, in one shuffle of their texts."""
+    cells = df.select(*(F.col(f"`{n}`").cast("string").alias(n) for n in names)).unpivot([], [F.col(f"`{n}`") for n in names], "name", "raw")
+    twice = cells.filter(trimmed(F.col("raw")) != "").groupBy("name", "raw").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return {r["name"] for r in twice.select("name").distinct().collect()}
 
 
-def type_rules(distinct: Column) -> Column:
+def type_rules(unique: Column) -> Column:
     """The first matching rule over a column's statistics."""
-    n, name = F.col("present"), F.col("name")
+    n, name, distinct = F.col("present"), F.col("name"), F.col("distinct")
     numeric = F.col("numbers") >= NUMBER_SHARE * n
     code = (F.col("integers") == n) & (distinct <= CODE_VALUES) & name.rlike(CODE_NAME)
     few = F.least(F.lit(float(CATEGORY_CEILING)), F.greatest(F.lit(float(CATEGORY_FLOOR)), n * CATEGORY_SHARE))
@@ -84,25 +117,20 @@ def type_rules(distinct: Column) -> Column:
         .when(numeric & code, F.lit("categorical"))
         .when(numeric, F.lit("numeric"))
         .when(distinct <= few, F.lit("categorical"))
-        .when((distinct == n) & (F.col("id_like") == n), F.lit("id"))
+        .when(unique & (F.col("id_like") == n), F.lit("id"))
         .otherwise(F.lit("text"))
     )
 
 
 def plan_columns(df: DataFrame) -> list[ColumnPlan]:
-    """T1 and the whole-column decisions of T2: a scan, plus one for columns whose
-    distinct count can decide a rule."""
-    extremes = [type_rules(F.lit(0)).alias("least"), type_rules(F.lit(MANY)).alias("most")]
-    rows = {r["name"]: r.asDict() for r in _statistics(df).select("*", *extremes).collect()}
-    types = {name: rows[name]["most"] if name in rows else "text" for name in df.columns}
-    unsure = [name for name, r in rows.items() if r["least"] != r["most"]]
-    if unsure:
-        fields = ("present", "flags", "dates", "numbers", "integers", "id_like")
-        local = [(name, *(rows[name][f] for f in fields)) for name in unsure]
-        frame = df.sparkSession.createDataFrame(local, "name string, " + ", ".join(f"{f} long" for f in fields))
-        exact = frame.join(_exact_distinct(df, unsure), "name")
-        types |= {r["name"]: r["type"] for r in exact.select("name", type_rules(F.col("distinct")).alias("type")).collect()}
-    return [column_choices(name, i, types[name], rows.get(name)) for i, name in enumerate(df.columns)]
+    """T1 and the whole-column decisions of T2: one scan. Only columns that are ids if no text repeats, and in which no
+    repetition was met, are read once more."""
+    told = _statistics(df).select("*", type_rules(~F.col("repeated")).alias("type"), type_rules(F.lit(False)).alias("repeating"))
+    rows = {r["name"]: r.asDict() for r in told.collect()}
+    unsure = [name for name, r in rows.items() if r["type"] != r["repeating"]]
+    repeats = _with_repeats(df, unsure) if unsure else set()
+    kind = lambda name: rows[name]["repeating" if name in repeats else "type"] if name in rows else "text"
+    return [column_choices(name, i, kind(name), rows.get(name)) for i, name in enumerate(df.columns)]
 
 
 def column_choices(name: str, position: int, kind: str, row: dict | None) -> ColumnPlan:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from factloom.functions.calendar import infer_grain
 from factloom.functions.rounding import js_round, mean
 from factloom.functions.text import display_string, is_number, is_temporal, iso_string
-from factloom.operators.quantiles import ROWS_IN_MEMORY, quantiles
+from factloom.operators.quantiles import OrderedCounts, orderable
 
 TOP_VALUES = 10
 NUMERIC = "struct<min:double,max:double,mean:double,median:double,p95:double,sum:double>"
@@ -93,13 +93,13 @@ def profile_table(
     df: DataFrame,
     types: dict[str, str],
     dataset_id: str | None = None,
-    rows_in_memory: int = ROWS_IN_MEMORY,
 ) -> DataFrame:
     """Profiles of a typed table in column order.
 
     ``types`` gives the semantic types. One wide aggregate covers null shares,
-    moments and date bounds; value counts, shuffled as numbers where texts are not
-    needed, cover distinct counts and top values; quantiles follow ``quantiles``.
+    moments and date bounds; value counts cover distinct counts and top values of
+    columns whose values are listed; ordered counts cover distinct counts and
+    quantiles of numbers and dates.
     """
     names = [n for n in df.columns if n in types]
     kinds = {n: df.schema[n].dataType for n in names}
@@ -119,10 +119,21 @@ def profile_table(
             )
         )
     basics = df.agg(F.array(*entries).alias("columns")).select(F.inline("columns"))
-    silent = numeric + dated  # columns whose values are counted, but never listed
+    # Numbers and dates are counted, but never listed. Decimals and floats are told apart by their texts.
+    silent = numeric + dated
+    ordered = [n for n in silent if orderable(kinds[n])]
+    by_text = [n for n in numeric if not isinstance(kinds[n], (T.IntegralType, T.DoubleType))]
     counts = value_counts(df, [n for n in names if n not in silent])
-    distinct = distinct_counts(counts).unionByName(distinct_counts(value_counts(df, silent, shown=False)))
-    spread = quantiles(df, numeric, (0.5, 0.95), rows_in_memory)
+    distinct = distinct_counts(counts)
+    if by_text:
+        distinct = distinct.unionByName(distinct_counts(value_counts(df, by_text, shown=False)))
+    spread = df.sparkSession.createDataFrame([], "name string, quantiles array<double>")
+    if ordered:
+        told = OrderedCounts(df, ordered)
+        known = [(n, d) for n, d in told.distinct().items() if n not in by_text]
+        distinct = distinct.unionByName(df.sparkSession.createDataFrame(known, "name string, distinct_count long"))
+        spread = df.sparkSession.createDataFrame(list(told.quantiles(numeric, (0.5, 0.95)).items()), spread.schema)
+        told.release()
     joined = (
         basics.join(distinct, "name", "left")
         .join(top_values(counts), "name", "left")

@@ -1,143 +1,113 @@
-"""Exact interpolated quantiles (P4, E4) without holding a column in one task."""
+"""Exact interpolated quantiles and distinct counts (P3, P4, E4) from one table of ordered value counts.
 
-from __future__ import annotations
+Values are counted where they are, meet by value, and are dealt to ranges of (column, value) once. A range's rows per
+column are a sum of counts; prefix sums over the ranges tell which range holds a rank, and only there values are put in
+order. No task holds more than its own range of distinct values.
+"""
 
-from dataclasses import dataclass
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-ROWS_IN_MEMORY = 2_000_000  # values one aggregation buffer may hold
-ACCURACY = 10_000
-ROUNDS = 8
+from factloom.functions.text import is_number, is_temporal
+from factloom.session import forget, stored
 
+CELL = "struct<name:string,v:double,k:bigint>"
 
-@dataclass
-class Target:
-    """One order statistic pair of one column and the value bracket that holds it."""
 
-    column: str
-    low_rank: int
-    high_rank: int
-    weight: float
-    low: float
-    high: float
-    below: int
-    size: int
+def orderable(dtype: T.DataType) -> bool:
+    """Types whose values a double orders: numbers, days and timestamps."""
+    return is_number(dtype) or is_temporal(dtype)
 
-    def inside(self) -> Column:
-        return F.col(self.column).cast("double").between(self.low, self.high)
 
+def _cell(name: str, dtype: T.DataType) -> Column:
+    """A value as a double, and the long that tells it apart where a double may not."""
+    c = F.col(f"`{name}`")
+    k = F.lit(None)
+    if isinstance(dtype, T.IntegralType):
+        k = c.cast("long")
+    elif isinstance(dtype, T.DateType):
+        k = F.unix_date(c).cast("long")
+    elif is_temporal(dtype):
+        k = F.unix_millis(c.cast("timestamp"))
+    v = k.cast("double") if is_temporal(dtype) else c.cast("double")
+    return F.struct(F.lit(name).alias("name"), v.alias("v"), k.cast("long").alias("k"))
 
-def quantiles(
-    df: DataFrame, columns: list[str], fractions: tuple[float, ...], rows_in_memory: int = ROWS_IN_MEMORY
-) -> DataFrame:
-    """``(name, quantiles)`` per column, linear between neighbours, nulls ignored.
 
-    Up to ``rows_in_memory`` rows the built-in exact percentile does it in one
-    pass. Beyond that its buffer would not fit, so each quantile is bracketed by
-    a sketch whose rank error is bounded, the bracket is verified by counting,
-    and only the distinct values left inside it are ranked.
+class OrderedCounts:
+    """The distinct values of some columns with their counts, in a stored table of ranges: ``name``, ``v``, ``k``, ``n``, ``part``.
+
+    Doubles, integers, days and timestamps (to the millisecond) are told apart exactly; other numbers as doubles.
     """
-    spark = df.sparkSession
-    if not columns:
-        return spark.createDataFrame([], "name string, quantiles array<double>")
-    if df.count() <= rows_in_memory:
-        return _in_memory(df, columns, fractions)
-    targets = _targets(df, columns, fractions)
-    for _ in range(ROUNDS):
-        if not _narrow(df, targets, rows_in_memory):
-            break
-    values = _ranked(df, targets)
-    found: dict[str, list[float | None]] = {name: [None] * len(fractions) for name in columns}
-    for i, target in enumerate(targets):
-        name, slot = columns[i // len(fractions)], i % len(fractions)
-        if i in values:
-            lo, hi = values[i]
-            found[name][slot] = lo + (hi - lo) * target.weight
-    return spark.createDataFrame(list(found.items()), "name string, quantiles array<double>")
-
-
-def _in_memory(df: DataFrame, columns: list[str], fractions: tuple[float, ...]) -> DataFrame:
-    shares = F.array(*(F.lit(f) for f in fractions))
-    wide = df.agg(*(F.percentile(F.col(c).cast("double"), shares).alias(c) for c in columns))
-    return wide.unpivot([], columns, "name", "quantiles")
-
-
-def _targets(df: DataFrame, columns: list[str], fractions: tuple[float, ...]) -> list[Target]:
-    row = df.agg(
-        *(
-            F.struct(F.count(c).alias("n"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c)
-            for c in columns
-        )
-    ).first()
-    targets = []
-    for c in columns:
-        n, lo, hi = row[c]
-        for fraction in fractions:
-            position = max(n - 1, 0) * fraction
-            rank = int(position)
-            targets.append(Target(c, rank, min(rank + 1, max(n - 1, 0)), position - rank, lo or 0.0, hi or 0.0, 0, n))
-    return targets
-
-
-def _narrow(df: DataFrame, targets: list[Target], limit: int) -> bool:
-    """One round of tighter brackets; False when every bracket is small enough."""
-    wide = [t for t in targets if t.size > limit and t.low < t.high]
-    if not wide:
-        return False
-    edges = []
-    for i, t in enumerate(wide):
-        slack = 2 / ACCURACY
-        shares = [
-            max(0.0, (t.low_rank - t.below) / t.size - slack),
-            min(1.0, (t.high_rank - t.below + 1) / t.size + slack),
-        ]
-        value = F.when(t.inside(), F.col(t.column).cast("double"))
-        edges.append(F.percentile_approx(value, [float(s) for s in shares], ACCURACY).alias(f"e{i}"))
-    guesses = df.agg(*edges).first()
-    counts = []
-    for i, t in enumerate(wide):
-        lo, hi = guesses[f"e{i}"]
-        c = F.col(t.column).cast("double")
-        counts += [F.count_if(c < lo).alias(f"b{i}"), F.count_if(c.between(lo, hi)).alias(f"s{i}"),
-                   F.approx_count_distinct(F.when(c.between(lo, hi), c)).alias(f"d{i}")]
-    row = df.agg(*counts).first()
-    moved = False
-    for i, t in enumerate(wide):
-        below, size = row[f"b{i}"], row[f"s{i}"]
-        # The bracket is only taken when counting proves that it holds both ranks.
-        if below <= t.low_rank and t.high_rank < below + size and size < t.size:
-            (t.low, t.high), t.below, t.size = guesses[f"e{i}"], below, size
-            moved = moved or row[f"d{i}"] > limit
-    return moved
-
-
-def _ranked(df: DataFrame, targets: list[Target]) -> dict[int, tuple[float, float]]:
-    """The two order statistics of each target, from the counts of distinct values inside."""
-    entries = [
-        F.when(t.inside(), F.struct(F.lit(i).alias("target"), F.col(t.column).cast("double").alias("v")))
-        for i, t in enumerate(targets)
-    ]
-    cells = df.select(F.explode(F.array_compact(F.array(*entries))).alias("cell")).select("cell.target", "cell.v")
-    counts = cells.groupBy("target", "v").agg(F.count(F.lit(1)).alias("n"))
-    ranks = F.create_map(
-        *(x for i, t in enumerate(targets) for x in (F.lit(i), F.array(F.lit(t.low_rank - t.below), F.lit(t.high_rank - t.below))))
-    )
-    running = counts.withColumn("through", F.sum("n").over(Window.partitionBy("target").orderBy("v")))
-    wanted = running.withColumn("ranks", ranks[F.col("target")])
-    rows = wanted.groupBy("target").agg(
-        F.min(F.when(F.col("through") > F.col("ranks")[0], F.col("v"))).alias("lo"),
-        F.min(F.when(F.col("through") > F.col("ranks")[1], F.col("v"))).alias("hi"),
-    )
-    return {r["target"]: (r["lo"], r["hi"]) for r in rows.collect() if r["lo"] is not None}
-
-
-def latency_percentiles(df: DataFrame, column: str, rows_in_memory: int = ROWS_IN_MEMORY) -> DataFrame:
+
+    def __init__(self, df: DataFrame, columns: list[str]):
+        self.columns = columns
+        cells = F.array(*(_cell(c, df.schema[c].dataType) for c in columns)).cast(f"array<{CELL}>")
+        counts = df.select(F.explode(cells).alias("c")).select("c.*").filter("v is not null").groupBy("name", "v", "k").agg(F.count(F.lit(1)).alias("n"))
+        ranges = counts.repartitionByRange("name", "v").withColumn("part", F.spark_partition_id())
+        self.table = stored(ranges, "ordered-counts")
+        #: Rows and distinct values per column and range: as many rows as there are ranges and columns, at most.
+        totals = self.table.groupBy("name", "part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"))
+        self.totals: dict[str, list[tuple[int, int, int]]] = {c: [] for c in columns}
+        for r in sorted(totals.collect(), key=lambda r: r["part"]):
+            self.totals[r["name"]].append((r["part"], r["n"], r["values"]))
+
+    def distinct(self) -> dict[str, int]:
+        """Exact distinct values per column."""
+        return {c: sum(values for _, _, values in told) for c, told in self.totals.items()}
+
+    def _place(self, column: str, rank: int) -> tuple[int, int]:
+        """The range that holds a rank, and the rank inside it."""
+        for part, n, _ in self.totals[column]:
+            if rank < n:
+                return part, rank
+            rank -= n
+        raise IndexError(rank)
+
+    def quantiles(self, columns: list[str], fractions: tuple[float, ...]) -> dict[str, list[float | None]]:
+        """Per column its quantiles, linear between neighbours; None without values."""
+        wanted: dict[tuple[str, int], tuple[int, int, float]] = {}
+        for c in columns:
+            n = sum(rows for _, rows, _ in self.totals[c])
+            for i, fraction in enumerate(fractions if n else ()):
+                position = (n - 1) * fraction
+                wanted[c, i] = int(position), min(int(position) + 1, n - 1), position - int(position)
+        places = {(c, rank): self._place(c, rank) for (c, _), (lo, hi, _) in wanted.items() for rank in (lo, hi)}
+        if not places:
+            return {c: [None] * len(fractions) for c in columns}
+        asked: dict[tuple[str, int], list[int]] = {}
+        for (c, _), (part, rank) in places.items():
+            asked.setdefault((c, part), []).append(rank)
+        frame = self.table.sparkSession.createDataFrame([(c, part, ranks) for (c, part), ranks in asked.items()], "name string, part int, ranks array<bigint>")
+        own = Window.partitionBy("name", "part").orderBy("v", "k")
+        running = self.table.join(F.broadcast(frame), ["name", "part"]).withColumn("through", F.sum("n").over(own))
+        held = running.select("name", "part", "v", "n", "through", F.explode("ranks").alias("rank")).filter("rank < through and rank >= through - n")
+        found = {(r["name"], r["part"], r["rank"]): r["v"] for r in held.select("name", "part", "rank", "v").collect()}
+        at = lambda c, rank: found[c, *places[c, rank]]
+        out: dict[str, list[float | None]] = {c: [None] * len(fractions) for c in columns}
+        for (c, i), (lo, hi, weight) in wanted.items():
+            low, high = at(c, lo), at(c, hi)
+            out[c][i] = low if low == high else low + (high - low) * weight
+        return out
+
+    def release(self) -> None:
+        forget(self.table)
+
+
+def quantiles(df: DataFrame, columns: list[str], fractions: tuple[float, ...]) -> DataFrame:
+    """``(name, quantiles)`` per numeric column, linear between neighbours, nulls ignored."""
+    found: dict[str, list[float | None]] = {}
+    if columns:
+        counts = OrderedCounts(df, columns)
+        found = counts.quantiles(columns, fractions)
+        counts.release()
+    return df.sparkSession.createDataFrame(list(found.items()), "name string, quantiles array<double>")
+
+
+def latency_percentiles(df: DataFrame, column: str) -> DataFrame:
     """One row with ``p50``, ``p95`` and ``max``."""
-    found = quantiles(df, [column], (0.5, 0.95), rows_in_memory)
-    return found.select(
-        F.col("quantiles")[0].alias("p50"),
-        F.col("quantiles")[1].alias("p95"),
-        df.agg(F.max(column).cast("double")).scalar().alias("max"),
-    )
+    q = F.col("quantiles")
+    found = quantiles(df, [column], (0.5, 0.95, 1.0))
+    return found.select(q[0].alias("p50"), q[1].alias("p95"), q[2].alias("max"))

@@ -27,28 +27,53 @@ def _header(spark: SparkSession, path: str, multiline: bool) -> list[str | None]
 def read_csv_strings(spark: SparkSession, path: str, multiline: bool | None = None, check: bool = True) -> DataFrame:
     """Every cell a string, short rows padded with null, names normalised.
 
-    A file with quoted newlines cannot be split, so ``multiline`` is only switched
-    on where the text shows one (None looks). With ``check`` rows with extra cells
-    or an unclosed quote raise a ``ParseError`` that names the row.
+    Files are read in splits, those with quoted newlines too: see ``records``. That way is only taken where the text
+    shows such a newline (``multiline`` None looks). With ``check`` rows with extra cells or an unclosed quote raise a
+    ``ParseError`` that names the row.
     """
     turning, widest = _shape(spark, path) if multiline is None or check else (0, 0)
     multiline = turning > 0 if multiline is None else multiline
     headers = _header(spark, path, multiline)
     fields = [T.StructField(f"_{i}", T.StringType()) for i in range(len(headers))]
     schema = T.StructType([*fields, T.StructField(BAD, T.StringType())])
-    options = {**DIALECT, "header": True, "enforceSchema": True, "multiLine": multiline, "columnNameOfCorruptRecord": BAD}
-    rows = spark.read.schema(schema).options(**options).csv(path)
-    # Records are only put together and numbered when the plain look found something.
+    # Records are only numbered when the plain look found something; no record is put together before they are sound.
     if check and (turning or widest > len(headers)):
         problem = csv_problems(spark, path).first()
         if problem:
             raise ParseError(problem["message"])
+    if multiline:
+        parsed = F.from_csv("record", schema.simpleString(), {**DIALECT, "multiLine": "true", "columnNameOfCorruptRecord": BAD})
+        rows = _body(records(spark, path)).select(parsed.alias("row")).select("row.*")
+    else:
+        options = {**DIALECT, "header": True, "enforceSchema": True, "columnNameOfCorruptRecord": BAD}
+        rows = spark.read.schema(schema).options(**options).csv(path)
     body = drop_blank_rows(rows.select(*(f.name for f in fields)))
     if body.isEmpty():
         raise ParseError(NO_ROWS)
     return normalize_columns(body, headers)
 
 
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, start, record)``: the text of each CSV record, quoted newlines included, and its first line's number.
+
+    A split tells how it turns the state at its start, inside quotes or not; splits are composed in order, so each line
+    knows the record it belongs to, also where that began in an earlier split. Only lines of records that span lines are
+    brought together, by record. Lines end with a newline or with a carriage return and one.
+    """
+    lines = numbered_lines(spark, path, "\n")
+    single = lines.filter(~F.col("open") & ~F.col("turns")).select("file", F.col("line").alias("start"), F.col("text").alias("record"))
+    spread = lines.filter(F.col("open") | F.col("turns"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    several = spread.groupBy("file", "start").agg(joined.alias("record"))
+    return single.unionByName(several).withColumn("record", F.regexp_replace("record", r"\r$", ""))
+
+
+def _body(found: DataFrame) -> DataFrame:
+    """The records of each file after its header, the first that is not empty."""
+    heads = found.filter("record <> ''").groupBy("file").agg(F.min("start").alias("head"))
+    return found.join(F.broadcast(heads), "file").filter("start > head")
+
+
 def drop_blank_rows(df: DataFrame) -> DataFrame:
     """S3: without the rows whose cells are all null or white space."""
     filled = F.lit(False)
@@ -60,12 +85,13 @@ def drop_blank_rows(df: DataFrame) -> DataFrame:
 # ---------- structure ----------
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
     """``(block, at, text)``: lines with their split and their order inside it."""
-    return spark.read.text(path).select(
+    reader = spark.read.option("lineSep", end) if end else spark.read
+    return reader.text(path).select(
         F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("block"),
         F.monotonically_increasing_id().alias("at"),
-        F.regexp_replace("value", "^﻿", "").alias("text"),
+        F.regexp_replace(F.make_valid_utf8("value"), "^﻿", "").alias("text"),
     )
 
 
@@ -93,33 +119,37 @@ def _shape(spark: SparkSession, path: str) -> tuple[int, int]:
     )
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line, text, open)``: line numbers and whether a line starts inside quotes.
+def numbered_lines(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
+    """``(file, line, text, open, turns, start)``: line numbers, whether a line starts inside quotes and whether it turns
+    that, and the line its record starts on.
 
-    Totals per split are few; a running sum over them gives each split its offset,
-    and the running sums inside a split stay in that split.
+    A split is told by a few numbers for both states it may start in. Running sums over the splits of a file settle its
+    state, its offset and the last record before it; the running sums inside a split stay in that split.
     """
-    lines = _lines(spark, path).withColumn("quotes", _quotes(F.col("text")))
+    lines = _lines(spark, path, end).withColumn("quotes", _quotes(F.col("text")))
+    inside = Window.partitionBy("block").orderBy("at")
+    running = F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.withColumn("odd", running % 2 == 1)
+    # A line that follows an even number of quotes starts a record if the split starts outside quotes, else one that follows an odd number.
     totals = lines.groupBy("block").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("quotes").alias("q"), F.min("at").alias("first_at")
-    )
+        F.count(F.lit(1)).alias("n"), F.sum("quotes").alias("q"), F.min("at").alias("first_at"),
+        F.max(F.when(~F.col("odd"), F.col("at"))).alias("last_even"), F.max(F.when(F.col("odd"), F.col("at"))).alias("last_odd"),
+    )
     before = Window.partitionBy("block.file").orderBy("block.start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "block",
-        "first_at",
+        "block", "first_at", "last_even", "last_odd",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"),
-        F.coalesce(F.sum("q").over(before), F.lit(0)).alias("quotes_before"),
-    )
-    inside = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    running = F.coalesce(F.sum("quotes").over(inside), F.lit(0))
-    placed = lines.withColumn("running", running).join(offsets, "block")
+        (F.coalesce(F.sum("q").over(before), F.lit(0)) % 2 == 1).alias("opened"),
+    )
+    last = F.when(F.col("opened"), F.col("last_odd")).otherwise(F.col("last_even")) - F.col("first_at") + F.col("lines_before") + 1
+    offsets = offsets.withColumn("carried", F.max(last).over(before)).drop("last_even", "last_odd")
+    placed = lines.join(offsets, "block").withColumn("line", F.col("lines_before") + F.col("at") - F.col("first_at") + 1)
+    placed = placed.withColumn("open", F.col("opened") != F.col("odd"))
+    start = F.max(F.when(~F.col("open"), F.col("line"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return placed.select(
-        F.col("block.file").alias("file"),
-        (F.col("lines_before") + F.col("at") - F.col("first_at") + 1).alias("line"),
-        "text",
-        ((F.col("quotes_before") + F.col("running")) % 2 == 1).alias("open"),
-        (F.col("quotes") % 2 == 1).alias("turns"),
-    )
+        F.col("block.file").alias("file"), "line", "text", "open", (F.col("quotes") % 2 == 1).alias("turns"),
+        F.coalesce(start, "carried").alias("start"),
+    )
 
 
 def csv_problems(spark: SparkSession, path: str) -> DataFrame:
@@ -136,15 +166,12 @@ def csv_problems(spark: SparkSession, path: str) -> DataFrame:
     whole_inside = F.col("open") & ~F.col("turns") & ~F.col("text").contains('"')
     commas = F.when(whole_inside, 0).otherwise(_commas(bare))
     filled = F.regexp_replace(bare, r"(?U)[\s,]", "") != ""
-    counted = lines.select("file", "line", "open", "turns", commas.alias("commas"), (filled | F.col("open")).alias("filled"))
+    counted = lines.select("file", "line", "open", "turns", "start", commas.alias("commas"), (filled | F.col("open")).alias("filled"))
     single = counted.filter(~F.col("open") & ~F.col("turns")).select(
         "file", F.col("line").alias("start"), F.col("line").alias("last"), (F.col("commas") + 1).alias("width"), "filled"
     )
-    # Lines of records that span lines; each such run starts where a quote opens.
-    spread = counted.filter(F.col("open") | F.col("turns"))
-    starts = Window.partitionBy("file").orderBy("line")
-    begun = spread.withColumn("start", F.max(F.when(~F.col("open"), F.col("line"))).over(starts))
-    several = begun.groupBy("file", "start").agg(
+    # Lines of records that span lines; a line that opens a quote starts its own.
+    several = counted.filter(F.col("open") | F.col("turns")).groupBy("file", "start").agg(
         F.max("line").alias("last"),
         (F.sum("commas") + 1).alias("width"),
         F.lit(True).alias("filled"),

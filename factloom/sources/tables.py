@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from factloom.sources.workbooks import read_xlsx_strings
 # Accepted files and the message for others.
 EXTENSIONS = ("csv", "xlsx")
 UNSUPPORTED = "Upload a .csv or .xlsx file."
+MANIFEST = "_files"  # a version that shares files with earlier ones lists all of its own here
 
 
 def file_type(path: str) -> str:
@@ -60,26 +62,106 @@ def committed_versions(spark: SparkSession, folder: str) -> list[str]:
     return [path for _, path in sorted(found)]
 
 
-def drop_versions(spark: SparkSession, folder: str, keep: str) -> int:
-    """Deletes every version under ``folder`` but ``keep``."""
+def _file_system(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The Hadoop file system of a path, and the path."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def version_files(spark: SparkSession, path: str) -> list[str]:
+    """The files that make up a version: those its manifest names, else all in its folder."""
+    fs, root = _file_system(spark, path)
+    manifest = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, MANIFEST)
+    if fs.exists(manifest):
+        return [r["value"] for r in spark.read.text(manifest.toString()).collect()]
+    found, files = [], fs.listFiles(root, True)
+    while files.hasNext():
+        name = files.next().getPath().toString()
+        if name.endswith(".parquet"):
+            found.append(name)
+    return sorted(found)
+
+
+def purge_version(spark: SparkSession, folder: str, column: str, keys: DataFrame, name: str) -> str | None:
+    """A new version without the rows of ``keys`` (one column), or None where there is no version yet.
+
+    Copy on write: the key column alone is read, within the keys' bounds, to find the files that hold any; only those are
+    rewritten, without the rows. The version is a manifest of the new files and of all others, which stay as they are. It
+    counts once its success mark is there, the last thing written; a repeated call of the same name starts over.
+    """
+    versions = committed_versions(spark, folder)
+    if not versions:
+        return None
+    files = version_files(spark, versions[-1])
+    gone = keys.select(F.col(keys.columns[0]).alias(column)).distinct()
+    low, high = gone.agg(F.min(column), F.max(column)).first()
+    held = _data(spark, versions[-1], files).filter(F.col(column).between(low, high)) if low is not None else _data(spark, versions[-1], files).limit(0)
+    held = held.select(column, F.col("_metadata.file_path").alias("__file")).join(gone, column, "left_semi")
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    touched = {jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r[0])).toString() for r in held.select("__file").distinct().collect()}
+    path = f"{folder.rstrip('/')}/version={name}"
+    fs, root = _file_system(spark, path)
+    fs.delete(root, True)
+    fs.mkdirs(root)
+    if touched:
+        left = _data(spark, versions[-1], sorted(touched)).join(gone, column, "left_anti")
+        writer = left.write.mode("append").option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+        by = _partitions(files)
+        (writer.partitionBy(*by) if by else writer).parquet(path)
+    whole = version_files(spark, path) + [f for f in files if f not in touched]
+    spark.createDataFrame([(f,) for f in whole], "value string").coalesce(1).write.text(f"{path}/{MANIFEST}")
+    fs.create(jvm.org.apache.hadoop.fs.Path(root, "_SUCCESS")).close()
+    return path
+
+
+def _partitions(files: list[str]) -> list[str]:
+    """The columns that the folders below a version stand for."""
+    below = files[0].split("/version=", 1)[-1].split("/")[1:-1] if files else []
+    return [f.split("=", 1)[0] for f in below]
+
+
+def _data(spark: SparkSession, version: str, files: list[str]) -> DataFrame:
+    """Some files of a version, in its schema; partition columns come from their folders."""
+    if not files:
+        return spark.read.parquet(version).limit(0)
+    if not _partitions(files):
+        return spark.read.parquet(*files)
+    return spark.read.option("basePath", version.rstrip("/").rsplit("/", 1)[0]).parquet(*files).drop("version")
+
+
+def drop_versions(spark: SparkSession, folder: str, keep: str) -> int:
+    """Deletes every version under ``folder`` but ``keep``, all but the files that ``keep`` still names."""
+    fs, root = _file_system(spark, folder)
     if not fs.exists(root):
         return 0
     kept = keep.rstrip("/").rsplit("/", 1)[-1]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    named = set(version_files(spark, keep)) if fs.exists(path(root, kept)) else set()
     dropped = 0
     for status in fs.listStatus(root):
         name = status.getPath().getName()
-        if name.startswith("version=") and name != kept:
+        if not name.startswith("version=") or name == kept:
+            continue
+        dropped += 1
+        if not any(f"/{name}/" in f for f in named):
             fs.delete(status.getPath(), True)
-            dropped += 1
+            continue
+        # No longer a version of its own, but the home of files that are still in use.
+        fs.delete(path(status.getPath(), "_SUCCESS"), False)
+        fs.delete(path(status.getPath(), MANIFEST), True)
+        files = fs.listFiles(status.getPath(), True)
+        while files.hasNext():
+            file = files.next().getPath()
+            if file.getName().endswith(".parquet") and file.toString() not in named:
+                fs.delete(file, False)
     return dropped
 
 
 def read_typed(spark: SparkSession, path: str, hot: bool = False) -> DataFrame:
     """A typed table; ``hot`` keeps it in memory, spilling to disk."""
-    df = pin(spark).read.parquet(path)
+    fs, root = _file_system(spark, path)
+    manifest = fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, MANIFEST))
+    df = _data(pin(spark), path, version_files(spark, path)) if manifest else pin(spark).read.parquet(path)
     return df.persist(StorageLevel.MEMORY_AND_DISK) if hot else df
 
 

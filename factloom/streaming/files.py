@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import queue
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from factloom.operators.jobs import deleted_keys, purge
+from factloom.operators.jobs import deleted_keys
 from factloom.plans.ingest import ingest
 from factloom.sources.headers import ParseError
-from factloom.sources.tables import committed_versions, drop_versions, write_typed
+from factloom.sources.tables import committed_versions, drop_versions, purge_version
 
 TRIES = 3
 # The message of a file that kept failing, and the columns of a listed file.
@@ -48,11 +50,15 @@ def ingest_stream(
     checkpoint: str,
     files_per_batch: int = 16,
     run: Callable = ingest,
+    workers: int = 4,
 ) -> StreamingQuery:
     """Every new raw file is ingested once; a bad file does not stop the others.
 
     The stream carries file names only: the content column is pruned, so no file is
-    read to notice it. Files of other types are left alone. Outcomes are kept per batch under ``<folder>/outcomes``.
+    read to notice it. Files of other types are left alone. At most ``workers`` files of a batch are ingested at a time,
+    each under a scheduler pool of its own, so that jobs of small files do not queue behind those of a large one where the
+    cluster schedules fairly. Outcomes are kept under ``<folder>/outcomes``, each written as soon as its file is done;
+    a repeated batch overwrites its own.
     """
     names = (
         spark.readStream.format("binaryFile")
@@ -64,11 +70,25 @@ def ingest_stream(
     )
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        # At most ``files_per_batch`` names; each file is a Spark job of its own.
-        outcomes = [ingest_one(spark, r["path"], folder, run) for r in batch.orderBy("path").collect()]
-        if outcomes:
-            table = spark.createDataFrame(outcomes, OUTCOME).coalesce(1)
-            table.write.mode("overwrite").parquet(f"{folder}/outcomes/batch={epoch}")
+        slots: queue.SimpleQueue[int] = queue.SimpleQueue()
+        for slot in range(workers):
+            slots.put(slot)
+
+        def one(path: str) -> None:
+            slot = slots.get()
+            try:
+                spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"ingest-{slot}")
+                outcome = ingest_one(spark, path, folder, run)
+                table = spark.createDataFrame([outcome], OUTCOME).coalesce(1)
+                table.write.mode("overwrite").parquet(f"{folder}/outcomes/batch={epoch}/file={outcome[0]}")
+            finally:
+                slots.put(slot)
+
+        # At most ``files_per_batch`` names. A failed write of an outcome fails the batch, once the other files are done.
+        with ThreadPoolExecutor(workers) as pool:
+            done = [pool.submit(one, r["path"]) for r in batch.orderBy("path").collect()]
+        for future in done:
+            future.result()
 
     return (
         names.writeStream.foreachBatch(handle)
@@ -81,8 +101,9 @@ def ingest_stream(
 def purge_stream(
     messages: DataFrame, folder: str, column: str, checkpoint: str, payload: str = "data"
 ) -> StreamingQuery:
-    """E6 on a stream: each batch of deletion messages rewrites the table under
-    ``folder`` without the deleted keys and removes the old versions.
+    """E6 on a stream: each batch of deletion messages gives the table under
+    ``folder`` a version without the deleted keys, in which only the files that held
+    any are new, and removes what older versions alone need.
 
     The newest version written to the end is the table. A batch writes a version of
     its own name, so a batch that stopped anywhere and runs again finds either its
@@ -97,8 +118,8 @@ def purge_stream(
                 query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "purge"
                 own, versions = f"{query}-{epoch}", committed_versions(spark, folder)
                 done = next((v for v in versions if v.endswith(f"/version={own}")), None)
-                if done is None and versions:
-                    done = write_typed(purge(spark.read.parquet(versions[-1]), column, keys), folder, name=own)
+                if done is None:
+                    done = purge_version(spark, folder, column, keys, own)
                 if done:
                     drop_versions(spark, folder, done)
         finally:

@@ -2,13 +2,14 @@
 
 import datetime
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import jobs, limiter
 from factloom.sources.headers import ParseError
-from factloom.sources.tables import write_typed
+from factloom.sources.tables import committed_versions, drop_versions, purge_version, read_typed, write_typed
 from factloom.streaming import events as streams
 from factloom.streaming import files
 
@@ -129,15 +130,38 @@ def test_purge_ignores_malformed_messages(spark):
     assert sorted(r["n"] for r in jobs.purge(rows, "workspace", keys).collect()) == [2, 3]
 
 
-def test_purge_stream_rewrites_the_table(spark, tmp_path):
-    rows = spark.createDataFrame([(WORKSPACE, 1), ("other", 2)], "workspace string, n int")
+def test_purge_stream_rewrites_the_files_that_hold_the_key(spark, tmp_path):
+    """Rows of one key in two of five files: the other three stay byte for byte, the two go, and a second purge finds the rest."""
+    rows = [("other", k) for k in range(40)] + [(WORKSPACE, 40), (WORKSPACE, 41), ("third", 42)]
+    df = spark.createDataFrame(rows, "workspace string, n int")
+    part = F.when(F.col("n") == 40, 0).when(F.col("n") == 41, 1).otherwise(F.col("n") % 5)
     folder = str(tmp_path / "table")
-    write_typed(rows, folder)
-    spark.createDataFrame([(m,) for m in MESSAGES], "data string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("data string").parquet(str(tmp_path / "in"))
-    files.purge_stream(stream, folder, "workspace", str(tmp_path / "c")).awaitTermination()
-    assert [r["n"] for r in spark.read.parquet(f"{folder}/version=*").collect()] == [2]
-    assert len(list((tmp_path / "table").iterdir())) == 1
+    write_typed(df.repartitionById(5, part), folder)
+    before = {f: f.read_bytes() for f in (tmp_path / "table").glob("version=*/*.parquet")}
+    assert len(before) == 5
+
+    def purged(key, name):
+        spark.createDataFrame([(f'{{"workspaceId": "{key}"}}',)], "data string").write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema("data string").parquet(str(tmp_path / name))
+        files.purge_stream(stream, folder, "workspace", str(tmp_path / f"c-{name}")).awaitTermination()
+        (version,) = committed_versions(spark, folder)
+        return sorted(r["n"] for r in read_typed(spark, version).collect())
+
+    assert purged(WORKSPACE, "in") == [*range(40), 42]
+    left = {f for f in before if f.exists()}
+    assert len(left) == 3 and all(f.read_bytes() == before[f] for f in left)
+    assert purged(WORKSPACE, "again") == [*range(40), 42] and all(f.exists() for f in left)
+
+
+def test_purge_of_a_partitioned_version(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    df = spark.createDataFrame([(k, f"p{k % 3}", k % 2) for k in range(30)], "n int, p string, version int")
+    write_typed(df.drop("version"), folder, ["p"])
+    gone = spark.createDataFrame([(4,), (7,)], "n int")
+    version = purge_version(spark, folder, "n", gone, "one")
+    drop_versions(spark, folder, version)
+    assert sorted(map(tuple, read_typed(spark, version).select("n", "p").collect())) == [(k, f"p{k % 3}") for k in range(30) if k not in (4, 7)]
+    assert purge_version(spark, str(tmp_path / "none"), "n", gone, "one") is None
 
 
 def test_purge_stream_survives_a_stop_before_the_old_version_goes(spark, tmp_path, monkeypatch):
@@ -157,6 +181,7 @@ def test_purge_stream_survives_a_stop_before_the_old_version_goes(spark, tmp_pat
         else:
             query.awaitTermination()
     assert [r["n"] for r in spark.read.parquet(f"{folder}/version=*").collect()] == [2]
+    assert len(committed_versions(spark, folder)) == 1
 
 
 def test_events_without_a_key_are_one_keys(spark):
@@ -191,3 +216,24 @@ def test_ingest_stream_isolates_failures(spark, tmp_path):
     assert outcomes == {"good.csv": ("ready", 1, None), "bad.csv": ("failed", 1, "Row 2 has 3 columns, expected 2."),
                         "flaky.csv": ("ready", 3, None), "hopeless.csv": ("failed", 3, files.FAILED), "loud.Csv": ("ready", 1, None)}
     assert calls.count("good.csv") == 1
+
+
+def test_no_file_waits_for_a_slow_one(spark, tmp_path):
+    """The slow file ends only when the outcomes of all others are there."""
+    incoming, store = tmp_path / "incoming", tmp_path / "store"
+    incoming.mkdir()
+    for k in range(6):
+        (incoming / f"{k}.csv").write_text("a,b\n1,2\n")
+    pools = set()
+
+    def run(session, path, folder, key):
+        pools.add(session.sparkContext.getLocalProperty("spark.scheduler.pool"))
+        if path.endswith("/0.csv"):
+            until = time.time() + 60
+            while len(list(store.glob("outcomes/*/file=*/_SUCCESS"))) < 5:
+                assert time.time() < until
+                time.sleep(0.1)
+
+    files.ingest_stream(spark, str(incoming), str(store), str(tmp_path / "c"), run=run, workers=2).awaitTermination()
+    assert {r["status"] for r in spark.read.parquet(f"{store}/outcomes").collect()} == {"ready"}
+    assert pools == {"ingest-0", "ingest-1"}
