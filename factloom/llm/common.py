@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +63,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: computed once, safe from lost executors, free of lineage."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -73,6 +75,18 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept_alone(name: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from task to task under a name. Workers serve one stage after another and caches are large, so
+    asking for another name drops what was kept before."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 class Slots(dict):
     """Numbers keys as they come and remembers the new ones."""
 

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import held_out, lean, named, text_of
+from factloom.llm.common import kept_alone, held_out, lean, named, text_of
 
 LEVEL = 3
 _OPEN: dict[tuple[bytes, bytes], tuple[zstandard.ZstdCompressor, ...]] = {}
@@ -118,6 +118,7 @@ def with_quality(docs: DataFrame, model: Model, threshold: float = 0.3, text: st
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        kept_alone("quality", bool)
         return pd.Series(shared.value.score(texts.tolist()))
 
     kept = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]

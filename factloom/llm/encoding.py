@@ -8,12 +8,12 @@ an added token, go to it whole.
 
 from __future__ import annotations
 
+import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
-from factloom.llm.common import Slots
+from factloom.llm.common import Slots, kept_alone
 
 #: White space, separators and joiners that a tokenizer might read as white space, and runs of it.
 UNUSUAL = re.compile(
@@ -24,15 +24,14 @@ UNUSUAL = re.compile(
 class Encoder:
     """``encode(texts)``: per text its ids as little-endian unsigned 32-bit integers.
 
-    The string of a special token in a text is ordinary text if ``literal``, else that token, as the library has it.
+    The string of an added token in a text becomes that token, as the library has it.
     """
 
-    def __init__(self, path: str, most: int = 450_000, literal: bool = True):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = literal
-        added = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.size, self.most = self.tokenizer.get_vocab_size(), most
         vocabulary = self.tokenizer.get_vocab(False)
@@ -61,7 +60,7 @@ class Encoder:
             cuts = [0, *(4 * (cuts + 1)).tolist()]
             self.table += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def encode(self, texts: list[str], chars: int = 2_000_000) -> list[bytes]:
+    def encode(self, texts: list[str], chars: int = 500_000) -> list[bytes]:
         """Texts are taken in parts of about ``chars`` characters, so that their words are never held all at once."""
         out: list[bytes] = []
         part: list[str] = []
@@ -92,10 +91,7 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, literal: bool = True) -> Encoder:
-    """One encoder, and so one cache, per worker, vocabulary file and way with special tokens."""
-    import os
-
+def encoder(path: str) -> Encoder:
+    """One encoder, and so one cache, per worker and vocabulary file."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
-    return Encoder(path, literal=literal)
+    return kept_alone(("encoder", path), lambda: Encoder(path))

@@ -6,18 +6,20 @@ penalty, so the best path labels spans of mixed text; the language with the most
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Slots, held_out, lean, named, text_of
+from factloom.llm.common import Slots, held_out, lean, kept_alone, named, text_of
 
 GRAMS = 1 << 16
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word's letters: numbers such as ½ or Ⅷ are none; marks, vowel signs among them, stay inside.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: The first code point of each script range.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -52,8 +54,12 @@ class Model:
         self.langs, self.table, self.scripts, self.penalty = langs, table, scripts, penalty
         self.level = np.zeros(GRAMS, np.float32) if level is None else level  # log likelihood of a trigram where it is likeliest
         self.floor = floor  # of a text's mean level per letter, if it is in a language of the model
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drops the words met so far."""
         self.known = Slots()
-        self.scores, self.letters, self.levels = np.zeros((0, len(langs)), np.float32), np.zeros(0, np.int32), np.zeros(0)
+        self.scores, self.letters, self.levels = np.zeros((0, len(self.langs)), np.float32), np.zeros(0, np.int32), np.zeros(0)
 
     def __reduce__(self):
         return Model, (self.langs, self.table, self.scripts, self.penalty, self.level, self.floor)
@@ -80,23 +86,26 @@ class Model:
         for path, words in self._paths(texts, most):
             yield path, self.letters[words]
 
-    def _paths(self, texts: list[str], most: int = 1 << 23) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _paths(self, texts: list[str], most: int = 1 << 23, cached: int = 150_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text the best path and the numbers of its words.
 
-        Texts advance together in blocks of at most ``most`` words times languages, or one text.
+        Texts advance together in blocks of at most ``most`` words times languages, or one text. Words met are forgotten
+        after the block in which they pass ``cached``; a block ends when it brings as many new ones.
         """
         block: list[np.ndarray] = []
         size = 0
         for text in texts:
             ids = np.fromiter(map(self.known.__getitem__, text.split()), np.int32)
-            if block and size + ids.size > most // max(1, len(self.langs)):
-                yield from self._block(block)
-                block, size = [], 0
             block.append(ids)
             size += ids.size
+            if size > most // max(1, len(self.langs)) or len(self.known.fresh) > cached:
+                yield from self._block(block)
+                block, size = [], 0
+                if len(self.known) > cached:
+                    self._forget()
         yield from self._block(block)
-        if len(self.known) > 250_000:
-            self.__init__(self.langs, self.table, self.scripts, self.penalty, self.level, self.floor)
+        if len(self.known) > cached:
+            self._forget()
 
     def _block(self, words: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         self._learn(self.known.fresh)
@@ -164,16 +173,16 @@ class Model:
         return langs, scores, levels
 
 
-def fit(docs: DataFrame, fit_docs: int = 1500, max_langs: int = 1000, penalty: float = 12.0, text: str = "text", floor: bool = False, margin: float = 3.0) -> Model:
+def fit(docs: DataFrame, fit_docs: int = 1500, penalty: float = 12.0, text: str = "text", floor: bool = False, margin: float = 3.0) -> Model:
     """The model of the rows that may teach: not held out, with text and language.
 
-    It is fitted on a sample of about ``fit_docs`` whole documents per language, picked by the hash of their id, and on
-    at most ``max_langs`` languages, the most frequent ones. Only trigram counts reach the driver. If asked, its floor is
-    set ``margin`` nats a letter below the level that 99 % of the sample's documents reach.
+    It is fitted on a sample of about ``fit_docs`` whole documents per language, picked by the hash of their id; every
+    language with such rows is learned, at 256 KB each. Only trigram counts reach the driver. If asked, its floor is set
+    ``margin`` nats a letter below the level that 99 % of the sample's documents reach.
     """
     taught = docs.select(named("doc_id").alias("doc_id"), named(text).alias("text"), named("lang").cast("string").alias("lang"))
     taught = taught.filter(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = taught.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return Model([], np.zeros((GRAMS, 0), np.float32), np.zeros((len(NAMES), 0), bool), penalty)
@@ -203,18 +212,20 @@ def fit(docs: DataFrame, fit_docs: int = 1500, max_langs: int = 1000, penalty: f
     used = counts[GRAMS:] / np.maximum(1, counts[GRAMS:].sum(0))
     model = Model(langs, np.maximum(logs, -8).astype(np.float32), used >= 0.01, penalty, level.astype(np.float32))
     if floor:
-        found = sample.select(_judged(model, F.col("text")).getField("level").alias("level")).filter(F.col("level") > -np.inf)
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        found = sample.select(_judged(shared, F.col("text")).getField("level").alias("level")).filter(F.col("level") > -np.inf)
         reached = found.agg(F.percentile_approx("level", 0.01)).first()[0]
+        shared.destroy()
         model.floor = -np.inf if reached is None else reached - margin
     return model
 
 
-def _judged(model: Model, text: Column) -> Column:
+def _judged(shared: Broadcast, text: Column) -> Column:
     """Language, share of letters and mean level of a text. A worker has the model, and the words it met, once."""
-    shared = SparkSession.active().sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, s double, level double")
     def judge(texts: pd.Series) -> pd.DataFrame:
+        kept_alone("language", bool)
         langs, scores, levels = shared.value.judge(texts.tolist())
         return pd.DataFrame({"lang": langs, "s": scores, "level": levels})
 
@@ -230,6 +241,7 @@ def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFram
 
     @F.pandas_udf("lang string, s double")
     def predict(texts: pd.Series) -> pd.DataFrame:
+        kept_alone("language", bool)
         langs, scores = shared.value.predict(texts.tolist())
         return pd.DataFrame({"lang": langs, "s": scores})
 
@@ -242,6 +254,6 @@ def known_language(docs: DataFrame, model: Model, min_score: float = 0.2) -> Dat
     """``docs`` whose language is known: a letter at all, one language with ``min_score`` of the letters, and letters as
     likely as the model's floor asks. Words of a script that no language of the model uses count as the least likely."""
     lean(docs.sparkSession)
-    found = docs.select(*(named(c) for c in docs.columns), _judged(model, text_of()).alias("__found"))
+    found = docs.select(*(named(c) for c in docs.columns), _judged(docs.sparkSession.sparkContext.broadcast(model), text_of()).alias("__found"))
     known = (F.col("__found.lang") != "und") & (F.col("__found.s") >= min_score) & (F.col("__found.level") >= model.floor)
     return found.filter(known).select(*(named(c) for c in docs.columns))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import lean, named, text_of, written
+from factloom.llm.common import kept_alone, lean, named, text_of, written
 from factloom.llm.graph import components
 
 BLOCKS, BLOCK = 8, 8
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
+        kept_alone("fingerprints", bool)
         return pd.Series(np.array([fingerprint_of(t, width) for t in texts], np.uint64).view(np.int64), dtype="int64")
 
     lean(docs.sparkSession)

@@ -39,6 +39,25 @@ def test_language_spans_and_odd_rows(spark, documents, clashing, empty):
     assert {r.lang_pred for r in language.with_language(clashing, nothing).collect()} == {"und"} and language.with_language(empty, model).count() == 0
 
 
+def test_numbers_are_no_letters(spark, documents):
+    """Texts of numbers, marks and symbols alone are und; marks stay inside words."""
+    texts = ["½ ² ①", "ⅷ Ⅻ ٣", "42 %", "\u0301 ं", "😀 _ __", "a", "ª", "é", "हिन्दी", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in language.with_language(rows, language.fit(documents)).collect()}
+    for k, text in enumerate(texts):
+        letters = any(c.isalpha() for c in text)
+        assert (got[k].lang_pred != "und") == letters and (got[k].score > 0) == letters
+    assert language.LETTERS.findall("हिन्दी x1y ½") == ["हिन्दी", "x", "y"]
+
+
+def test_few_words_are_remembered(documents):
+    """Words met are forgotten beyond a bound, inside a batch too, and answers stay the same."""
+    model = language.fit(documents)
+    texts = [r.text for r in documents.limit(60).collect()]
+    one = [p.tolist() for p, _ in model._paths(texts)]
+    assert one == [p.tolist() for p, _ in model._paths(texts, cached=50)] and len(model.known) <= 50
+
+
 def test_unknown_languages_go(spark, documents):
     """Unlearned scripts and languages and random letters go, all clean documents stay."""
     import corpus_pipeline

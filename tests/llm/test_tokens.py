@@ -11,7 +11,6 @@ from factloom.llm.common import scratch
 from factloom.llm.queries import BYTE_BPE, QUERIES
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-TOKENIZER.encode_special_tokens = True
 
 
 def brute(text):
