@@ -4,13 +4,14 @@ The graph starts from hashed blocks of vectors and is refined by Spark joins: ea
 bounded number of those that point to it to each other, and every node keeps its nearest. A search starts at the query's
 own node and at entry points, and walks to the neighbours of the best nodes met so far until none of them is new.
 
-Equal vectors share a node. Sixteen-bit copies of the vectors travel in the joins, their similarities are exact integers
+Vectors with equal sixteen-bit copies share a node. The copies of the vectors travel in the joins, their similarities are exact integers
 over exact norms, so repeated candidates are equal; results are measured anew on the original vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +28,12 @@ def usable(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id") -
     """``vec_id`` and ``v`` (doubles) of the vectors that take part.
 
     Null and zero vectors, those with null or non-finite components, and rows without an id take no part. Of rows that
-    repeat an id the smallest vector counts. Vectors of another length than most are never compared and are left out.
+    repeat an id the smallest vector counts.
     """
     v = named(vector).cast("array<double>")
     rows = vectors.select(named(key).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and size(v) > 0")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter(~bad & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(2).collect()
-    if len(sizes) > 1:
-        rows = rows.filter(F.size("v") == sizes[0]["n"])
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
@@ -264,17 +262,30 @@ def nearest(vectors: DataFrame, wanted: DataFrame | None = None, k: int = 5, vec
     """For each wanted vector its ``k`` nearest others found, by cosine: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
     ``wanted`` holds the ``vec_id`` of the queries (null: those divisible by 50). Ties go to the smaller vec_id. All
-    vectors that take part are indexed (see ``usable``); fewer than ``k`` others give as many rows.
+    vectors that take part are indexed (see ``usable``), those of each length by themselves, as no cosine joins them;
+    fewer than ``k`` others give as many rows.
     """
     taking = written(usable(vectors, vector, key), "vectors")
+    lengths = sorted(r["n"] for r in taking.select(F.size("v").alias("n")).distinct().collect())
+    if len(lengths) < 2:
+        return _nearest(taking, wanted, k, options)
+    return reduce(DataFrame.unionByName, (_nearest(written(taking.filter(F.size("v") == n), "vectors"), wanted, k, options) for n in lengths))
+
+
+def _nearest(taking: DataFrame, wanted: DataFrame | None, k: int, options: dict[str, int]) -> DataFrame:
+    """``nearest`` among vectors of one length: (``vec_id``, ``v``).
+
+    Vectors with the same 16-bit copy, positive multiples for one, share a node; all that a near node holds are measured
+    on the original vectors, but of equal vectors the ``k + 1`` with the smallest ids alone.
+    """
     small = written(_sixteen_bits(taking), "short-vectors")
-    nodes = written(small.groupBy("h", "g").agg(F.min("vec_id").alias("node")), "nodes")
+    nodes = written(small.groupBy("q").agg(F.min("vec_id").alias("node")), "nodes")
     # Of equal vectors a query can return only the k (beside itself) with the smallest ids.
     first = F.row_number().over(Window.partitionBy("h", "g").orderBy("vec_id"))
-    members = small.select("vec_id", "h", "g").withColumn("nth", first).filter(F.col("nth") <= k + 1).join(nodes, ["h", "g"]).select("node", "vec_id")
-    graph = build(small.join(nodes.select(F.col("node").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("node"), "q"), **options)
+    members = small.select("vec_id", "q", "h", "g").withColumn("nth", first).filter(F.col("nth") <= k + 1).join(nodes, "q").select("node", "vec_id")
+    graph = build(nodes, **options)
     ids = taking.filter("vec_id % 50 = 0").select("vec_id") if wanted is None else wanted.select("vec_id").distinct()
-    asked = written(small.join(ids, "vec_id").join(nodes, ["h", "g"]).select(F.col("vec_id").alias("query"), F.col("q").alias("qq"), "node"), "queries")
+    asked = written(small.join(ids, "vec_id").join(nodes, "q").select(F.col("vec_id").alias("query"), F.col("q").alias("qq"), "node"), "queries")
     # A rounded vector of d components is off by an angle of at most about sqrt(d) / 65534. Beside the query's own node k
     # others stand before near[k]; what lies below it by more than two cosines can be off is not among the k nearest found.
     slack = 2.1 * F.sqrt(F.octet_length("qq") / 2) / 32767

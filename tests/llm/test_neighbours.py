@@ -1,3 +1,6 @@
+import math
+from functools import reduce
+
 import numpy as np
 import pytest
 
@@ -49,3 +52,32 @@ def test_few_odd_and_equal_vectors(spark):
     want = brute(same)
     assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(q, n + 1): i for q, w in want.items() for n, (i, _) in enumerate(w)}
     assert neighbours.nearest(make(odd)).count() == 0 and neighbours.nearest(make([])).count() == 0
+
+
+def in_order(rows, k=5):
+    """As ``brute``, each sum taken from left to right in double precision, vectors of one length only."""
+    dot = lambda a, b: reduce(lambda s, p: s + p[0] * p[1], zip(a, b), 0.0)  # noqa: E731  sum() would compensate
+    out = {}
+    for q, v in rows:
+        if q % 50 == 0:
+            found = sorted((-(dot(v, w) / (math.sqrt(dot(v, v)) * math.sqrt(dot(w, w)))), i) for i, w in rows if i != q and len(w) == len(v))
+            out[q] = [(i, -s) for s, i in found[:k]]
+    return out
+
+
+def check(spark, rows):
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == {(q, n + 1): w for q, found in in_order(rows).items() for n, w in enumerate(found)}
+
+
+def test_positive_multiples(spark):
+    """Their cosines differ in the last bit or not at all: the measure and then the smaller id decide."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(16)
+    rows = [(1000 + k, (base * rng.uniform(0.1, 9)).tolist()) for k in range(400)]
+    check(spark, rows + [(1, (-base).tolist()), (50, rng.standard_normal(16).tolist())])
+
+
+def test_lengths_are_indexed_apart(spark):
+    rng = np.random.default_rng(6)
+    check(spark, [(k, rng.standard_normal(3 if k % 3 else 8).tolist()) for k in range(151)] + [(500, [1.0])])
