@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BLANKS, ascii_lower, id_order, named, others, text_of, written
+from factloom.llm.common import BLANKS, ascii_lower, id_order, named, text_of, written
 
 
 def line_key(line: Column) -> Column:
@@ -24,9 +24,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, text: s
     A key of at least ``min_chars`` code points in at least ``min_docs`` documents stays only in the document with the
     smallest ``doc_id``, there with all its lines; every other line stays. A null or empty text is one empty line.
     Rows without an id are one document that comes last; repeated rows of one id are one document. Columns that clash
-    with the three added ones give way.
+    with the three added ones give way; all others come back as they are, whatever their names.
     """
-    keyed = docs.withColumns({"__id": id_order(), "__text": F.xxhash64(text_of(text))})
+    kept = [c for c in docs.columns if c.lower() not in ("kept_text", "n_lines", "n_dropped")]
+    place = {c.lower(): f"c{i}" for i, c in enumerate(kept)}
+    plain = docs.select(*(named(c).alias(place[c.lower()]) for c in kept))
+    text = place[text.lower()]
+    keyed = plain.withColumns({"__id": id_order(place["doc_id"]), "__text": F.xxhash64(text_of(text))})
     lines = keyed.select("__id", "__text", F.posexplode(F.split(text_of(text), "\n")).alias("__pos", "__line"))
     lines = lines.withColumn("__key", line_key(F.col("__line"))).filter(F.char_length("__key") >= min_chars)
     # Two differently seeded 64-bit hashes: 128 bits tell the keys apart.
@@ -50,7 +54,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, text: s
     once = F.transform(F.array(F.struct(split.alias("lines"), blocks.alias("lost"))), reassembled)[0]
     dropped = F.aggregate(F.map_values("__lost"), F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
     return joined.select(
-        *others(docs, "kept_text", "n_lines", "n_dropped"),
+        *(F.col(place[c.lower()]).alias(c) for c in kept),
         F.when(F.col("__lost").isNull(), text_of(text)).otherwise(once).alias("kept_text"),
         F.size(split).cast("long").alias("n_lines"),
         F.coalesce(dropped, F.lit(0).cast("long")).alias("n_dropped"),

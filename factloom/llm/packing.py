@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences, with certified bin counts.
 
 Each partition packs its pieces best-fit decreasing; dual-feasible functions bound its optimum, and that of the whole
-table, from below. A partition as dense as its sum of lengths allows keeps all sequences but its emptiest. The others
+table, from below. A partition whose count meets its bound is certified and keeps all sequences but its emptiest. The others
 have a gap: they keep their full sequences and hand the documents of the rest to the next round, where fewer partitions pack them
 together. This ends when the count meets the bound of the whole table, or when a round in one partition per ``most``
 pieces saves no sequence.
@@ -113,9 +113,10 @@ def _packed(pieces: DataFrame, capacity: int, level: int) -> DataFrame:
         bins, offsets = best_fit(lengths, capacity)
         used = np.bincount(bins, lengths)
         first = (level << 56) + (TaskContext.get().partitionId() << 32)
-        # A partition as dense as its sum allows can give away one sequence at most: its emptiest.
-        dense = (len(used) == -(-lengths.sum() // capacity)) & (np.arange(len(used)) != used.argmin())
-        yield mine.assign(sequence_id=first + bins, offset=offsets, certified=len(used) == lower_bound(lengths, capacity), stays=(dense | (used == capacity))[bins])
+        # No packing of a certified partition saves a sequence; only its emptiest may still meet others' documents.
+        certified = len(used) == lower_bound(lengths, capacity)
+        stays = certified & (np.arange(len(used)) != used.argmin()) | (used == capacity)
+        yield mine.assign(sequence_id=first + bins, offset=offsets, certified=certified, stays=stays[bins])
 
     return pieces.mapInPandas(pack, PACKED + ", stays boolean")
 

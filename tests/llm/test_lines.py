@@ -45,6 +45,16 @@ def test_clashing_columns_and_empty_table(clashing, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def test_columns_with_inner_names_come_back(odd):
+    """Columns may be named like those that the operator works with."""
+    from pyspark.sql import functions as F
+
+    names = ("__id", "__text", "__lost", "__pos", "__line", "__key", "__h", "__first", "c0", "Kept_Text")
+    got = dedup_lines(odd.select("*", *(F.lit(7).alias(n) for n in names)))
+    assert got.columns == [*odd.columns, *names[:-1], "kept_text", "n_lines", "n_dropped"]
+    assert {tuple(r) for r in got.select(*names[:-1]).collect()} == {(7,) * 9} and got.count() == odd.count()
+
+
 def test_threshold_counts_documents(spark):
     rows = [(1, "shared by two docs\nshared by three"), (2, "shared by two docs\nshared by three"), (3, "shared by three\nshared by three")]
     got = {r.doc_id: r.kept_text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3).collect()}
