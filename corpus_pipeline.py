@@ -1,4 +1,8 @@
-"""Documents to packed training sequences in five stages; each stage's result is written and read again."""
+"""Documents to packed training sequences in five stages; each stage's result is written and read again.
+
+Every stage takes rows with nulls in any column, empty and very long texts, repeated rows and further columns, which come
+back as they are, and gives an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
@@ -21,20 +25,38 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier calls bad go; it learns from the labels of those that are left."""
+    """Documents that the compression classifier calls bad go; it learns from the labels of those that are left.
+
+    A null text scores as an empty one; a score of the threshold itself is good; repeated rows fare alike. Without labels
+    of both kinds all documents have the share of good ones as score.
+    """
     model = compression.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return compression.good_ones(docs, model)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that several documents share stay in the one with the smallest id; ``n_chars`` is counted anew.
+
+    No document goes: one that loses all its lines, or had none, stays with an empty text. Rows without an id are one
+    document that comes last, repeated rows of one id are one document.
+    """
     return lines.without_repeats(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id.
+
+    Documents are linked by fingerprints of four-word shingles that differ in at most four bits. Texts without words are
+    copies of each other. Repeated rows of the id that stays all stay; a row without an id cannot be named as a copy and stays.
+    """
     return simhash.one_of_each(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts as pieces of at most 1024 tokens in as few sequences as packing finds. A null or empty text is its end token.
+
+    Rows without an id have a null one; repeated rows are packed each.
+    """
     packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -28,3 +28,34 @@ def test_stages(spark, sf):
         docs, kept = after, got
     check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect(), kept.items())
     check_packing(corpus_pipeline.run(spark, sf).collect(), kept.items())
+
+
+def test_stages_stand_odd_rows(spark, odd, sf):
+    """Nulls, empties, repeats, one very long text, an empty table and columns with clashing names, in every stage."""
+    from pyspark.sql import functions as F
+
+    names = ("kept_text", "n_lines", "fp", "score", "predicted", "lang_pred", "__id", "a.b")
+    taught = spark.read.parquet(f"{sf}/documents.parquet").limit(150)
+    more = odd.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("doc_id") + 10**9))
+    docs = taught.unionByName(more).select("*", *(F.lit(f"old {n}").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = written(stage(spark, docs, sf), name)
+        assert after.columns == docs.columns
+        rows = after.collect()
+        assert rows and all(r[f"{n}"] == f"old {n}" for r in rows for n in names)
+        ids = [r.doc_id for r in rows]
+        if name == "language":
+            letters = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+            # The text in a language that nobody taught may go, those without a letter do.
+            assert letters - {10**9 + 9} <= set(ids) <= letters
+        elif name == "line_dedup":
+            assert sorted(map(repr, ids)) == sorted(repr(r.doc_id) for r in docs.collect())
+        docs = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    check_packing(packed, [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_stages_of_an_empty_table(spark, empty, sf):
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, empty, sf)
+        assert got.count() == 0 and (name == "packing" or got.columns == empty.columns)
