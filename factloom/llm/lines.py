@@ -53,12 +53,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, text: s
     blocks = F.transform(F.sequence(F.lit(0), (F.size(split) / 64).cast("int")), lambda b: F.coalesce(F.col("__lost")[b], F.lit(0).cast("long")))
     once = F.transform(F.array(F.struct(split.alias("lines"), blocks.alias("lost"))), reassembled)[0]
     dropped = F.aggregate(F.map_values("__lost"), F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
-    return joined.select(
-        *(F.col(place[c.lower()]).alias(c) for c in kept),
+    found = joined.select(
+        *place.values(),
         F.when(F.col("__lost").isNull(), text_of(text)).otherwise(once).alias("kept_text"),
         F.size(split).cast("long").alias("n_lines"),
         F.coalesce(dropped, F.lit(0).cast("long")).alias("n_dropped"),
     )
+    return found.select(*(F.col(place[c.lower()]).alias(c) for c in kept), "kept_text", "n_lines", "n_dropped")
 
 
 def without_repeats(docs: DataFrame, **options: int) -> DataFrame:
