@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from factloom.model import DateRange, Filters, WhereIn
 
 PRESET_DAYS = {"7d": 7, "30d": 30, "90d": 90}
 ISO_DAY = re.compile(r"^\d{4}-\d{2}-\d{2}$", re.ASCII)
+STAMP = re.compile(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$", re.ASCII)
 
 
 def _day(text: str) -> datetime.date | None:
@@ -70,6 +72,43 @@ def _typed_values(values: list[str], dtype: T.DataType) -> list | None:
     return None
 
 
+def _double_spans(c: Column, values: list[str]) -> Column | None:
+    """Narrow ranges around the numbers that the texts stand for; None where a text stands for no finite number.
+
+    A double's text has at most twelve decimals, or all digits of an integer: it lies that close to the number it shows.
+    """
+    spans = F.lit(False)
+    for v in values:
+        try:
+            x = float(v)
+        except ValueError:
+            continue
+        if not math.isfinite(x):
+            return None
+        reach = 1e-12 + abs(x) * 2.0**-50
+        spans = spans | c.between(x - reach, x + reach)
+    return spans
+
+
+def _stamp_spans(c: Column, dtype: T.DataType, values: list[str]) -> Column | None:
+    """The milliseconds that the texts stand for; None where one may be of a year beyond four digits."""
+    spans = F.lit(False)
+    for v in values:
+        if v[:1] in ("+", "-"):
+            return None
+        if not STAMP.match(v):
+            continue
+        try:
+            start = datetime.datetime.fromisoformat(v[:-1])
+        except ValueError:
+            continue
+        if start.year == 9999:
+            return None  # its end may have no date
+        end = start + datetime.timedelta(milliseconds=1)
+        spans = spans | ((c >= F.lit(start.isoformat(" ")).cast(dtype)) & (c < F.lit(end.isoformat(" ")).cast(dtype)))
+    return spans
+
+
 def where_condition(df: DataFrame, where: WhereIn) -> Column | None:
     """Q2 as a condition on the display text; None when the filter does nothing."""
     values = [str(v) for v in where.values or ()]
@@ -79,7 +118,14 @@ def where_condition(df: DataFrame, where: WhereIn) -> Column | None:
     c = F.col(where.column)
     typed = _typed_values(values, dtype)
     if typed is None:
-        return display_string(c, dtype).isin(values)
+        shown = display_string(c, dtype).isin(values)
+        # Ranges reach the scan; the text has the last word.
+        spans = None
+        if isinstance(dtype, T.DoubleType):
+            spans = _double_spans(c, values)
+        elif is_temporal(dtype):
+            spans = _stamp_spans(c, dtype, values)
+        return shown if spans is None else spans & shown
     return c.isin(typed) if typed else F.lit(False)
 
 

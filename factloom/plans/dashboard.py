@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from factloom.functions.calendar import bucket_start, known_grain
 from factloom.functions.text import category_key, is_number, is_temporal
 from factloom.model import SINGLE_SERIES, Filters, WidgetSpec
-from factloom.operators.aggregates import COUNT, FIRST, HIGH, LOW, ROWS, SUM, effective_aggregation, number_column
+from factloom.operators.aggregates import COUNT, FIRST, HIGH, ITEM, LOW, ROWS, SUM, effective_aggregation, number_column
 from factloom.operators.charts import (
     CHART,
     Chart,
@@ -57,7 +57,7 @@ def _shares_scan(df: DataFrame, spec: WidgetSpec) -> bool:
         return is_number(dtype)
     if spec.chart_type in TIME_CHARTS and not is_temporal(dtype):
         return False
-    return effective_aggregation(df, spec.y, spec.aggregation) not in ("count_distinct", "none")
+    return effective_aggregation(df, spec.y, spec.aggregation) != "none"
 
 
 class _SharedCube:
@@ -71,7 +71,10 @@ class _SharedCube:
         self.states: dict[str, Column] = {ROWS: F.count(F.lit(1))}
         self.measures: dict[str, str] = {}
         self.bounds: dict[str, DataFrame] = {}
-        self.sets = [self._keys_of(s) for s in specs]
+        self.keys_of = [self._keys_of(s) for s in specs]
+        # A distinct count merges over its counted values: they are one more key of its grouping set.
+        self.items = [self._item_of(s) for s in specs]
+        self.sets = [[*keys, item] if item else keys for keys, item in zip(self.keys_of, self.items)]
         for s in specs:
             self._states_of(s)
 
@@ -97,9 +100,14 @@ class _SharedCube:
             keys.append(self._key(("label", spec.split), category_key(F.col(spec.split), df.schema[spec.split].dataType)))
         return keys
 
+    def _item_of(self, spec: WidgetSpec) -> str | None:
+        if spec.chart_type == "histogram" or effective_aggregation(self.df, spec.y, spec.aggregation) != "count_distinct":
+            return None
+        return self._key(("item", spec.y), F.col(spec.y))
+
     def _states_of(self, spec: WidgetSpec) -> None:
         kind = effective_aggregation(self.df, spec.y, spec.aggregation)
-        if spec.chart_type == "histogram" or kind == "count":
+        if spec.chart_type == "histogram" or kind in ("count", "count_distinct"):
             return
         m = self.measures.setdefault(spec.y, f"_y{len(self.measures)}")
         wanted = {"sum": [(SUM, F.sum)], "avg": [(SUM, F.sum), (COUNT, F.count)], "min": [(LOW, F.min)], "max": [(HIGH, F.max)]}
@@ -133,15 +141,16 @@ class _SharedCube:
         repeated for every chart that reads its grouping set."""
         entries = []
         for i, widget_id, spec in members:
-            keys = self.sets[i]
-            m = self.measures.get(spec.y, "")
+            keys, item = self.keys_of[i], self.items[i]
+            m = "" if item else self.measures.get(spec.y, "")
             states = [
                 (F.col(m + s) if m + s in self.states else F.lit(None)).cast("bigint" if s == COUNT else "double").alias(s)
                 for s in (SUM, COUNT, LOW, HIGH)
             ]
             series = F.col(keys[1]) if len(keys) > 1 else F.lit(SINGLE_SERIES)
-            entry = F.struct(F.lit(widget_id).alias(CHART), F.col(keys[0]).alias(key), series.alias("series"), *states)
-            entries.append(F.when(F.col("_set") == self._set_of(keys), entry))
+            counted = (F.col(item).cast("string") if item else F.lit(None).cast("string")).alias(ITEM)
+            entry = F.struct(F.lit(widget_id).alias(CHART), F.col(keys[0]).alias(key), series.alias("series"), *states, counted)
+            entries.append(F.when(F.col("_set") == self._set_of(self.sets[i]), entry))
         rows = self.cube.select(ROWS, FIRST, F.explode(F.array_compact(F.array(*entries))).alias("_cell"))
         return rows.select("_cell.*", ROWS, FIRST)
 
@@ -157,8 +166,8 @@ def dashboard_query(
     """``points`` of every widget with its ``widget_id``, and the KPI rows.
 
     Charts of one family are ranked, folded and filled together, so the number of
-    Spark jobs does not grow with the number of widgets. Distinct counts cannot be
-    merged from states and keep a scan of their own.
+    Spark jobs does not grow with the number of widgets. Distinct counts share the
+    scan too: their grouping set has the counted value as one more key.
     """
     filters = clean_filters(df, filters, date_column)
     filtered = apply_filters(df, filters)

@@ -138,6 +138,7 @@ ORACLES["parsed_values"] = f"""SELECT o_orderkey, {_PARSED}, NULL::DOUBLE AS no_
 
 # ---------- types ----------
 
+# The patterns of names, numbers and dates that type rules read.
 _ID_NAME = "(?i)(^id$|_id$|^id_|uuid|guid)"
 _CODE_NAME = "(?i)(status|code|level|rating|tier)"
 _NUMBER = "[-+]?[$€£]?\\s?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)(\\.[0-9]+)?%?"
@@ -214,6 +215,8 @@ ORACLES["table_sizes"] = " UNION ALL ".join(
 _TWO_STATUSES = "o_orderstatus IN ('F', 'O')"
 ORACLES["filters_date_where"] = f"""SELECT o_orderkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders
     WHERE o_orderdate::DATE BETWEEN '1996-01-01' AND '1997-12-31' AND {_TWO_STATUSES}"""
+ORACLES["filters_by_stamp"] = """SELECT event_id, event_type FROM events WHERE date_trunc('milliseconds', ts) IN (
+    SELECT date_trunc('milliseconds', min(ts)) FROM events GROUP BY event_type)"""
 ORACLES["filters_by_text"] = f"""SELECT l_linenumber, l_discount, count(*) AS n FROM lineitem
     WHERE l_linenumber::VARCHAR IN ('1', '02', 'x', '3') AND {shown("l_discount")} IN ('0.05', '0.1', '0.10') GROUP BY 1, 2"""
 
@@ -375,6 +378,7 @@ def over_catalog(tail: str) -> str:
     return f"WITH catalog AS MATERIALIZED ({_CATALOG}), {tail}"
 
 
+# The name patterns of measures, most telling first, and of those that are averaged.
 _TIERS = ("revenue|sales|gmv", "mrr|arr|recurring", "amount|total|net|value", "profit|margin",
           "latency|duration|response_time|_ms$", "price|cost", "seats|quantity|units|qty")
 _TIER = "CASE " + " ".join(f"WHEN regexp_matches(name, '{p}') THEN {i}" for i, p in enumerate(_TIERS)) + " ELSE 7 END"
@@ -546,6 +550,7 @@ ORACLES["composition"] = f"""SELECT key, {r(f"t / (SELECT {agg('sum', 'l_quantit
 
 # ---------- text ----------
 
+# What a sentence may say in digits without citing a fact.
 _MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
 _ALLOWED = ("\\{\\{\\w+\\}\\}", f"\\b{_MONTH}\\s+\\d{{4}}\\b", f"\\b{_MONTH}\\s+\\d{{1,2}}(?:,\\s*\\d{{4}})?\\b",
             "\\b\\d{4}-\\d{2}-\\d{2}\\b", "\\b\\d{1,2}:\\d{2}\\b", "\\b(?:19|20)\\d{2}\\b")

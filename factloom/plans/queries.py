@@ -255,6 +255,16 @@ def filters_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.apply_filters(lines, wanted).groupBy("l_linenumber", "l_discount").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def filters_by_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where-in on the texts of timestamps, those of the first event of each type, beside texts that are none."""
+    events = table(spark, sf_dir, "events")
+    firsts = events.groupBy("event_type").agg(fn.iso_string(F.min("ts"), events.schema["ts"].dataType).alias("at")).collect()  # a row per type
+    wanted = (*(r["at"] for r in firsts), "2024-01-01", "2024-02-30T00:00:00.000Z", "soon")
+    kept = filters.apply_filters(events, Filters(None, (WhereIn("ts", wanted),)))
+    return kept.select("event_id", "event_type")
+
+
 def _preset(spark: SparkSession, sf_dir: str, preset: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     kept = filters.apply_filters(events, Filters(filters.resolve_date_range(events, "ts", preset)))

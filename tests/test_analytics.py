@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions.text import display_string
 from factloom.model import DateRange, Filters, WhereIn, WidgetSpec
 from factloom.operators import aggregates, charts, dashboards, filters, kpis, measures, paging
 from factloom.plans.dashboard import dashboard_query
@@ -247,3 +248,21 @@ def test_measures_and_kpi_defs(spark):
     assert [(k.id, k.label, k.aggregation, k.format, k.scale) for k in kpis.kpi_list(frame)] == [
         ("entities", "Accounts", "count_distinct", "number", 1.0), ("m:mrr", "Total MRR", "sum", "currency", 1.0),
         ("m:price", "Average price", "avg", "currency", 1.0), ("rate:churned", "Churn rate", "avg", "percent", 100.0)]
+
+
+def test_where_in_reaches_the_scan_and_texts_decide(spark, tmp_path):
+    """Doubles and timestamps: ranges are pushed, and only values with the very text match."""
+    rows = [(0.1,), (0.1 + 4e-13,), (0.05,), (-0.0,), (0.0,), (3.0,), (1e17,), (123456789.125,), (float("nan"),), (None,)]
+    df = spark.createDataFrame(rows, "v double").withColumn("t", F.expr("timestamp_micros(cast(least(coalesce(nanvl(v, 0), 0), 1e9) * 1000 AS bigint))"))
+    df.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    shown = {c: df.withColumn("shown", display_string(F.col(c), df.schema[c].dataType)) for c in ("v", "t")}
+    texts = ["0.1", "0.10", "0.05", "0", "3", "100000000000000000", "123456789.125", "x", "NaN"]
+    for values in (texts, texts[:-1], ["0.1"], ["x"]):
+        want = sorted(map(repr, shown["v"].filter(F.col("shown").isin(values)).drop("shown").collect()))
+        assert sorted(map(repr, filters.filter_where_in(df, "v", values).collect())) == want
+    for values in (["1970-01-01T00:00:00.000Z", "1970-01-01T00:00:00.003Z", "soon"], ["1970-01-01"], ["+12000-01-01T00:00:00.000Z"]):
+        want = sorted(map(repr, shown["t"].filter(F.col("shown").isin(values)).drop("shown").collect()))
+        assert sorted(map(repr, filters.filter_where_in(df, "t", values).collect())) == want
+    plan = lambda c, values: filters.filter_where_in(df, c, values)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(v" in plan("v", ["0.1"]) and "GreaterThanOrEqual(t" in plan("t", ["1970-01-01T00:00:00.003Z"])

@@ -22,9 +22,9 @@ def test_period_changes_and_rebounds(spark):
     assert changes.best_change(changes.period_changes(series(spark, [100, 102]))).count() == 0
 
 
-def test_published_month_change(spark):
-    best = changes.best_change(changes.period_changes(series(spark, [226241, 244651]))).first()
-    assert round(best["change"], 4) == 0.0814
+def test_a_change_of_five_percent_counts(spark):
+    assert changes.best_change(changes.period_changes(series(spark, [2000, 1899]))).first()["change"] == pytest.approx(-0.0505)
+    assert changes.best_change(changes.period_changes(series(spark, [2000, 2099]))).count() == 0
 
 
 @pytest.mark.parametrize("values", [[1, 2, 3, 4, 100], [5, 5, 5, 5, 9], [7, 7, 7]])
@@ -130,12 +130,12 @@ def test_series_by(hand):
 @pytest.mark.parametrize(
     ("text", "expected"),
     [
-        ("Revenue fell 18% in April.", ["18%"]),
-        ("It cost $1,200 in total.", ["$1,200"]),
-        ("See {{f9}}.", ["{{f9}}"]),
-        ("Revenue fell {{f1}} in April 2025, on Sep 18, at 14:00 and on 2025-04-03.", []),
-        ("On April 3, 2025 it was −5 % up, in 1999.", ["−5 %"]),
-        ("{{f9}} beats 3.", ["{{f9}}", "3."]),
+        ("Margins of 7.25 % beat the plan", ["7.25 %"]),
+        ("Shipping took $3,040.50 from it", ["$3,040.50"]),
+        ("The rest is in {{f9}} and {{f1}}", ["{{f9}}"]),
+        ("Up {{f1}} at 08:45 on Mar 2, 2024, after 2023-12-31 and all of May 1998", []),
+        ("Orders of 2021 lost +12 and −4% since July 9", ["+12", "−4%"]),
+        ("{{f2}}, not 55, in week 6", ["{{f2}}", "55,", "6"]),
     ],
 )
 def test_grounding(spark, text, expected):
