@@ -127,28 +127,38 @@ def find_drivers(
     One row ``(category, key, share, change)`` or none. A single column gives F5,
     several give F6.
     """
+    both = now.withColumn("_side", F.lit("now")).unionByName(before.withColumn("_side", F.lit("before")))
+    return drivers_of(both, F.col("_side"), categories, measure, {0: (aggregation, sign)}, order_by).drop("story")
 
-    def cells(df: DataFrame, side: str) -> DataFrame:
-        m = number_column(df, measure) if measure else F.lit(None).cast("double")
-        shown = {f"_c{i}": display_string(F.col(c), df.schema[c].dataType) for i, c in enumerate(categories)}
-        rows = df.select(
-            m.alias("_m"),
-            (F.col(order_by) if order_by else F.lit(None).cast("int")).alias("_o"),
-            F.lit(ALL).alias("_all"),
-            *(c.alias(n) for n, c in shown.items()),
-        ).unpivot(["_m", "_o"], ["_all", *shown], "_column", "key").filter(F.col("key").isNotNull())
-        return rows.groupBy("_column", "key").agg(
-            F.count(F.lit(1)).alias("rows"), F.sum("_m").alias("total"), F.count("_m").alias("filled"), F.min("_o").alias("first")
-        ).withColumn("side", F.lit(side))
 
+def drivers_of(
+    df: DataFrame,
+    side: Column,
+    categories: list[str],
+    measure: str | None,
+    stories: dict[int, tuple[str, int]],
+    order_by: str | None = None,
+) -> DataFrame:
+    """F5, F6 for several stories over the same rows, from one scan: ``(story, category, key, share, change)``.
+
+    ``side`` tells rows ``now`` from those ``before``; a story is an aggregation of
+    the measure and the sign of the change it explains.
+    """
+    m = number_column(df, measure) if measure else F.lit(None).cast("double")
+    shown = {f"_c{i}": display_string(F.col(c), df.schema[c].dataType) for i, c in enumerate(categories)}
+    rows = df.select(
+        side.alias("side"),
+        m.alias("_m"),
+        (F.col(order_by) if order_by else F.lit(None).cast("int")).alias("_o"),
+        F.lit(ALL).alias("_all"),
+        *(c.alias(n) for n, c in shown.items()),
+    )
+    rows = rows.unpivot(["side", "_m", "_o"], ["_all", *shown], "_column", "key").filter(F.col("key").isNotNull())
+    cells = rows.groupBy("side", "_column", "key").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("_m").alias("total"), F.count("_m").alias("filled"), F.min("_o").alias("first")
+    )
     names = F.create_map(F.lit("_all"), F.lit(ALL), *(x for i, c in enumerate(categories) for x in (F.lit(f"_c{i}"), F.lit(c))))
     ranks = F.create_map(F.lit("_all"), F.lit(-1), *(x for i in range(len(categories)) for x in (F.lit(f"_c{i}"), F.lit(i))))
-    both = cells(now, "now").unionByName(cells(before, "before"))
-    tagged = both.select(
-        "*",
-        names[F.col("_column")].alias("category"),
-        ranks[F.col("_column")].alias("category_rank"),
-        F.lit(0).alias("story"),
-        F.lit(sign).alias("sign"),
-    )
-    return rank_drivers(tagged, F.lit(aggregation)).drop("story")
+    told = [F.struct(F.lit(k).alias("story"), F.lit(kind).alias("aggregation"), F.lit(sign).alias("sign")) for k, (kind, sign) in stories.items()]
+    tagged = cells.select("*", names[F.col("_column")].alias("category"), ranks[F.col("_column")].alias("category_rank"), F.inline(F.array(*told)))
+    return rank_drivers(tagged, F.col("aggregation"))
