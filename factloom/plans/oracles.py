@@ -233,6 +233,9 @@ ORACLES["date_preset_ytd"] = _preset("date_trunc('year', d)::DATE")
 ORACLES["rows_page"] = f"""SELECT o_orderkey, o_orderstatus, o_totalprice, rn::INTEGER AS row_no, total FROM (
     SELECT *, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS rn, count(*) OVER () AS total
     FROM orders WHERE {_TWO_STATUSES}) WHERE rn BETWEEN 101 AND 150"""
+ORACLES["deep_page"] = """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, rn::INTEGER AS row_no, total FROM (
+    SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey) AS rn, count(*) OVER () AS total FROM lineitem)
+    WHERE rn > (total // 50 - 1) * 50 AND rn <= total // 50 * 50"""
 ORACLES["rows_as_json"] = f"""SELECT '{{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus
     || '","o_totalprice":' || {shown("o_totalprice")} || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ')
     || '","o_orderpriority":"' || o_orderpriority || '"}}' AS json FROM orders"""

@@ -296,6 +296,14 @@ def rows_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page
 
 
+@query
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last full page of all lines: one range of the order is read and sorted."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    index = paging.SeekIndex(lines, None, "l_extendedprice:desc", ["l_orderkey", "l_linenumber", "l_partkey"])
+    return index.page(index.total // 50, 50)
+
+
 @query
 def rows_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_json(table(spark, sf_dir, "orders"))

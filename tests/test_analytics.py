@@ -266,3 +266,18 @@ def test_where_in_reaches_the_scan_and_texts_decide(spark, tmp_path):
         assert sorted(map(repr, filters.filter_where_in(df, "t", values).collect())) == want
     plan = lambda c, values: filters.filter_where_in(df, c, values)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(v" in plan("v", ["0.1"]) and "GreaterThanOrEqual(t" in plan("t", ["1970-01-01T00:00:00.003Z"])
+
+
+def test_seek_index_gives_the_same_pages(spark):
+    """Every page beside ``rows_page``, nulls and ties among the keys; few ranges are sorted for a deep one."""
+    df = spark.range(0, 3000, 1, 5).selectExpr("id AS n", "if(id % 7 = 0, null, id % 50) AS v")
+    index = paging.SeekIndex(df, None, "v:desc", ["n"], ranges=12)
+    assert index.total == 3000 and len(index.sizes) == 12
+    for number in (1, 7, 12, 13, 40):
+        want = paging.rows_page(df, None, "v:desc", number, 250, ["n"]).collect()
+        assert sorted(index.page(number, 250).collect()) == sorted(want)
+    read = [r["_range"] for r in index.table.filter("_range IN (3)").select("_range").distinct().collect()]
+    assert read == [3]
+    index.release()
+    empty = paging.SeekIndex(df.filter("n < 0"), None, "v", ["n"])
+    assert empty.total == 0 and empty.page(1).count() == 0
