@@ -78,7 +78,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs: in
 
     The sample is bounded: at most ``fit_docs`` documents of each label, those with the smallest hash of their id, and
     ``fit_bytes`` bytes in all. Half of each label builds its dictionary (``size`` bytes), the other half calibrates. If
-    one label is missing the score is the share of label 1 among the taught rows, and 0.5 without any.
+    one label is missing the score is the share of label 1 among the taught rows, and 0.5 without any. Of labels that
+    disagree on a document the smaller counts.
     """
     taught = labels.select(named("doc_id").alias("doc_id"), named(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     taught = taught.filter(~held_out()).groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -113,7 +114,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs: in
 
 
 def with_quality(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """``docs`` with ``held_out``, ``score`` and ``predicted``. A null text scores as an empty one; columns that clash give way."""
+    """``docs`` with ``held_out``, ``score`` and ``predicted``. A null text scores as an empty one; columns that clash give way.
+
+    Whole texts are compressed, however long; equal texts get equal scores, so repeated rows do; a score of ``threshold``
+    itself is predicted 1.
+    """
     shared = lean(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

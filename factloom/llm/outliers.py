@@ -137,7 +137,7 @@ def _concentrated(rows: DataFrame, model: DataFrame, share: float, widen: float,
 def with_verdict(docs: DataFrame, share: float = 0.75, widen: float = 1.41, cutoff: float = 40.0, steps: int = 3, prior: int = 100, text: str = "text") -> DataFrame:
     """``doc_id``, the statistics, ``base_failed`` and ``kept`` of each row of ``docs``.
 
-    A null text has no words; null languages and sources are groups of their own beside empty ones. ``widen`` makes the
+    A null text has no words, a very long one is counted whole in its row; null languages and sources are groups of their own beside empty ones. ``widen`` makes the
     covariance of the inner ``share`` of a normal distribution in five dimensions that of the whole. Ties at a bound are
     inside. Repeated rows count each. Without rows that pass the base rules nothing is estimated and nothing is kept.
     """

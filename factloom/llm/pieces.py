@@ -170,7 +170,9 @@ def pieces(path: str) -> Pieces:
 def encode_pieces(docs: DataFrame, model: str, text: str = "text", decode: bool = True) -> DataFrame:
     """``docs`` with ``ids`` (32-bit little-endian), ``n_pieces``, ``score`` and, if asked, ``decoded`` text.
 
-    Whole texts are encoded by the model's own segmentation; null is empty and has no piece. The character that stands for a space decodes as one.
+    Whole texts, however long, are encoded by the model's own segmentation; null is empty and has no piece; repeated rows
+    are encoded each. Of merges with equal scores the leftmost comes first, of paths with equal sums the one with the
+    shorter last piece counts. The character that stands for a space decodes as one.
     Columns that clash with the added ones give way.
     """
     added = ("ids", "n_pieces", "score", "decoded")
