@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import kept_alone, held_out, lean, named, text_of
@@ -113,12 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs: in
     return model
 
 
-def with_quality(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """``docs`` with ``held_out``, ``score`` and ``predicted``. A null text scores as an empty one; columns that clash give way.
-
-    Whole texts are compressed, however long; equal texts get equal scores, so repeated rows do; a score of ``threshold``
-    itself is predicted 1.
-    """
+def _score(docs: DataFrame, model: Model, text: Column) -> Column:
     shared = lean(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -126,11 +121,21 @@ def with_quality(docs: DataFrame, model: Model, threshold: float = 0.3, text: st
         kept_alone("quality", bool)
         return pd.Series(shared.value.score(texts.tolist()))
 
+    return score(text)
+
+
+def with_quality(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """``docs`` with ``held_out``, ``score`` and ``predicted``. A null text scores as an empty one; columns that clash give way.
+
+    Whole texts are compressed, however long; equal texts get equal scores, so repeated rows do; a score of ``threshold``
+    itself is predicted 1.
+    """
     kept = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
-    found = docs.select(*(named(c) for c in kept), held_out().alias("held_out"), score(text_of(text)).alias("score"))
+    found = docs.select(*(named(c) for c in kept), held_out().alias("held_out"), _score(docs, model, text_of(text)).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def good_ones(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """``docs`` that the classifier predicts to be good."""
-    return with_quality(docs, model, threshold).filter("predicted = 1").select(*(named(c) for c in docs.columns))
+    """``docs`` that the classifier predicts to be good, in all their columns."""
+    found = docs.select(*(named(c) for c in docs.columns), _score(docs, model, text_of()).alias("__score"))
+    return found.filter(F.col("__score") >= threshold).select(*(named(c) for c in docs.columns))

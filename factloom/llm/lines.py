@@ -64,8 +64,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, text: s
 
 def without_repeats(docs: DataFrame, **options: int) -> DataFrame:
     """``docs`` in its own columns, texts without the dropped lines and ``n_chars`` counted anew."""
-    found = dedup_lines(docs, **options)
+    # Other columns wait under plain names, so that none gives way to those that dedup_lines adds.
+    place = {c: c if c.lower() in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)}
+    found = dedup_lines(docs.select(*(named(c).alias(a) for c, a in place.items())), **options)
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return found.select(*(new[c].alias(c) if c in new else named(c) for c in docs.columns))
-
-
+    return found.select(*((new[c] if c in new else F.col(a)).alias(c) for c, a in place.items()))

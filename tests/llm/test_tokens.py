@@ -124,7 +124,7 @@ def test_added_tokens_are_the_librarys(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["a <|endoftext|> b", "plain words here", "x<|endoftext|>y z", "<|endoftext|>", "<|endoftext|>\n<|endoftext|> <|endof text|>", "last one"]
     want = [np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4") for t in texts]
-    assert 50256 in want[0] and 50256 not in brute(texts[0])
+    assert 50256 in want[0] and 50256 in brute(texts[0])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     folder = scratch(spark, "tokens")
     tokens.write_tokens(docs, folder, BYTE_BPE)
