@@ -72,12 +72,14 @@ def datetime_of(text: Column) -> Column:
     )
     us = F.split(text, "/")
     us_day = F.concat_ws("-", F.get(us, F.lit(2)), F.lpad(F.get(us, F.lit(0)), 2, "0"), F.lpad(F.get(us, F.lit(1)), 2, "0"))
-    # Every accepted form begins with a digit: other cells are spared the three patterns.
+    # Every accepted form begins with a digit and has a dash after the year or a slash: other cells are spared the patterns.
     return F.when(
         F.substring(text, 1, 1).between("0", "9"),
-        F.when(text.rlike(ISO_DAY), text.try_cast("date").cast("timestamp"))
-        .when(text.rlike(ISO_TIMESTAMP), F.date_trunc("MILLISECOND", full.try_cast("timestamp")))
-        .when(text.rlike(US_DATE), us_day.try_cast("date").cast("timestamp")),
+        F.when(
+            F.substring(text, 5, 1) == "-",
+            F.when(text.rlike(ISO_DAY), text.try_cast("date").cast("timestamp"))
+            .when(text.rlike(ISO_TIMESTAMP), F.date_trunc("MILLISECOND", full.try_cast("timestamp"))),
+        ).when(text.contains("/"), F.when(text.rlike(US_DATE), us_day.try_cast("date").cast("timestamp"))),
     )
 
 

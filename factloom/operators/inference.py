@@ -1,4 +1,4 @@
-"""Type inference and coercion (T1-T4) over all-string tables."""
+"""Type inference and coercion (T1-T4) over all-string tables; inference reads the texts of other types too."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import WHITE_SPACE, boolean_of, datetime_of, number_of, trimmed
+from factloom.operators.counts import name_of, whole_counts
+from factloom.session import pin
 
 # Names that decide a type, and the shape of an id.
 ID_NAME = r"(?i)(^id$|_id$|^id_|uuid|guid)"
@@ -34,6 +36,7 @@ class ColumnPlan:
     days: bool = False
 
 
+TYPED = ("tinyint", "smallint", "int", "bigint", "double", "date", "timestamp", "timestamp_ntz")  # told apart as their texts are
 LISTED = CATEGORY_CEILING + 1  # texts of a column that a task tells: no rule asks for more
 
 
@@ -63,15 +66,45 @@ def _values(df: DataFrame) -> DataFrame:
     return cells.mapInArrow(run, "name string, raw string, n long, listed boolean")
 
 
+def _typed_values(df: DataFrame) -> DataFrame:
+    """``(name, raw, n, alone)`` of columns that are no texts: a value becomes one after it is counted in the whole table.
+
+    ``alone`` is the number of texts that a row stands for: two for a zero that is met with both signs. Timestamps are
+    counted as microseconds, which is far faster.
+    """
+    pin(df.sparkSession)
+    cells, texts = [], []
+    for place, (name, kind) in enumerate(df.dtypes):
+        c, stamp = F.col(f"`{name}`"), kind.startswith("timestamp")
+        cells.append(F.unix_micros(c.cast("timestamp")) if stamp else c)
+        texts.append((F.timestamp_micros("v_bigint").cast(kind) if stamp else F.col(f"v_{kind}")).cast("string"))
+    counts = whole_counts(df.select(*cells))
+    raw = F.coalesce(*(F.when(F.col("place") == i, t) for i, t in enumerate(texts)))
+    alone = F.when((F.col("minus") > 0) & (F.col("minus") < F.col("count")), 2).otherwise(1).cast("long")
+    return counts.select(name_of(df.columns).alias("name"), raw.alias("raw"), F.col("count").alias("n"), alone.alias("alone"))
+
+
+def _all_values(df: DataFrame) -> DataFrame:
+    """``(name, raw, n, listed, alone)`` of all columns: ``alone`` is null for those of texts, ``listed`` for the others."""
+    typed = [n for n, t in df.dtypes if t in TYPED]
+    texts = df.select(*(F.col(f"`{n}`") for n in df.columns if n not in typed))
+    if not typed:
+        return _values(texts).withColumn("alone", F.lit(None).cast("long"))
+    values = _typed_values(df.select(*(F.col(f"`{n}`") for n in typed)))
+    return values.unionByName(_values(texts), allowMissingColumns=True) if texts.columns else values.withColumn("listed", F.lit(False))
+
+
 def _statistics(df: DataFrame) -> DataFrame:
-    """One row per column with at least one row, from a single scan. ``distinct`` is exact below ``LISTED``;
+    """One row per column with at least one row, from a single scan of texts. ``distinct`` is exact below ``LISTED``;
     ``repeated`` tells that some text was met twice, but not every repetition is."""
     text, n = F.col("text"), F.col("n")
-    cells = _values(df).withColumn("text", trimmed(F.col("raw"))).filter(text != "")
+    # Only texts may be blank; a filter on the text of a counted value would be asked of every cell.
+    cells = _all_values(df).withColumn("text", trimmed(F.col("raw"))).filter(F.col("alone").isNotNull() | (text != ""))
     parsed = cells.select(
         "name",
         F.when(F.col("listed"), F.col("raw")).alias("key"),
         "n",
+        "alone",
         number_of(text).alias("number"),
         datetime_of(text).isNotNull().alias("dated"),
         (F.length(text) <= 10).alias("day"),  # of the accepted forms, the plain dates
@@ -89,10 +122,10 @@ def _statistics(df: DataFrame) -> DataFrame:
         "id_like": of(F.col("id_like")),
     }
     # Rows of listed texts meet by text, all others of a column as one row a task.
-    listed = parsed.groupBy("name", "key").agg(*(c.alias(a) for a, c in sums.items()), F.max(F.abs("number")).alias("largest"), F.max("n").alias("most"))
+    listed = parsed.groupBy("name", "key").agg(*(c.alias(a) for a, c in sums.items()), F.max(F.abs("number")).alias("largest"), F.max("n").alias("most"), F.sum("alone").alias("alone"))
     most = F.greatest(F.col("most"), F.when(F.col("key").isNotNull(), F.col("present")))
     return listed.groupBy("name").agg(
-        *(F.sum(a).alias(a) for a in sums), F.max("largest").alias("largest"), F.count("key").alias("distinct"), F.max(most > 1).alias("repeated")
+        *(F.sum(a).alias(a) for a in sums), F.max("largest").alias("largest"), (F.count("key") + F.coalesce(F.sum("alone"), F.lit(0))).alias("distinct"), F.max(most > 1).alias("repeated")
     )
 
 

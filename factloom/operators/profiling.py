@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from factloom.functions.calendar import infer_grain
 from factloom.functions.rounding import js_round, mean
 from factloom.functions.text import display_string, is_number, is_temporal, iso_string
+from factloom.operators.counts import name_of, slots, whole_counts
 from factloom.operators.quantiles import OrderedCounts, orderable
 
 TOP_VALUES = 10
@@ -34,18 +35,16 @@ def identity(c: Column, dtype: T.DataType, shown: bool) -> Column:
 
 
 def value_counts(df: DataFrame, names: list[str], shown: bool = True) -> DataFrame:
-    """``(name, value, count)`` of several columns, in one shuffle per kind of identity.
+    """``(name, value, count)`` of several columns, in a shuffle per column.
 
     Counts are combined before the shuffle, so a value that fills a third of the
     table arrives as one row per task. Values become texts after they are counted.
     """
-    told = df.select(*(identity(F.col(f"`{n}`"), df.schema[n].dataType, shown).alias(n) for n in names))
-    found = df.sparkSession.createDataFrame([], "name string, value string, count long")
-    for kind in dict.fromkeys(t for _, t in told.dtypes):
-        cells = told.unpivot([], [F.col(f"`{n}`") for n, t in told.dtypes if t == kind], "name", "v").filter(F.col("v").isNotNull())
-        counts = cells.groupBy("name", "v").agg(F.count(F.lit(1)).alias("count"))
-        found = found.unionByName(counts.select("name", F.col("v").cast("string").alias("value"), "count"))
-    return found
+    if not names:
+        return df.sparkSession.createDataFrame([], "name string, value string, count long")
+    cells = df.select(*(identity(F.col(f"`{n}`"), df.schema[n].dataType, shown) for n in names))
+    value = F.coalesce(*(F.col(v).cast("string") for v in slots(cells).values()))
+    return whole_counts(cells).select(name_of(names).alias("name"), value.alias("value"), "count")
 
 
 def distinct_counts(counts: DataFrame) -> DataFrame:

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.text import is_number, is_temporal
+from factloom.operators.counts import name_of, slots, whole_counts
 from factloom.session import forget, stored
 
-CELL = "struct<name:string,v:double,k:bigint>"
-
 
 def orderable(dtype: T.DataType) -> bool:
     """Types whose values a double orders: numbers, days and timestamps."""
@@ -23,17 +22,15 @@ def orderable(dtype: T.DataType) -> bool:
 
 
 def _cell(name: str, dtype: T.DataType) -> Column:
-    """A value as a double, and the long that tells it apart where a double may not."""
+    """A value as the long that tells it apart, or as a double."""
     c = F.col(f"`{name}`")
-    k = F.lit(None)
     if isinstance(dtype, T.IntegralType):
-        k = c.cast("long")
-    elif isinstance(dtype, T.DateType):
-        k = F.unix_date(c).cast("long")
-    elif is_temporal(dtype):
-        k = F.unix_millis(c.cast("timestamp"))
-    v = k.cast("double") if is_temporal(dtype) else c.cast("double")
-    return F.struct(F.lit(name).alias("name"), v.alias("v"), k.cast("long").alias("k"))
+        return c.cast("long")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("long")
+    if is_temporal(dtype):
+        return F.unix_millis(c.cast("timestamp"))
+    return c.cast("double")
 
 
 class OrderedCounts:
@@ -44,8 +41,11 @@ class OrderedCounts:
 
     def __init__(self, df: DataFrame, columns: list[str]):
         self.columns = columns
-        cells = F.array(*(_cell(c, df.schema[c].dataType) for c in columns)).cast(f"array<{CELL}>")
-        counts = df.select(F.explode(cells).alias("c")).select("c.*").filter("v is not null").groupBy("name", "v", "k").agg(F.count(F.lit(1)).alias("n"))
+        cells = df.select(*(_cell(c, df.schema[c].dataType) for c in columns))
+        held = {t: F.col(v) for t, v in slots(cells).items()}
+        k = held.get("bigint", F.lit(None).cast("long"))
+        v = F.coalesce(held.get("double", F.lit(None)), k.cast("double"))
+        counts = whole_counts(cells).select(name_of(columns).alias("name"), v.alias("v"), k.alias("k"), F.col("count").alias("n"))
         ranges = counts.repartitionByRange("name", "v").withColumn("part", F.spark_partition_id())
         self.table = stored(ranges, "ordered-counts")
         #: Rows and distinct values per column and range: as many rows as there are ranges and columns, at most.

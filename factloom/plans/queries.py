@@ -522,7 +522,7 @@ _catalogs: dict[tuple, DataFrame] = {}
 
 
 def catalog_types(df: DataFrame, name: str) -> dict[str, str]:
-    return {p.name: p.type for p in inference.plan_columns(as_strings(df))}
+    return {p.name: p.type for p in inference.plan_columns(df)}
 
 
 def _state(spark: SparkSession, path: str) -> tuple:
