@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,11 +90,11 @@ def drop_blank_rows(df: DataFrame) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
-    """``(block, at, text)``: lines with their split and their order inside it."""
+    """``(file, begin, text)``: lines with the split they are read in."""
     reader = spark.read.option("lineSep", end) if end else spark.read
     return reader.text(path).select(
-        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("block"),
-        F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("begin"),
         F.regexp_replace(F.make_valid_utf8("value"), "^﻿", "").alias("text"),
     )
 
@@ -119,36 +123,67 @@ def _shape(spark: SparkSession, path: str) -> tuple[int, int]:
     )
 
 
+def _counted(lines: DataFrame) -> DataFrame:
+    """Lines as they are read, with their number ``at`` in their split, from 0, and the numbers of the last lines up to them that
+    follow an even and an odd number of quotes in it.
+
+    A split is read by one task in order, so a few numbers carried from batch to batch tell this: nothing is shuffled or sorted.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, state = None, (0, 0, -1, -1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files, begins = batch.column("file"), batch.column("begin").to_numpy()
+            coded = files.dictionary_encode().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(coded) != 0) | (np.diff(begins) != 0)) + 1).tolist(), batch.num_rows]
+            quotes = batch.column("quotes").to_numpy()
+            found = []
+            for a, b in zip(cuts, cuts[1:]):
+                own = files[a].as_py(), begins[a]
+                n, seen, even, odd = state if own == split else (0, 0, -1, -1)
+                at = n + np.arange(b - a)
+                sums = seen + np.cumsum(quotes[a:b])
+                odds = (sums - quotes[a:b]) % 2 == 1
+                evens_at = np.maximum(np.maximum.accumulate(np.where(odds, -1, at)), even)
+                odds_at = np.maximum(np.maximum.accumulate(np.where(odds, at, -1)), odd)
+                split, state = own, (n + b - a, int(sums[-1]) % 2, int(evens_at[-1]), int(odds_at[-1]))
+                found.append((at, evens_at, odds_at))
+            at, evens_at, odds_at = map(np.concatenate, zip(*found))
+            told = pa.array(at), pa.array(evens_at, mask=evens_at < 0), pa.array(odds_at, mask=odds_at < 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], names=[*batch.schema.names, "at", "last_even", "last_odd"])
+
+    fields = [T.StructField(c, T.LongType()) for c in ("at", "last_even", "last_odd")]
+    return lines.mapInArrow(count, T.StructType([*lines.schema, *fields]))
+
+
 def numbered_lines(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
     """``(file, line, text, open, turns, start)``: line numbers, whether a line starts inside quotes and whether it turns
     that, and the line its record starts on.
 
     A split is told by a few numbers for both states it may start in. Running sums over the splits of a file settle its
-    state, its offset and the last record before it; the running sums inside a split stay in that split.
+    state, its offset and the last record before it; the running sums inside a split stay in the task that reads it.
     """
-    lines = _lines(spark, path, end).withColumn("quotes", _quotes(F.col("text")))
-    inside = Window.partitionBy("block").orderBy("at")
-    running = F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.withColumn("odd", running % 2 == 1)
+    lines = _lines(spark, path, end).withColumn("quotes", _quotes(F.col("text")).cast("long"))
     # A line that follows an even number of quotes starts a record if the split starts outside quotes, else one that follows an odd number.
-    totals = lines.groupBy("block").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("quotes").alias("q"), F.min("at").alias("first_at"),
-        F.max(F.when(~F.col("odd"), F.col("at"))).alias("last_even"), F.max(F.when(F.col("odd"), F.col("at"))).alias("last_odd"),
+    totals = _counted(lines.drop("text")).groupBy("file", "begin").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quotes").alias("q"), F.max("last_even").alias("split_even"), F.max("last_odd").alias("split_odd")
     )
-    before = Window.partitionBy("block.file").orderBy("block.start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "block", "first_at", "last_even", "last_odd",
+        "file", "begin", "split_even", "split_odd",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"),
         (F.coalesce(F.sum("q").over(before), F.lit(0)) % 2 == 1).alias("opened"),
     )
-    last = F.when(F.col("opened"), F.col("last_odd")).otherwise(F.col("last_even")) - F.col("first_at") + F.col("lines_before") + 1
-    offsets = offsets.withColumn("carried", F.max(last).over(before)).drop("last_even", "last_odd")
-    placed = lines.join(offsets, "block").withColumn("line", F.col("lines_before") + F.col("at") - F.col("first_at") + 1)
-    placed = placed.withColumn("open", F.col("opened") != F.col("odd"))
-    start = F.max(F.when(~F.col("open"), F.col("line"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.when(F.col("opened"), F.col("split_odd")).otherwise(F.col("split_even")) + F.col("lines_before") + 1
+    offsets = offsets.withColumn("carried", F.max(last).over(before)).drop("split_even", "split_odd")
+    placed = _counted(lines).join(F.broadcast(offsets), ["file", "begin"])  # a row per split
+    start = F.when(F.col("opened"), F.col("last_odd")).otherwise(F.col("last_even")) + F.col("lines_before") + 1
     return placed.select(
-        F.col("block.file").alias("file"), "line", "text", "open", (F.col("quotes") % 2 == 1).alias("turns"),
-        F.coalesce(start, "carried").alias("start"),
+        "file", (F.col("lines_before") + F.col("at") + 1).alias("line"), "text",
+        (F.col("opened") != F.col("at").eqNullSafe(F.col("last_odd"))).alias("open"),
+        (F.col("quotes") % 2 == 1).alias("turns"), F.coalesce(start, "carried").alias("start"),
     )
 
 
@@ -180,7 +215,7 @@ def csv_problems(spark: SparkSession, path: str) -> DataFrame:
     records = single.withColumn("unclosed", F.lit(False)).unionByName(several).filter("filled")
     header = records.groupBy("file").agg(F.min_by("width", "start").alias("expected"))
     odd = (
-        records.join(header, "file")
+        records.join(F.broadcast(header), "file")  # a row per file
         .filter(F.col("unclosed") | (F.col("width") != F.col("expected")))
         .groupBy("file", "expected")
         .agg(
