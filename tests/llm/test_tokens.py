@@ -30,6 +30,15 @@ def test_cached_encoding_is_the_librarys():
     assert encoding.encoder(BYTE_BPE).encode([]) == []
 
 
+def test_a_full_cache_keeps_the_pieces_met_again(monkeypatch):
+    small = encoding.Encoder(BYTE_BPE, most=40)
+    asked, raw = [], small._raw
+    monkeypatch.setattr(small, "_raw", lambda texts: asked.append(" ".join(texts)) or raw(texts))
+    texts = [f"the one and\nthe other of w{k}x w{k}y w{k}z" for k in range(60)]
+    assert [small.encode([t])[0] for t in texts] == [brute(t)[:-1].tobytes() for t in texts]
+    assert len(small.pieces) <= 50 and sum(" other" in t for t in asked) == 1 and sum(" w7y" in t for t in asked) == 1
+
+
 @pytest.mark.parametrize("name", ["odd", "clashing", "documents"])
 def test_files_round_trip(spark, request, name):
     df = request.getfixturevalue(name)
