@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,7 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs: in
         if left[0] > 0 and row["bytes"] <= left[1]:
             left[0], left[1] = left[0] - 1, left[1] - row["bytes"]
             chosen[row["doc_id"]] = row["label"]
-    ids = docs.sparkSession.createDataFrame(list(chosen), "long").toDF("doc_id")
+    # An Arrow table needs no Python workers; a list is read by some that stay beside those of the functions.
+    ids = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(list(chosen), pa.int64())}))
     texts = {r["doc_id"]: r["text"] for r in known.join(F.broadcast(ids), "doc_id").orderBy("text").collect()}
     sets = {k: [texts[i] for i, v in chosen.items() if v == k] for k in (0, 1)}
     if min(map(len, sets.values())) < 2:

@@ -213,8 +213,9 @@ def fit(docs: DataFrame, fit_docs: int = 1500, penalty: float = 12.0, text: str
     model = Model(langs, np.maximum(logs, -8).astype(np.float32), used >= 0.01, penalty, level.astype(np.float32))
     if floor:
         shared = docs.sparkSession.sparkContext.broadcast(model)
-        found = sample.select(_judged(shared, F.col("text")).getField("level").alias("level")).filter(F.col("level") > -np.inf)
-        reached = found.agg(F.percentile_approx("level", 0.01)).first()[0]
+        # A filter would be pushed below the function and judge each text there too, in a second worker of the same task.
+        found, level = sample.select(_judged(shared, F.col("text")).getField("level").alias("level")), F.col("level")
+        reached = found.agg(F.percentile_approx(F.when(level > -np.inf, level), 0.01)).first()[0]
         shared.destroy()
         model.floor = -np.inf if reached is None else reached - margin
     return model

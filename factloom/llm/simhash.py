@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,7 +131,7 @@ def links(distinct: DataFrame, radius: int = 4, cell: int = 400_000) -> DataFram
                 # Of two shards, either may ask the other; the parity shares the work out evenly.
                 x, y = place(path), place(to)
                 pairs.append((x, y) if (x + y) % 2 else (y, x))
-    asks = spark.createDataFrame(pd.DataFrame(pairs, columns=["own", "shard"], dtype="int32"))
+    asks = spark.createDataFrame(pa.table(dict(zip(("own", "shard"), np.array(pairs, np.int64).T))))  # Arrow: needs no Python workers
     bits = lambda k: F.bit_count(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.lit(VANTAGE - 2**64)), BLOCK * k).bitwiseAND(F.lit(255)))
     own = bits(0)
     for k in range(1, depth):

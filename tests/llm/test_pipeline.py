@@ -1,4 +1,7 @@
 import corpus_pipeline
+import pandas as pd
+from pyspark import SparkContext
+from pyspark.sql import functions as F
 from test_tokens import check_packing
 
 from factloom.llm import compression, language, lines, simhash
@@ -59,3 +62,38 @@ def test_stages_of_an_empty_table(spark, empty, sf):
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, empty, sf)
         assert got.count() == 0 and (name == "packing" or got.columns == empty.columns)
+
+
+def test_a_text_is_judged_once(spark, documents, monkeypatch):
+    """A second evaluation in the same task would hold a second worker, with a model and words of its own."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def judged(shared, text):
+        @F.pandas_udf("lang string, s double, level double")
+        def judge(texts: pd.Series) -> pd.DataFrame:
+            seen.add(len(texts))
+            langs, scores, levels = shared.value.judge(texts.tolist())
+            return pd.DataFrame({"lang": langs, "s": scores, "level": levels})
+
+        return judge(text)
+
+    monkeypatch.setattr(language, "_judged", judged)
+    blank = spark.createDataFrame([(10**9 + k, "1 2 3", "en", "a", 5) for k in range(20)], documents.schema)
+    docs = documents.unionByName(blank)
+    taught = [r.doc_id for r in docs.filter(~language.held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()).collect()]
+    model = language.fit(docs, fit_docs=10**6, floor=True)
+    assert any(i > 10**9 for i in taught) and seen.value == len(taught)
+    seen.value = 0
+    language.known_language(docs, model).collect()
+    assert seen.value == docs.count()
+    # Texts without a letter have no level and do not lower the floor.
+    assert model.floor == language.fit(documents, fit_docs=10**6, floor=True).floor > -10**9
+
+
+def test_small_tables_take_no_python_workers(spark, documents, sf, monkeypatch):
+    """Rows handed over as a list are read by workers that stay, beside those of the functions."""
+    labels, prints = spark.read.parquet(f"{sf}/labels.parquet"), simhash.fingerprints(documents).select("fp").distinct()
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **b: 1 / 0)
+    assert compression.fit(documents, labels).weights is not None
+    assert compression.fit(documents.limit(0), labels).constant is not None
+    assert simhash.links(prints).columns == ["a", "b"]
