@@ -18,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import forget, named, written
+from factloom.llm.common import forget, lean, named, written
 
 NEIGHBOUR = "struct<sim: double, id: long, fresh: int>"
 STATE = f"node long, q binary, near array<{NEIGHBOUR}>"
+#: Pairs that a task holds, of 24 bytes each, until it thins them out.
+HELD = 1 << 19
+#: Rows that it tells at once; the JVM holds such a batch outside its heap.
+BATCH = 1 << 15
 
 
 def usable(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -37,59 +41,97 @@ def usable(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id") -
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _lists(column: pa.ListArray, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """A field of a list of structs, flat, and the lengths of the lists."""
-    flat = column.flatten()
-    return flat.field(name).to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy()
-
-
 def _vectors(flat: pa.Array) -> np.ndarray:
     """Binary int16 vectors as doubles."""
-    return np.frombuffer(b"".join(flat.to_pylist()), "<i2").reshape(len(flat), -1).astype(np.float64)
-
-
-def _similar(members: pa.ListArray, most: int, check_bound: bool) -> Iterator[pa.RecordBatch]:
-    """Among the members of each row, all pairs worth telling: (a, b, sim), at most ``most`` for each a."""
-    ids, sizes = _lists(members, "id")
-    vectors = _vectors(members.flatten().field("q"))
-    norms = np.sqrt((vectors**2).sum(1))
-    fresh = _lists(members, "fresh")[0] if check_bound else None
-    bound = _lists(members, "bound")[0] if check_bound else None
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    out: list[tuple[np.ndarray, ...]] = []
-    for k in range(len(sizes)):
-        at = slice(first[k], first[k + 1])
-        own, v = ids[at], vectors[at]
-        if own.size < 2:
-            continue
-        # Integer products below 2**53: exact in doubles, whatever their order.
-        sim = (v @ v.T) / (norms[at][:, None] * norms[at][None, :])
-        good = own[:, None] != own[None, :]
-        if check_bound:
-            good &= (sim > bound[at][:, None]) & ((fresh[at][:, None] + fresh[at][None, :]) > 0)
-        i, j = np.nonzero(good)
-        if i.size:
-            out.append((own[i], own[j], sim[i, j]))
-    if out:
-        a, b, sim = (np.concatenate(x) for x in zip(*out))
-        order = np.lexsort((b, -sim, a))
-        a, b, sim = a[order], b[order], sim[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        a, b, sim = a[new], b[new], sim[new]
-        start = np.concatenate([[True], a[1:] != a[:-1]])
-        rank = np.arange(a.size) - np.maximum.accumulate(np.where(start, np.arange(a.size), 0))
-        keep = rank < most
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(sim[keep])], names=["a", "b", "sim"])
+    return _shorts(flat).astype(np.float64)
 
 
-def _pairs(groups: DataFrame, most: int, check_bound: bool) -> DataFrame:
-    """Candidate pairs of the groups' ``members``; each task thins out what it tells of a node to the ``most`` nearest."""
+def _shorts(flat: pa.Array) -> np.ndarray:
+    """Binary int16 vectors of one length, as they lie in the array's own memory."""
+    ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
+    if not len(flat) or ends[-1] == ends[0]:
+        return np.zeros((len(flat), 0), "<i2")
+    return np.frombuffer(flat.buffers()[2], "<i2", (ends[-1] - ends[0]) // 2, ends[0]).reshape(len(flat), -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _similar(batch.column("members"), most, check_bound)
 
-    return groups.select("members").mapInArrow(run, "a long, b long, sim double")
+def _groups(members: pa.ListArray, check_bound: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each row the ``id``, ``q``, ``fresh`` and ``bound`` of its members, in the order of ids.
+
+    With ``check_bound`` a member that a row names twice is one, fresh if one of both is.
+    """
+    flat = members.flatten()
+    own = flat.field("id").to_numpy()
+    row = np.repeat(np.arange(len(members)), members.value_lengths().fill_null(0).to_numpy())
+    fresh = flat.field("fresh").to_numpy() if check_bound else np.zeros(0)
+    bound = flat.field("bound").to_numpy() if check_bound else np.zeros(0)
+    order = np.lexsort((-fresh, own, row) if check_bound else (own, row))
+    if check_bound:
+        order = order[np.concatenate([[True], (np.diff(own[order]) != 0) | (np.diff(row[order]) != 0)])[: order.size]]
+    q, first = _shorts(flat.field("q")), np.searchsorted(row[order], np.arange(len(members) + 1))
+    for k in range(len(members)):
+        at = order[first[k] : first[k + 1]]
+        yield own[at], q[at], *((fresh[at], bound[at]) if check_bound else (None, None))
+
+
+def _met(own: np.ndarray, q: np.ndarray, fresh: np.ndarray | None, bound: np.ndarray | None, most: int) -> tuple[np.ndarray, ...]:
+    """(a, b, sim): the pairs worth telling among the members of a group, of each a the ``most`` nearest and ties with the last."""
+    v = q.astype(np.float64)
+    norms = np.sqrt((v**2).sum(1))
+    # Integer products below 2**53: exact in doubles, whatever their order.
+    sim = (v @ v.T) / (norms[:, None] * norms[None, :])
+    good = own[:, None] != own[None, :]
+    if bound is not None:
+        good &= (sim > bound[:, None]) & ((fresh[:, None] + fresh[None, :]) > 0)
+    if good.sum(1).max() > most:
+        good &= sim >= np.partition(np.where(good, sim, -np.inf), -most, axis=1)[:, -most, None]
+    i, j = np.nonzero(good)
+    return own[i], own[j], sim[i, j]
+
+
+def _thinned(pairs: list[tuple[np.ndarray, ...]], most: int) -> tuple[np.ndarray, ...]:
+    """The pairs (a, b, sim) once each, at most ``most`` for each a."""
+    a, b, sim = (np.concatenate(x) for x in zip(*pairs))
+    order = np.lexsort((b, -sim, a))
+    a, b, sim = a[order], b[order], sim[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    a, b, sim = a[new], b[new], sim[new]
+    start = np.concatenate([[True], a[1:] != a[:-1]])
+    rank = np.arange(a.size) - np.maximum.accumulate(np.where(start, np.arange(a.size), 0))
+    keep = rank < most
+    return a[keep], b[keep], sim[keep]
+
+
+def _similar(batches: Iterator[pa.RecordBatch], most: int, check_bound: bool, held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Among the ``members`` of each row, the pairs worth telling: (a, b, sim).
+
+    A task thins out what it holds to the ``most`` nearest of each a whenever it holds ``held`` pairs, and tells it if more
+    than half of them are left: neither the number of groups nor the size of a batch decides on its memory.
+    """
+    pairs: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for k in range(0, pairs[0][0].size, BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + BATCH]) for x in pairs[0]], names=["a", "b", "sim"])
+
+    for batch in batches:
+        for group in _groups(batch.column("members"), check_bound):
+            if group[0].size > 1 and (found := _met(*group, most))[0].size:
+                pairs.append(found)
+                size += found[0].size
+            if size >= held:
+                pairs = [_thinned(pairs, most)]
+                if (size := pairs[0][0].size) > held // 2:
+                    yield from told()
+                    pairs, size = [], 0
+    if pairs:
+        pairs = [_thinned(pairs, most)]
+        yield from told()
+
+
+def _pairs(groups: DataFrame, most: int, check_bound: bool) -> DataFrame:
+    """Candidate pairs of the groups' ``members``; each task thins out what it tells of a node to the ``most`` nearest."""
+    return groups.select("members").mapInArrow(lambda batches: _similar(batches, most, check_bound), "a long, b long, sim double")
 
 
 def _merged(state: DataFrame, told: DataFrame, keep: int) -> DataFrame:
@@ -267,6 +309,8 @@ def nearest(vectors: DataFrame, wanted: DataFrame | None = None, k: int = 5, vec
     """
     taking = written(usable(vectors, vector, key), "vectors")
     lengths = sorted(r["n"] for r in taking.select(F.size("v").alias("n")).distinct().collect())
+    # A worker holds a batch: rows of up to about 256 vectors of two bytes a component, 8 MB in all.
+    lean(vectors.sparkSession, max(1, (8 << 20) // (512 * max(lengths, default=1))))
     if len(lengths) < 2:
         return _nearest(taking, wanted, k, options)
     return reduce(DataFrame.unionByName, (_nearest(written(taking.filter(F.size("v") == n), "vectors"), wanted, k, options) for n in lengths))

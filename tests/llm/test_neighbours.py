@@ -1,7 +1,9 @@
 import math
+import tracemalloc
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factloom.llm import neighbours
@@ -81,3 +83,70 @@ def test_positive_multiples(spark):
 def test_lengths_are_indexed_apart(spark):
     rng = np.random.default_rng(6)
     check(spark, [(k, rng.standard_normal(3 if k % 3 else 8).tolist()) for k in range(151)] + [(500, [1.0])])
+
+
+class Taken:
+    """Stands for a frame whose rows go to a worker: gives what the worker runs."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def met(rows, bounded):
+    """A batch of groups, each a list of (id, vector, fresh, bound)."""
+    kind = {"id": pa.int64(), "q": pa.binary()} | ({"fresh": pa.int32(), "bound": pa.float64()} if bounded else {})
+    members = [[dict(zip(kind, (i, np.asarray(v, "<i2").tobytes(), fresh, bound))) for i, v, fresh, bound in row] for row in rows]
+    return pa.RecordBatch.from_arrays([pa.array(members, pa.list_(pa.struct(list(kind.items()))))], names=["members"])
+
+
+def test_pairs_told():
+    """The nearest of each node over all batches, against all pairs; a node named twice in a group, groups of one, none and many."""
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-9, 10, (60, 6)) * 1000 + 1
+    for bounded in (False, True):
+        groups = []
+        for size in [0, 1, *rng.integers(2, 40, 30).tolist()]:
+            own = rng.choice(60, size, replace=False).tolist()
+            own += own[: size // 3] if bounded else []
+            groups.append([(i, vectors[i], int(rng.integers(2)), -0.5 if i % 2 else 0.3) for i in own])
+        want = {}
+        for g in groups:
+            for a, v, fresh, bound in g:
+                for b, w, other, _ in g:
+                    sim = (v @ w) / (np.sqrt(float(v @ v)) * np.sqrt(float(w @ w)))
+                    if a != b and (not bounded or fresh + other and sim > bound):
+                        want.setdefault(a, {})[b] = sim
+        batches = [met(groups[k : k + 7], bounded) for k in range(0, len(groups), 7)] + [met([], bounded), met([[], []], bounded).slice(1)]
+        got = {}
+        for batch in neighbours._pairs(Taken(), 4, bounded)(iter(batches)):
+            for a, b, sim in zip(*(c.to_pylist() for c in batch.columns)):
+                got.setdefault(a, {})[b] = sim
+        nearest = lambda x: {a: sorted(((-s, b) for b, s in n.items()))[:4] for a, n in x.items()}
+        assert nearest(got) == nearest(want) and want
+
+
+def test_a_worker_holds_a_bounded_number_of_pairs():
+    """A full batch of groups, each of which introduces as many nodes as a round allows."""
+    rng = np.random.default_rng(9)
+    vectors = rng.integers(-30_000, 30_000, (20_000, 4))
+    for bounded in (False, True):
+        batch = met([[(int(i), vectors[i], 1, -2.0) for i in rng.choice(20_000, 54)] for _ in range(3000)], bounded)
+        tracemalloc.start()
+        told = sum(b.num_rows for b in neighbours._pairs(Taken(), 30, bounded)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert told > 500_000 and most < 120e6
+
+
+def test_batches_are_small(spark):
+    """Rows hold up to some hundred vectors, so few of them make a batch."""
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        neighbours.nearest(spark.createDataFrame([(k, [1.0, float(k)] * 32) for k in range(60)], "vec_id long, embedding array<double>"))
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) * 256 * 128 <= 8 << 20
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
