@@ -75,6 +75,12 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """A side of a join that Spark must not broadcast by its estimate: a written table counts as its compressed files, and
+    what explodes as if each row gave one, so tables far beyond the driver's memory can seem small."""
+    return df.hint("merge")
+
+
 _KEPT: dict[Hashable, Any] = {}
 
 

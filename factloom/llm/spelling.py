@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import forget, named, text_of, written
+from factloom.llm.common import forget, named, text_of, unsized, written
 
 #: A-Z, a-z and U+00C0 to U+00FF in UTF-8, after A-Z are in lower case.
 RUNS = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
@@ -83,7 +83,7 @@ def _numbered(words: DataFrame, reverse: bool) -> DataFrame:
     fresh = F.col("at").eqNullSafe(1) | F.expr("substring(word, at, 1) <> substring(word, at - 1, 1)")
     places = places.select("id", "at", _node_key(part, long).alias("key"), (F.lit(True) if reverse else fresh).alias("fresh"))
     nodes = written(places.select("key").distinct().select("key", F.monotonically_increasing_id().alias("node")), "trie-nodes")
-    return written(places.join(nodes, "key").select("id", "at", "node", "fresh"), "trie-places")
+    return written(unsized(places).join(unsized(nodes), "key").select("id", "at", "node", "fresh"), "trie-places")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     roots = written(forms.select("id", F.col("form").alias("root")), "roots")
     while True:
         up = roots.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        after = written(roots.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        after = written(roots.join(unsized(up), "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         forget(roots)
         roots = after.select("id", "root")
         if after.filter("moved").isEmpty():
@@ -138,10 +138,10 @@ def variants(words: DataFrame, times: int = 2) -> DataFrame:
     known = written(ordered, "words")
     near = written(neighbours(known.select("id", "word")), "near-words")
     best = known.select(F.col("id").alias("best"), F.col("word").alias("best_word"), F.col("n").alias("best_n"))
-    told = known.join(near, "id", "left").join(best, "best", "left")
+    told = known.join(unsized(near), "id", "left").join(unsized(best), "best", "left")
     kept = F.col("best_n") >= times * F.col("n")
     told = told.select("id", "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), *(F.when(kept, F.col(c)).alias(a) for c, a in (("best", "form_id"), ("best_word", "form"), ("best_n", "form_n"))))
     told = written(told, "word-forms")
     roots = _roots(told.filter("form_id is not null").select("id", F.col("form_id").alias("form")))
-    named_roots = roots.join(known.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
-    return told.join(named_roots, "id", "left").select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")
+    named_roots = unsized(roots).join(unsized(known.select(F.col("id").alias("root"), F.col("word").alias("root_word"))), "root").select("id", "root_word")
+    return told.join(unsized(named_roots), "id", "left").select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")

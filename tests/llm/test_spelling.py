@@ -75,6 +75,25 @@ def test_hot_prefix_and_very_long_words(spark):
     check(spark, words)
 
 
+def test_no_table_is_broadcast_by_its_estimate(spark, monkeypatch):
+    """Small words make small files, but as many places and neighbours as they have letters."""
+    plans = []
+
+    def written(df, name, write=spelling.written):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(spelling, "written", written)
+    words = {"alpha": 40, "alphb": 9, "alphc": 4, "alphaa": 3, "other": 5}
+    assert int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()) > 1 << 20
+    found = spelling.variants(spark.createDataFrame(list(words.items()), "word string, n long"))
+    assert sorted((r.word, str(r.form), *tuple(r)[2:]) for r in found.collect()) == brute(words)
+    plans.append(("the result", found._jdf.queryExecution().executedPlan().toString()))
+    assert {"trie-places", "roots", "word-forms"} <= {name for name, _ in plans}
+    assert sum("SortMergeJoin" in plan for _, plan in plans) >= 4
+    assert not [name for name, plan in plans if "Broadcast" in plan]
+
+
 def test_clashing_columns_and_empty_table(spark, clashing, empty):
     got = spelling.variants(spelling.vocabulary(clashing.withColumn("word", F.lit("old")).withColumn("doc", F.lit("old"))))
     assert got.columns == COLUMNS and got.filter("word = 'lines'").count() <= 1
