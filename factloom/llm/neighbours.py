@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import forget, lean, named, written
+from factloom.llm.common import forget, lean, named, unsized, written
 
 NEIGHBOUR = "struct<sim: double, id: long, fresh: int>"
 STATE = f"node long, q binary, near array<{NEIGHBOUR}>"
@@ -179,7 +179,7 @@ def _blocks(points: DataFrame, n: int, tables: int, size: int, spread: int = 16)
     placed = coded.select("node", "q", F.posexplode("codes").alias("turn", "code")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(spread)).cast("int"))
     counts = placed.groupBy("turn", "code").agg(F.ceil(F.count(F.lit(1)) / (2 * size)).alias("parts"))
     counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    dealt = placed.join(counts, ["turn", "code", "salt"]).withColumn("part", F.pmod(F.xxhash64("node", "turn"), "parts"))
+    dealt = placed.join(unsized(counts), ["turn", "code", "salt"]).withColumn("part", F.pmod(F.xxhash64("node", "turn"), "parts"))
     return dealt.groupBy("turn", "code", "part").agg(F.collect_list(F.struct(F.col("node").alias("id"), "q")).alias("members"))
 
 
@@ -201,7 +201,7 @@ def build(points: DataFrame, k: int = 30, reverse: int = 24, tables: int = 6, bl
         chance = Window.partitionBy("dst").orderBy(F.desc("fresh"), F.xxhash64("src", F.lit(turn)), "src")
         back = back.withColumn("nth", F.row_number().over(chance)).filter(F.col("nth") <= reverse).drop("nth")
         bound = F.when(F.size("near") >= k, F.get("near", F.lit(k - 1))["sim"]).otherwise(-2.0)
-        brought = forth.union(back).join(state.select(F.col("node").alias("src"), "q", bound.alias("bound")), "src")
+        brought = unsized(forth.union(back)).join(state.select(F.col("node").alias("src"), "q", bound.alias("bound")), "src")
         groups = brought.groupBy("dst").agg(F.collect_list(F.struct(F.col("src").alias("id"), "q", "fresh", "bound")).alias("members"))
         known = F.transform("near", lambda x: F.struct(x["sim"].alias("sim"), x["id"].alias("id"), F.lit(0).alias("fresh")))
         told = _told(_pairs(groups, k, True), "node")
@@ -272,9 +272,9 @@ def search(queries: DataFrame, graph: DataFrame, width: int = 240, step: int = 4
         leaving = pool.select("query", F.explode(steps).alias("x")).select("query", F.col("x.id").alias("node"))
         if leaving.isEmpty():
             return pool
-        met = leaving.join(paths, "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
+        met = unsized(leaving).join(paths, "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
         met = met.join(pool, "query").select("query", "qq", F.explode(F.array_except("to", "near.id")).alias("id"))
-        told = _told(_scored(met.join(points.withColumnRenamed("node", "id"), "id")), "query")
+        told = _told(_scored(unsized(met).join(points.withColumnRenamed("node", "id"), "id")), "query")
         # The steps taken are the first unleft ones: all from the last of them up.
         left = F.transform("near", lambda x: F.struct(x["sim"].alias("sim"), x["id"].alias("id"), F.when(x >= F.try_element_at(steps, F.lit(-1)), 0).otherwise(x["fresh"]).alias("fresh")))
         after = written(_merged(pool.select("query", "qq", left.alias("near")), told, width), "pool")
@@ -335,7 +335,7 @@ def _nearest(taking: DataFrame, wanted: DataFrame | None, k: int, options: dict[
     slack = 2.1 * F.sqrt(F.octet_length("qq") / 2) / 32767
     floor = F.coalesce(F.get("near", F.lit(k))["sim"] - slack, F.lit(-2.0))
     close = search(asked, graph).select("query", F.explode(F.filter("near", lambda x: x["sim"] >= floor)).alias("x")).select("query", F.col("x.id").alias("id"))
-    found = close.join(members.withColumnRenamed("node", "id"), "id").select("query", "vec_id").filter("query <> vec_id")
+    found = unsized(close).join(members.withColumnRenamed("node", "id"), "id").select("query", "vec_id").filter("query <> vec_id")
     a = taking.select(F.col("vec_id").alias("query"), F.col("v").alias("a"))
     rows = found.join(taking.withColumnRenamed("v", "b"), "vec_id").join(a, "query")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)

@@ -150,3 +150,19 @@ def test_batches_are_small(spark):
         assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) * 256 * 128 <= 8 << 20
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
+def test_no_edges_are_broadcast_by_their_estimate(spark, monkeypatch):
+    """Edges explode from a table that counts as its compressed files."""
+    plans = {}
+
+    def written(df, name, write=neighbours.written):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(neighbours, "written", written)
+    rng = np.random.default_rng(10)
+    check(spark, [(k, rng.standard_normal(8).tolist()) for k in range(200)])
+    assert len(plans["graph"]) > 1 and len(plans["pool"]) > 1
+    assert not [p for p in plans["graph"] + plans["pool"][1:] if "BroadcastExchange" in p and "Generate explode(near" in p.split("BroadcastExchange")[1]]
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans["graph"])
